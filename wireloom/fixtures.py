@@ -1,0 +1,183 @@
+"""Packet tables derived from the star-schema tables, for checks and benchmarks."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wireloom.functions.addresses import with_flow_key
+from wireloom.functions.binary import fixed_width
+from wireloom.plans.staging import new_path
+
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _epoch_us(column: str) -> Column:
+    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, cast({column} as timestamp_ntz))")
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One TCP connection per order, one 5-tuple per customer; one data packet per line."""
+    connections = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"),
+        F.col("o_custkey").alias("c"),
+        (_epoch_us("o_orderdate") + F.col("o_orderkey") % 86000 * 1000000).alias("t0"),
+        (F.col("o_orderkey") * 100000 % 2000000000).alias("isn"),
+    )
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(F.max("l_quantity").alias("l_quantity"))
+    )
+    k, isn = F.col("k"), F.col("isn")
+    closed = k % 5 != 0
+    reset = k % 7 == 0
+
+    def step(when: Column, n: int, dt: int, c2s: int, flags, seq: Column, ack: Column) -> Column:
+        return F.when(
+            when,
+            F.struct(
+                F.lit(n).alias("n"),
+                F.lit(dt).cast("bigint").alias("dt"),
+                F.lit(c2s).alias("c2s"),
+                (flags if isinstance(flags, Column) else F.lit(flags)).alias("tcp_flags"),
+                seq.alias("seq"),
+                ack.alias("ack"),
+                F.lit(0).alias("pld_len"),
+            ),
+        )
+
+    steps = F.array(
+        step(k % 13 != 0, 1, 0, 1, 2, isn, F.lit(0).cast("bigint")),
+        step(k % 11 != 0, 2, 100, 0, 18, isn + 50000, isn + 1),
+        step(F.lit(True), 3, 200, 1, 16, isn + 1, isn + 50001),
+        step(
+            closed, 101, 100000, 1, F.when(reset, F.lit(20)).otherwise(F.lit(17)),
+            isn + 30000, isn + 80000,
+        ),
+        step(closed & ~reset, 102, 100100, 0, 17, isn + 80000, isn + 30001),
+        step(closed & ~reset, 103, 100200, 1, 16, isn + 30001, isn + 80001),
+    )
+    control = connections.select("k", "c", "t0", F.inline(F.array_compact(steps)))
+    line = F.col("l_linenumber")
+    data = connections.join(lines, k == F.col("l_orderkey")).select(
+        "k",
+        "c",
+        "t0",
+        (3 + line).alias("n"),
+        (1000 * line + line * line * 37).cast("bigint").alias("dt"),
+        (line % 2).alias("c2s"),
+        F.when(line % 3 == 0, F.lit(24)).otherwise(F.lit(16)).alias("tcp_flags"),
+        (isn + 1 + 1000 * line).alias("seq"),
+        (isn + 50001 + 1000 * line).alias("ack"),
+        (F.col("l_quantity").cast("int") * 10).alias("pld_len"),
+    )
+    c = F.col("c")
+    client, server = 167772160 + c, 2886729728 + c % 7
+    cport, sport = 1024 + c % 60000, 80 + c % 3
+    sent = F.col("c2s") == 1
+    return control.unionByName(data).select(
+        (k * 1000 + F.col("n")).alias("rowkey"),
+        (F.col("t0") + F.col("dt")).alias("t"),
+        F.lit(6).alias("pr"),
+        F.when(sent, client).otherwise(server).alias("si"),
+        F.when(sent, cport).otherwise(sport).alias("sp"),
+        F.when(sent, server).otherwise(client).alias("di"),
+        F.when(sent, sport).otherwise(cport).alias("dp"),
+        "tcp_flags",
+        "seq",
+        "ack",
+        "pld_len",
+        (54 + F.col("pld_len")).alias("pkt_len"),
+    )
+
+
+_TABLES: dict[tuple[str, str, str], str] = {}
+
+
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """The table ``name``, built and written once per application as a job chain would."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _TABLES:
+        try:
+            return spark.read.parquet(_TABLES[key])
+        except AnalysisException:  # the shared folder was cleaned
+            pass
+    path = new_path(spark, name)
+    build().write.parquet(path)
+    _TABLES[key] = path
+    return spark.read.parquet(path)
+
+
+def packet_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored packet table every session operator reads, with the 5-tuple key."""
+    return stored(spark, sf_dir, "packets", lambda: with_flow_key(packets(spark, sf_dir)))
+
+
+def frames(packets: DataFrame) -> DataFrame:
+    """``(rowkey, t, r)``: each TCP packet as Ethernet, IPv4 and TCP bytes with a filler payload."""
+    header = [
+        F.unhex(F.lit("0200000000010200000000020800")),
+        F.unhex(F.lit("4500")),
+        fixed_width(40 + F.col("pld_len"), 2),
+        F.unhex(F.lit("000040004006")),
+        F.unhex(F.lit("0000")),
+        fixed_width(F.col("si"), 4),
+        fixed_width(F.col("di"), 4),
+        fixed_width(F.col("sp"), 2),
+        fixed_width(F.col("dp"), 2),
+        fixed_width(F.col("seq"), 4),
+        fixed_width(F.col("ack"), 4),
+        F.unhex(F.lit("50")),
+        fixed_width(F.col("tcp_flags"), 1),
+        F.unhex(F.lit("ffff00000000")),
+    ]
+    filler = F.unhex(F.repeat(fixed_width_hex(F.col("rowkey") % 251), F.col("pld_len")))
+    return packets.select("rowkey", "t", F.concat(*header, filler).alias("r"))
+
+
+def fixed_width_hex(n: Column) -> Column:
+    return F.lpad(F.hex(n), 2, "0")
+
+
+def udp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as UDP packets; the user is the 5-tuple."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("rowkey"),
+        _epoch_us("ts").alias("t"),
+        F.col("user_id").alias("fm"),
+        F.lit(17).alias("pr"),
+    )
+
+
+PIECE_BYTES = 100
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sessions: each whole text cut into 100-byte payloads."""
+    body = F.col("text").cast("binary")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(body) - 1) / PIECE_BYTES).cast("int")),
+        lambda i: F.substring(body, i * PIECE_BYTES + 1, F.lit(PIECE_BYTES)),
+    )
+    return (
+        table(spark, sf_dir, "documents")
+        .where(F.length("text") > 0)
+        .select(
+            F.col("source").alias("m"),
+            F.col("doc_id").alias("sid"),
+            F.when(F.col("doc_id") % 2 == 0, F.lit("forward"))
+            .otherwise(F.lit("back"))
+            .alias("direction"),
+            F.explode(pieces).alias("payload"),
+        )
+    )
