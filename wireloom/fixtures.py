@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import struct
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.addresses import with_flow_key
 from wireloom.functions.binary import fixed_width
+from wireloom.operators import features, models, profiles, tcp
 from wireloom.plans.staging import new_path
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -149,6 +154,58 @@ def fixed_width_hex(n: Column) -> Column:
     return F.lpad(F.hex(n), 2, "0")
 
 
+def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored session table: features of every TCP session of the packet table."""
+
+    def build() -> DataFrame:
+        return features.session_features(tcp.tag_sessions(packet_table(spark, sf_dir)))
+
+    return stored(spark, sf_dir, "sessions", build)
+
+
+def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored profile table of the server endpoints."""
+    return stored(
+        spark, sf_dir, "profiles", lambda: profiles.profiles(session_table(spark, sf_dir))
+    )
+
+
+def model_split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles of even servers as models ``WX...`` (numbered by endpoint), of odd ones as candidates.
+
+    The fixture has 21 endpoints: seven addresses times three ports.
+    """
+    place = (F.conv(F.substring(F.hex("m"), 7, 2), 16, 10).cast("int") * 3) + (
+        F.conv(F.substring(F.hex("m"), 9, 4), 16, 10).cast("int") - 80
+    )
+    placed = table.withColumn("place", place)
+    even = F.col("place") % 2 == 0
+    keywords = F.lit(None).cast("string").alias("keywords")
+    model = models.model_id((F.col("place") / 2).cast("int")).alias("id")
+    return (
+        placed.where(even).select(model, "features_name", "features_value", keywords),
+        placed.where(~even).drop("place"),
+    )
+
+
+def write_captures(frames: DataFrame, path: str) -> None:
+    """Each partition as one capture file, little-endian with microseconds."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(path, exist_ok=True)
+        name = f"{path}/part-{TaskContext.get().partitionId()}.pcap"
+        count = 0
+        with open(name, "wb") as out:
+            out.write(struct.pack("<4sHHiIII", b"\xd4\xc3\xb2\xa1", 2, 4, 0, 0, 65535, 1))
+            for batch in batches:
+                for t, r in zip(batch["t"].to_pylist(), batch["r"].to_pylist(), strict=True):
+                    out.write(struct.pack("<IIII", t // 10**6, t % 10**6, len(r), len(r)) + r)
+                    count += 1
+        yield pa.RecordBatch.from_arrays([pa.array([count])], names=["n"])
+
+    frames.select("t", "r").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def udp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as UDP packets; the user is the 5-tuple."""
     return table(spark, sf_dir, "events").select(
