@@ -35,7 +35,8 @@ SESSION = [*addresses.FLOW, "sid_ts"]
 
 def significant(x: Column | str) -> Column:
     """Nine significant digits: sums of doubles differ in the last bits between engines."""
-    return F.format_string("%.8e", x).cast("double")
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(x.isNotNull(), F.format_string("%.8e", x).cast("double"))
 
 
 def _packets(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,15 +13,15 @@ def number_by_hash(df: DataFrame, key: str, out: str) -> DataFrame:
     key order; a row's number is its place in the bucket plus the rows of all earlier buckets.
     """
     bucket = F.substring(F.upper(F.col(key)), 1, 4)
-    bucketed = df.withColumn("bucket", bucket)
-    sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = df.withColumn("_bucket", bucket)
+    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # At most 65,536 rows: one window and one broadcast of a fixed bound.
-    offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.upper(F.col(key))))
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.upper(F.col(key))))
     return (
-        bucketed.withColumn("place", place)
-        .join(F.broadcast(offsets), "bucket")
-        .withColumn(out, (F.col("place") - 1 + F.col("offset")).cast("bigint"))
-        .drop("bucket", "place", "offset")
+        bucketed.withColumn("_place", place)
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn(out, (F.col("_place") - 1 + F.col("_offset")).cast("bigint"))
+        .drop("_bucket", "_place", "_offset")
     )
