@@ -48,7 +48,7 @@ def _tagged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.frames(_packets(spark, sf))
+    return fx.frame_table(spark, sf)
 
 
 # --- sources, filters --------------------------------------------------------------------------
@@ -456,11 +456,16 @@ def f_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def f_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """slices, fixed width, spaced hex, printable, integers, time."""
-    mark = addresses.flow_mark(F.col("lo"), F.col("hi"), F.col("pr"))
-    source = F.concat(
-        binary.fixed_width(F.col("si"), 4), binary.fixed_width(F.col("sp"), 2)
+    marked = _packets(spark, sf).withColumns(
+        {
+            "mark": addresses.flow_mark(F.col("lo"), F.col("hi"), F.col("pr")),
+            "source": F.concat(
+                binary.fixed_width(F.col("si"), 4), binary.fixed_width(F.col("sp"), 2)
+            ),
+        }
     )
-    return _packets(spark, sf).select(
+    mark, source = F.col("mark"), F.col("source")
+    return marked.select(
         "rowkey",
         binary.hex_lower(F.substring(mark, 5, 2)).alias("port_slice"),
         binary.hex_lower(binary.fixed_width(F.col("t"), 8)).alias("t8"),

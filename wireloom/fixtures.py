@@ -150,6 +150,11 @@ def frames(packets: DataFrame) -> DataFrame:
     return packets.select("rowkey", "t", F.concat(*header, filler).alias("r"))
 
 
+def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored raw packets ``(rowkey, t, r)``."""
+    return stored(spark, sf_dir, "frames", lambda: frames(packet_table(spark, sf_dir)))
+
+
 def fixed_width_hex(n: Column) -> Column:
     return F.lpad(F.hex(n), 2, "0")
 

@@ -48,17 +48,15 @@ def hex_spaced(b: Column) -> Column:
 
 def printable(b: Column) -> Column:
     r"""ASCII 32..126 kept, every other byte written as ``\xNN``."""
-    h = hex_lower(b)
+    pairs = F.regexp_extract_all(hex_lower(b), F.lit(".."), F.lit(0))
 
-    def show(i: Column) -> Column:
-        pair = F.substring(h, 2 * i + 1, 2)
+    def show(pair: Column) -> Column:
         code = F.conv(pair, 16, 10).cast("int")
-        return F.when(code.between(32, 126), F.chr(code)).otherwise(F.concat(F.lit("\\x"), pair))
+        return F.when(pair.between("20", "7e"), F.chr(code)).otherwise(
+            F.concat(F.lit("\\x"), pair)
+        )
 
-    positions = F.sequence(F.lit(0), F.length(b) - 1)
-    return F.when(F.length(b) == 0, F.lit("")).otherwise(
-        F.array_join(F.transform(positions, show), "")
-    )
+    return F.array_join(F.transform(pairs, show), "")
 
 
 def timestamp_us(sec: Column, usec: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _slices(payload: Column, width: int, count: Column) -> Column:
-    h = F.hex(payload)
+    # sequence() counts down when its end lies below its start, hence the two guards.
     starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-    cut = F.transform(starts, lambda i: F.substring(h, 2 * i - 1, 2 * width))
+    cut = F.transform(starts, lambda i: F.hex(F.substring(payload, i, F.lit(width))))
     return F.when(count >= 1, cut).otherwise(F.array().cast("array<string>"))
 
 

@@ -13,40 +13,62 @@ from wireloom.functions.binary import slice_uint
 
 # Fixed values of the header layouts.
 ETHERNET_HEADER = 14
-ETHERTYPE_IPV4 = 0x0800
+ETHERTYPE_IPV4 = b"\x08\x00"
+IPV4_SHORTEST, IPV4_LONGEST = b"\x45", b"\x4f"
 PROTO_TCP = 6
 PROTO_UDP = 17
 TCP_HEADER_MIN = 20
 UDP_HEADER = 8
+# Flags and fragment offset of a packet that is whole or the first fragment: later fragments carry no
+# transport header.
+FIRST_FRAGMENT = [bytes([flags << 5, 0]) for flags in range(8)]
 
 
-def _ip_header_length(r: Column) -> Column:
-    return slice_uint(r, 14, 1).bitwiseAND(F.lit(15)) * 4
+def _with_layers(frames: DataFrame, tcp_only: bool = False) -> DataFrame:
+    """Keep IPv4 frames that carry the start of a TCP or UDP header; add ``pr`` and ``l4``.
 
+    The filter compares raw bytes, so a frame is turned down before any field is converted.
+    """
+    r = F.col("r")
+    l4 = (slice_uint(r, 14, 1).bitwiseAND(F.lit(15)) * 4 + ETHERNET_HEADER).cast("int")
+    proto = F.substring(r, 24, 1)
+    is_tcp = proto == F.lit(bytes([PROTO_TCP]))
+    is_udp = proto == F.lit(bytes([PROTO_UDP]))
+    header = F.when(is_tcp, F.lit(TCP_HEADER_MIN)).otherwise(F.lit(UDP_HEADER))
+    return frames.where(
+        (F.substring(r, 13, 2) == F.lit(ETHERTYPE_IPV4))
+        & F.substring(r, 15, 1).between(F.lit(IPV4_SHORTEST), F.lit(IPV4_LONGEST))
+        & F.substring(r, 21, 2).isin([F.lit(f) for f in FIRST_FRAGMENT])
+        & (is_tcp if tcp_only else is_tcp | is_udp)
+        & (F.length(r) >= l4 + header)
+    ).withColumns({"pr": F.when(is_tcp, PROTO_TCP).otherwise(PROTO_UDP), "l4": l4})
+
+
+def _with_payload_bounds(layers: DataFrame) -> DataFrame:
+    """Drop TCP frames that end inside the TCP header; add ``start`` and ``pld_len``, null for UDP.
 
-def _with_layers(frames: DataFrame) -> DataFrame:
-    """Keep IPv4 frames that carry the start of a TCP or UDP header; add ``pr`` and ``l4``."""
+    The payload ends where the IP total length says, so Ethernet padding is not payload.
+    """
     r = F.col("r")
-    ihl = _ip_header_length(r)
-    l4 = (ihl + ETHERNET_HEADER).cast("int")
-    ipv4 = (
-        (F.length(r) >= ETHERNET_HEADER + 20)
-        & (slice_uint(r, 12, 2) == ETHERTYPE_IPV4)
-        & (slice_uint(r, 14, 1) >= 0x45)
-        & (slice_uint(r, 14, 1) <= 0x4F)
-        # Later fragments carry no transport header.
-        & (slice_uint(r, 20, 2).bitwiseAND(F.lit(0x1FFF)) == 0)
-    )
+    tcp = F.col("pr") == PROTO_TCP
+    header = F.when(tcp, F.shiftright(slice_uint(r, F.col("l4") + 12, 1), 4) * 4)
+    end = F.least(slice_uint(r, 16, 2) + ETHERNET_HEADER, F.length(r).cast("bigint"))
+    length = F.when(tcp, F.greatest(end - F.col("start"), F.lit(0)).cast("int"))
     return (
-        frames.where(ipv4)
-        .withColumns({"pr": slice_uint(r, 23, 1).cast("int"), "l4": l4})
+        layers.withColumn("start", (F.col("l4") + header).cast("int"))
         .where(
-            ((F.col("pr") == PROTO_TCP) & (F.length(r) >= F.col("l4") + TCP_HEADER_MIN))
-            | ((F.col("pr") == PROTO_UDP) & (F.length(r) >= F.col("l4") + UDP_HEADER))
+            ~tcp
+            | ((F.col("start") >= F.col("l4") + TCP_HEADER_MIN) & (F.length(r) >= F.col("start")))
         )
+        .withColumn("pld_len", length)
     )
 
 
+def _payload() -> Column:
+    cut = F.substring("r", F.col("start") + 1, F.col("pld_len"))
+    return F.when(F.col("pld_len") > 0, cut).otherwise(F.lit(b"\x00"))
+
+
 def five_tuple(frames: DataFrame) -> DataFrame:
     """``(rowkey, t, r)`` to the same plus ``si, sp, di, dp, pr``; TCP and UDP over IPv4 only."""
     r = F.col("r")
@@ -63,34 +85,19 @@ def five_tuple(frames: DataFrame) -> DataFrame:
 
 
 def packet_features(frames: DataFrame) -> DataFrame:
-    """TCP fields of each frame; a packet without payload has length 0 and one zero byte.
-
-    The payload ends where the IP total length says, so Ethernet padding is not payload.
-    """
+    """TCP fields of each frame; a packet without payload has length 0 and one zero byte."""
     r = F.col("r")
-    header = F.shiftright(slice_uint(r, F.col("l4") + 12, 1), 4) * 4
-    start = (F.col("l4") + F.col("header")).cast("int")
-    end = F.least(slice_uint(r, 16, 2) + ETHERNET_HEADER, F.length(r).cast("bigint"))
-    return (
-        _with_layers(frames)
-        .where(F.col("pr") == PROTO_TCP)
-        .withColumn("header", header)
-        .where((F.col("header") >= TCP_HEADER_MIN) & (F.length(r) >= F.col("l4") + F.col("header")))
-        .withColumns({"start": start, "pld_len": F.greatest(end - start, F.lit(0)).cast("int")})
-        .select(
-            "rowkey",
-            slice_uint(r, F.col("l4") + 2, 2).alias("dport"),
-            slice_uint(r, F.col("l4"), 2).alias("sport"),
-            F.col("pr").alias("proto"),
-            slice_uint(r, F.col("l4") + 13, 1).cast("int").alias("tcp_flags"),
-            slice_uint(r, F.col("l4") + 4, 4).alias("seq"),
-            slice_uint(r, F.col("l4") + 8, 4).alias("ack"),
-            F.length(r).alias("pkt_len"),
-            "pld_len",
-            F.when(F.col("pld_len") > 0, F.substring(r, F.col("start") + 1, F.col("pld_len")))
-            .otherwise(F.lit(b"\x00"))
-            .alias("payload"),
-        )
+    return _with_payload_bounds(_with_layers(frames, tcp_only=True)).select(
+        "rowkey",
+        slice_uint(r, F.col("l4") + 2, 2).alias("dport"),
+        slice_uint(r, F.col("l4"), 2).alias("sport"),
+        F.col("pr").alias("proto"),
+        slice_uint(r, F.col("l4") + 13, 1).cast("int").alias("tcp_flags"),
+        slice_uint(r, F.col("l4") + 4, 4).alias("seq"),
+        slice_uint(r, F.col("l4") + 8, 4).alias("ack"),
+        F.length(r).alias("pkt_len"),
+        "pld_len",
+        _payload().alias("payload"),
     )
 
 
@@ -98,36 +105,21 @@ def decoded_packets(frames: DataFrame) -> DataFrame:
     """Five-tuple and TCP fields of each frame in one pass; UDP rows have null TCP fields."""
     r = F.col("r")
     tcp = F.col("pr") == PROTO_TCP
-    header = F.shiftright(slice_uint(r, F.col("l4") + 12, 1), 4) * 4
-    whole = (header >= TCP_HEADER_MIN) & (F.length(r) >= F.col("l4") + header)
-    start = (F.col("l4") + F.col("header")).cast("int")
-    end = F.least(slice_uint(r, 16, 2) + ETHERNET_HEADER, F.length(r).cast("bigint"))
-    length = F.greatest(end - F.col("start"), F.lit(0)).cast("int")
-    payload = F.when(
-        F.col("pld_len") > 0, F.substring(r, F.col("start") + 1, F.col("pld_len"))
-    ).when(tcp, F.lit(b"\x00"))
-    return (
-        _with_layers(frames)
-        .withColumn("header", F.when(tcp & whole, header))
-        .where(~tcp | F.col("header").isNotNull())
-        .withColumn("start", start)
-        .withColumn("pld_len", F.when(tcp, length))
-        .select(
-            "rowkey",
-            "t",
-            "r",
-            slice_uint(r, 26, 4).alias("si"),
-            slice_uint(r, F.col("l4"), 2).alias("sp"),
-            slice_uint(r, 30, 4).alias("di"),
-            slice_uint(r, F.col("l4") + 2, 2).alias("dp"),
-            "pr",
-            F.when(tcp, slice_uint(r, F.col("l4") + 13, 1).cast("int")).alias("tcp_flags"),
-            F.when(tcp, slice_uint(r, F.col("l4") + 4, 4)).alias("seq"),
-            F.when(tcp, slice_uint(r, F.col("l4") + 8, 4)).alias("ack"),
-            F.length(r).alias("pkt_len"),
-            "pld_len",
-            payload.alias("payload"),
-        )
+    return _with_payload_bounds(_with_layers(frames)).select(
+        "rowkey",
+        "t",
+        "r",
+        slice_uint(r, 26, 4).alias("si"),
+        slice_uint(r, F.col("l4"), 2).alias("sp"),
+        slice_uint(r, 30, 4).alias("di"),
+        slice_uint(r, F.col("l4") + 2, 2).alias("dp"),
+        "pr",
+        F.when(tcp, slice_uint(r, F.col("l4") + 13, 1).cast("int")).alias("tcp_flags"),
+        F.when(tcp, slice_uint(r, F.col("l4") + 4, 4)).alias("seq"),
+        F.when(tcp, slice_uint(r, F.col("l4") + 8, 4)).alias("ack"),
+        F.length(r).alias("pkt_len"),
+        "pld_len",
+        F.when(tcp, _payload()).alias("payload"),
     )
 
 
