@@ -375,7 +375,7 @@ def a7_endpoint_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a8_endpoint_directions(spark: SparkSession, sf: str) -> DataFrame:
-    return keywords.endpoint_directions(fx.payloads(spark, sf))
+    return keywords.endpoint_directions(fx.payload_table(spark, sf))
 
 
 def a10_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,24 +392,23 @@ def t7_first_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _shares(spark: SparkSession, sf: str) -> DataFrame:
     return fx.stored(
-        spark, sf, "shares", lambda: keywords.keyword_shares(fx.payloads(spark, sf))
+        spark, sf, "shares", lambda: keywords.keyword_shares(fx.payload_table(spark, sf))
     )
 
 
 def f11_trigrams(spark: SparkSession, sf: str) -> DataFrame:
-    items = trigrams.trigrams(F.col("payload"))
     return (
-        fx.payloads(spark, sf)
-        .select("m", F.explode(items).alias("item"))
-        .groupBy("m", "item")
+        keywords.trigram_rows(fx.payload_table(spark, sf), "m")
+        .groupBy("m", "gram")
         .agg(F.count(F.lit(1)).alias("n"))
+        .select("m", F.hex("gram").alias("item"), "n")
     )
 
 
 def f12_byte_slices(spark: SparkSession, sf: str) -> DataFrame:
     items = trigrams.byte_slices(F.col("payload"), 2)
     return (
-        fx.payloads(spark, sf)
+        fx.payload_table(spark, sf)
         .select(F.explode(items).alias("item"))
         .groupBy("item")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -417,7 +416,7 @@ def f12_byte_slices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a9_keyword_share(spark: SparkSession, sf: str) -> DataFrame:
-    return keywords.keyword_shares(fx.payloads(spark, sf))
+    return keywords.keyword_shares(fx.payload_table(spark, sf))
 
 
 def n1_frequent_sets(spark: SparkSession, sf: str) -> DataFrame:

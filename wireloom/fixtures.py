@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wireloom.functions.addresses import with_flow_key
 from wireloom.functions.binary import fixed_width
@@ -104,7 +105,11 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TABLES: dict[tuple[str, str, str], str] = {}
+#: The input tables come as one file each, so a scan of one is one task; the tables derived from them
+#: are cut into files that several tasks can read.
+ROWS_PER_FILE = 25_000
+
+_TABLES: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored(
@@ -114,13 +119,14 @@ def stored(
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key in _TABLES:
         try:
-            return spark.read.parquet(_TABLES[key])
+            path, schema = _TABLES[key]
+            return spark.read.schema(schema).parquet(path)
         except AnalysisException:  # the shared folder was cleaned
             pass
-    path = new_path(spark, name)
-    build().write.parquet(path)
-    _TABLES[key] = path
-    return spark.read.parquet(path)
+    path, table = new_path(spark, name), build()
+    table.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    _TABLES[key] = path, table.schema
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def packet_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,3 +249,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.explode(pieces).alias("payload"),
         )
     )
+
+
+def payload_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored payload rows."""
+    return stored(spark, sf_dir, "payloads", lambda: payloads(spark, sf_dir))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.functions.binary import fixed_width, md5_bytes
+from wireloom.functions.binary import fixed_hex, md5_bytes
 
 #: Columns that identify a direction-free 5-tuple.
 FLOW = ("lo", "hi", "pr")
@@ -30,14 +30,18 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     )
 
 
+def _flow_hex(lo: Column, hi: Column, pr: Column) -> Column:
+    return F.concat(fixed_hex(lo, 6), fixed_hex(hi, 6), fixed_hex(pr, 1))
+
+
 def flow_mark(lo: Column, hi: Column, pr: Column) -> Column:
     """13-byte mark of a 5-tuple: both endpoints and the protocol."""
-    return F.concat(fixed_width(lo, 6), fixed_width(hi, 6), fixed_width(pr, 1))
+    return F.unhex(_flow_hex(lo, hi, pr))
 
 
 def session_id(lo: Column, hi: Column, pr: Column, sid_ts: Column) -> Column:
     """21-byte session id: the 5-tuple mark and the session's time."""
-    return F.concat(flow_mark(lo, hi, pr), fixed_width(sid_ts, 8))
+    return F.unhex(F.concat(_flow_hex(lo, hi, pr), fixed_hex(sid_ts, 8)))
 
 
 def session_rowkey(lo: Column, hi: Column, pr: Column, sid_ts: Column) -> Column:
@@ -46,7 +50,7 @@ def session_rowkey(lo: Column, hi: Column, pr: Column, sid_ts: Column) -> Column
 
 def endpoint_mark(endpoint: Column, pr: Column) -> Column:
     """7-byte mark of a server endpoint: address, port, protocol."""
-    return F.concat(fixed_width(endpoint, 6), fixed_width(pr, 1))
+    return F.unhex(F.concat(fixed_hex(endpoint, 6), fixed_hex(pr, 1)))
 
 
 def endpoint_bits(endpoint: Column) -> Column:

@@ -17,9 +17,17 @@ def signed(b: Column, width: int) -> Column:
     return F.when(n >= 1 << (8 * width - 1), n - (1 << (8 * width))).otherwise(n)
 
 
+def fixed_hex(n: Column, width: int) -> Column:
+    """Integer as the hex text of exactly ``width`` bytes; negatives in two's complement."""
+    bits = n.cast("bigint")
+    if width < 8:
+        bits = bits.bitwiseAND(F.lit((1 << (8 * width)) - 1))
+    return F.lpad(F.hex(bits), 2 * width, "0")
+
+
 def fixed_width(n: Column, width: int) -> Column:
     """Integer as exactly ``width`` big-endian bytes; negatives in two's complement."""
-    return F.unhex(F.right(F.lpad(F.hex(n.cast("bigint")), 16, "0"), F.lit(2 * width)))
+    return F.unhex(fixed_hex(n, width))
 
 
 def slice_uint(b: Column, offset: Column | int, width: int) -> Column:

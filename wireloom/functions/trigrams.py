@@ -18,6 +18,11 @@ def trigrams(payload: Column) -> Column:
     return _slices(payload, 3, F.length(payload) - 3)
 
 
+def trigram_positions(payload: Column) -> Column:
+    """1-based starts of ``trigrams``, for payloads longer than three bytes."""
+    return F.sequence(F.lit(1), F.length(payload) - 3)
+
+
 def byte_slices(payload: Column, width: int) -> Column:
     """All ``width``-byte slices, the last one included."""
     return _slices(payload, width, F.length(payload) - (width - 1))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wireloom.functions.addresses import (
     endpoint_bits,
     endpoint_mark,
-    fixed_width,
+    flow_mark,
     session_id,
 )
 from wireloom.functions.binary import md5_bytes
@@ -261,9 +261,7 @@ def session_features(tagged: DataFrame, corrected: bool = False) -> DataFrame:
     server = F.when(F.col("first_lo"), F.col("hi")).otherwise(F.col("lo"))
     port = F.lit(65535)
     sid = md5_bytes(session_id(F.col("lo"), F.col("hi"), F.col("pr"), F.col("sid_ts")))
-    direction = F.concat(
-        fixed_width(client, 6), fixed_width(server, 6), fixed_width(F.col("pr"), 1)
-    )
+    direction = flow_mark(client, server, F.col("pr"))
     return wide.select(
         sid.alias("rowkey"),
         *SESSION,

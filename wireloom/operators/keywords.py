@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.functions.binary import md5_bytes
-from wireloom.functions.trigrams import item_base64, trigrams
+from wireloom.functions.trigrams import item_base64, trigram_positions
 
 # Fixed values of the keyword search.
 SHARE_LOW, SHARE_HIGH = 0.5, 1.0
@@ -34,6 +34,19 @@ def endpoint_directions(payloads: DataFrame) -> DataFrame:
     return complete_rows(payloads).select(*GROUP).distinct()
 
 
+def trigram_rows(payloads: DataFrame, *keys: str) -> DataFrame:
+    """One row per trigram of each payload: ``keys, gram`` (three bytes).
+
+    Positions are exploded and the bytes cut afterwards, which keeps the work in generated code.
+    """
+    body = F.col("payload")
+    return (
+        payloads.where(F.length(body) > 3)
+        .select(*keys, body, F.explode(trigram_positions(body)).alias("at"))
+        .select(*keys, F.substring(body, F.col("at"), F.lit(3)).alias("gram"))
+    )
+
+
 def keyword_shares(
     payloads: DataFrame, low: float = SHARE_LOW, high: float = SHARE_HIGH
 ) -> DataFrame:
@@ -44,16 +57,14 @@ def keyword_shares(
     rows = complete_rows(payloads).where(F.col("payload").isNotNull())
     plds = rows.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("plds"))
     counted = (
-        rows.select(*SESSION, F.explode(trigrams(F.col("payload"))).alias("item"))
-        .groupBy(*SESSION, "item")
-        .agg(F.count(F.lit(1)).alias("n"))
+        trigram_rows(rows, *SESSION).groupBy(*SESSION, "gram").agg(F.count(F.lit(1)).alias("n"))
     )
     share = F.col("n") / F.col("plds")
     return (
         counted.join(plds, list(SESSION))
         .withColumn("share", share)
         .where(F.col("share").between(low, high))
-        .select(*SESSION, "item", "share")
+        .select(*SESSION, F.hex("gram").alias("item"), "share")
     )
 
 
