@@ -392,6 +392,26 @@ identified as (
   group by s.rowkey)
 """
 
+_VECTORS = f"""
+profile as (
+  select lpad(lower(to_hex(vec_id)), 14, '0') as m, cast(i as int) as pos,
+         1.0::double / (1 + (i + vec_id) % 5) as frac, embedding[i + 1]::double as mean
+  from (select *, unnest(range(44)) as i from embeddings)),
+{_TOP},
+placed as (select distinct m, md5(unhex(m)) as rowkey from profile),
+known as (
+  select m, printf('WX%03d', row_number() over (order by rowkey) - 1) as id
+  from placed where substr(rowkey, 1, 1) < '4'),
+candidate as (select m, rowkey from placed where substr(rowkey, 1, 1) >= '4')
+"""
+
+_VECTOR_NEW = """
+fresh as (
+  select rowkey, printf('WX%03d', row_number() over (order by rowkey) - 1
+      + (select max(cast(substr(id, 3) as bigint)) + 1 from known)) as id
+  from matched where id is null)
+"""
+
 # Every profile of the split against the known models, for the training job.
 _TRAINED = f"""
 every as (
@@ -532,6 +552,10 @@ ORACLES: dict[str, str] = {
     "t4_identify": _with(*_T1, _SPLIT, _IDENTIFY) + "select rowkey, id from identified",
     "t4_identify_large": _with(*_T1, _SPLIT, _IDENTIFY) + "select rowkey, id from identified",
     "t5_profile_clusters": _with(*_T5, recursive=True) + "select rowkey, cluster_id from clusters",
+    "t2_vector_match": _with(_VECTORS, _MATCHED) + "select rowkey, id from matched",
+    "t3_vector_models": _with(_VECTORS, _MATCHED, _VECTOR_NEW) + "select rowkey, id from fresh",
+    "t5_vector_clusters": _with(_VECTORS, _CLUSTERS, recursive=True)
+    + "select rowkey, cluster_id from clusters",
     "a11_cluster_sizes": _with(*_T5, recursive=True)
     + """select cluster_id, count(*) as members, min(rowkey) as first_rowkey,
         max(rowkey) as last_rowkey from clusters group by cluster_id""",

@@ -346,6 +346,22 @@ def train_job(spark: SparkSession, sf: str) -> DataFrame:
     return _hex_row(trained.profiles.select("rowkey", "id"))
 
 
+def t2_vector_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Matching on signed vectors that mostly do not fit: a small block, then the equi-join."""
+    known, candidates = fx.vector_split(fx.vector_profiles(spark, sf))
+    return _hex_row(models.match_profiles(candidates, known, small=20))
+
+
+def t3_vector_models(spark: SparkSession, sf: str) -> DataFrame:
+    known, candidates = fx.vector_split(fx.vector_profiles(spark, sf))
+    matched = stage(models.match_profiles(candidates, known), "matched")
+    return _hex_row(models.new_assignments(candidates, matched, known))
+
+
+def t5_vector_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return _hex_row(clusters.cluster_profiles(fx.vector_profiles(spark, sf)))
+
+
 # --- reports -----------------------------------------------------------------------------------
 
 
@@ -551,7 +567,7 @@ QUERIES: dict[str, Query] = {
         a7_distinct_endpoints, a7_endpoint_digest, a8_endpoint_directions, a9_keyword_share,
         a10_counters, a11_cluster_sizes,
         t1_top_features, t2_model_match, t2_model_match_large, t3_new_models, t4_identify,
-        t4_identify_large, t5_profile_clusters, t7_first_rows, t8_extreme_sessions,
+        t4_identify_large, t2_vector_match, t3_vector_models, t5_vector_clusters, t5_profile_clusters, t7_first_rows, t8_extreme_sessions,
         n1_frequent_sets, n1_fpgrowth_full, n2_sample, n3_keywords,
         f_hash, f_bytes, f_labels, f_ratio, f11_trigrams, f12_byte_slices,
         k1_stream_ingest, preprocess_job, train_job,

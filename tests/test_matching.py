@@ -62,7 +62,7 @@ def brute(probe, reference, band):
 
 
 @pytest.mark.parametrize("band", [models.TRAINING, models.IDENTIFY, clusters.CLUSTERING])
-@pytest.mark.parametrize("rows_per_bucket", [200_000, 5])
+@pytest.mark.parametrize("rows_per_bucket", [5])
 def test_matching_pairs_equal_brute_force(spark, band, rows_per_bucket, monkeypatch):
     monkeypatch.setattr(matching, "ROWS_PER_BUCKET", rows_per_bucket)
     rng = random.Random(3)
@@ -82,11 +82,24 @@ def test_matching_pairs_equal_brute_force(spark, band, rows_per_bucket, monkeypa
     }
     assert len(expected) > 60
     assert got == expected
+    label = F.pmod(F.xxhash64("m"), F.lit(3)).alias("label")
+    sides = {r["k"]: r["label"] for r in df.select(key.alias("k"), label).collect()}
+    labels = df.select(key.alias("k"), label)
+    crossing = matching.matching_pairs(
+        probes.join(labels, probes["probe"] == labels["k"]).drop("k"),
+        refs.join(labels, refs["ref"] == labels["k"]).drop("k"),
+        band,
+        across="label",
+    )
+    assert {tuple(r) for r in crossing.collect()} == {
+        (p, r) for p, r in expected if sides[p] != sides[r]
+    }
     first = {}
     for p, r in sorted(expected):
         first.setdefault(p, r)
-    for small in (1000, 0):
+    for small in (1000, 7, 0):
         rows = matching.first_match(probes, refs, band, small).collect()
+        assert len(rows) == 60
         assert {r["probe"]: r["ref"] for r in rows} == {p: first.get(p) for p in range(60)}
 
 
@@ -222,7 +235,9 @@ def test_components_of_chain_star_and_loners(spark):
     }
 
 
-def test_clusters_equal_brute_force(spark):
+@pytest.mark.parametrize("leaders", [32, 1])
+def test_clusters_equal_brute_force(spark, leaders, monkeypatch):
+    monkeypatch.setattr(clusters.leader_edges, "__defaults__", (2, leaders))
     rng = random.Random(8)
     vectors = [random_profile(rng) for _ in range(30)]
     vectors += [vectors[0]] * 12  # copies

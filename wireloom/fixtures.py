@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wireloom.functions.addresses import with_flow_key
-from wireloom.functions.binary import fixed_width
+from wireloom.functions.binary import fixed_width, md5_bytes
 from wireloom.operators import features, models, profiles, tcp
+from wireloom.plans.numbering import number_by_hash
 from wireloom.plans.staging import new_path
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -199,6 +200,40 @@ def model_split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def vector_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile per embedding: 44 signed values, few of which resemble each other."""
+    pairs = F.transform(
+        F.slice("embedding", 1, len(features.FEATURES)),
+        lambda x, i: F.struct(
+            (F.lit(1.0) / (1 + (i + F.col("vec_id")) % 5)).alias("frac"),
+            x.cast("double").alias("mean"),
+        ),
+    )
+    return (
+        table(spark, sf_dir, "embeddings")
+        .withColumn("m", fixed_width(F.col("vec_id"), 7))
+        .select(
+            md5_bytes(F.col("m")).alias("rowkey"),
+            "m",
+            F.array(*[F.lit(name) for name in features.FEATURES]).alias("features_name"),
+            pairs.alias("features_value"),
+        )
+    )
+
+
+def vector_split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles whose digest starts below 4 as models, numbered by digest; the rest as candidates."""
+    digest = table.withColumn("digest", F.hex("rowkey"))
+    below = F.substring("digest", 1, 1) < "4"
+    known = number_by_hash(digest.where(below), "digest", "place")
+    keywords = F.lit(None).cast("string").alias("keywords")
+    model = models.model_id(F.col("place")).alias("id")
+    return (
+        known.select(model, "features_name", "features_value", keywords),
+        digest.where(~below).drop("digest"),
+    )
+
+
 def write_captures(frames: DataFrame, path: str) -> None:
     """Each partition as one capture file, little-endian with microseconds."""
 

@@ -2,7 +2,7 @@
 
 Two profiles resemble each other when either one, taken as reference, is matched by the other.
 Clusters are the connected components of that relation, so the result does not depend on the order
-in which profiles are read.
+in which profiles are read.  Components need no list of all pairs, and none is made.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wireloom.functions.binary import hex_lower
 from wireloom.operators.matching import (
     Band,
+    matches_joined,
     matching_pairs,
     profile_means,
     reference_table,
@@ -23,44 +24,102 @@ from wireloom.plans.staging import stage
 
 CLUSTERING = Band(probe_on_top=True)
 
+#: Profiles every other one is compared with per leader round, and the most rounds.
+LEADERS = 32
+LEADER_ROUNDS = 6
 
-def resemblance_edges(profile_table: DataFrame) -> DataFrame:
-    """Pairs ``(src, dst)`` of profile keys that resemble each other, smaller key first.
+#: Links per leader (one is its own) below which more rounds do not pay.
+WORTHWHILE = 4
 
-    Profiles with identical values are linked to the smallest of them instead of to each other.
+
+def copy_edges(profile_table: DataFrame) -> DataFrame:
+    """``(src, dst)``: profiles with identical values, each linked to the smallest of them."""
+    keyed = profile_table.select(
+        hex_lower(F.col("rowkey")).alias("node"), F.to_json("features_value").alias("text")
+    )
+    least = keyed.groupBy("text").agg(F.min("node").alias("src"))
+    return keyed.join(least, "text").select("src", F.col("node").alias("dst"))
+
+
+def leader_edges(table: DataFrame, rounds: int = LEADER_ROUNDS, count: int = LEADERS) -> DataFrame:
+    """Links of profiles ``(node, means, top)`` to a few leaders, a bounded number of links each.
+
+    Each round takes up to ``count`` profiles that no leader has reached yet and compares every
+    profile with them, so profiles that resemble many others are joined up without looking at pairs.
+    Only a head start: what it finds are true links, what it misses is found afterwards.
+    """
+    schema = "src string, dst string"
+    edges = table.sparkSession.createDataFrame([], schema)
+    waiting = table
+    for _ in range(rounds):
+        chosen = stage(waiting.orderBy(F.xxhash64("node"), "node").limit(count), "leaders")
+        if chosen.isEmpty():
+            break
+        # At most `count` structs.
+        leaders = chosen.agg(F.collect_list(F.struct("node", "means", "top")).alias("all"))
+        either = matches_joined("leader.means", "top", CLUSTERING) | matches_joined(
+            "means", "leader.top", CLUSTERING
+        )
+        found = (
+            table.withColumn("leaders", leaders.scalar())
+            .select("node", "means", "top", F.explode("leaders").alias("leader"))
+            .where(either)
+            .select(F.col("leader.node").alias("src"), F.col("node").alias("dst"))
+        )
+        links = stage(found, "links")
+        edges = edges.unionByName(links)
+        if links.count() <= WORTHWHILE * count:
+            break  # few resemble each other; the equi-join is the shorter way
+        reached = edges.select(F.col("dst").alias("node")).unionByName(chosen.select("node"))
+        waiting = table.join(reached.distinct(), "node", "left_anti")
+    return edges
+
+
+def resemblance_labels(profile_table: DataFrame) -> DataFrame:
+    """``node, component``: profiles joined up by resemblance, and copies by equality.
+
+    Copies are represented once.  Leaders join up the dense parts; then only pairs across the parts
+    found so far are looked for, and whatever links two parts joins them.
     """
-    table = profile_table.select(
+    copies = stage(copy_edges(profile_table), "copies")
+    values = profile_table.select(
         hex_lower(F.col("rowkey")).alias("node"), "features_name", "features_value"
+    ).join(copies.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node")), "node")
+    table = stage(
+        values.select("node", profile_means(F.col("features_value")).alias("means")).join(
+            reference_table(values, "node").withColumnRenamed("ref", "node"), "node"
+        ),
+        "vectors",
     )
-    vector = F.xxhash64("features_value")
-    # Equal vectors share one representative; the hash only narrows the grouping key.
-    same = table.groupBy(vector.alias("vector"), F.to_json("features_value").alias("text")).agg(
-        F.min("node").alias("src")
+    parts = connected_components(table, leader_edges(table))
+    labelled = stage(table.join(parts, "node").withColumnRenamed("component", "part"), "parts")
+    across = matching_pairs(
+        labelled.withColumnRenamed("node", "probe"),
+        labelled.withColumnRenamed("node", "ref"),
+        CLUSTERING,
+        across="part",
     )
-    keyed = table.select("node", vector.alias("vector"), F.to_json("features_value").alias("text"))
-    copies = (
-        keyed.join(same, ["vector", "text"])
-        .where(F.col("node") != F.col("src"))
-        .select("src", F.col("node").alias("dst"))
-    )
-    distinct = stage(table.join(same.select(F.col("src").alias("node")), "node"), "profiles")
-    references = reference_table(distinct, "node")
-    probes = distinct.select(
-        F.col("node").alias("probe"), profile_means(F.col("features_value")).alias("means")
-    )
-    similar = matching_pairs(probes, references, CLUSTERING)
     # A reference that matches everything links all profiles; one of them is enough for that.
-    hub = unbounded_references(references).agg(F.min("ref").alias("src"))
-    linked = probes.withColumn("src", hub.scalar()).select("src", F.col("probe").alias("dst"))
-    pairs = similar.select(
-        F.least("probe", "ref").alias("src"), F.greatest("probe", "ref").alias("dst")
+    hub = unbounded_references(table.withColumnRenamed("node", "ref")).agg(F.min("ref").alias("n"))
+    everywhere = table.select(hub.scalar().alias("src"), F.col("node").alias("dst"))
+    links = across.select(F.col("probe").alias("src"), F.col("ref").alias("dst")).unionByName(
+        everywhere.where(F.col("src").isNotNull())
     )
-    return (
-        pairs.unionByName(linked.where(F.col("src").isNotNull()))
-        .unionByName(copies)
-        .where(F.col("src") != F.col("dst"))
+    part_of = parts.withColumnRenamed("component", "part")
+    merged = (
+        links.join(part_of.withColumnsRenamed({"node": "src", "part": "a"}), "src")
+        .join(part_of.withColumnsRenamed({"node": "dst", "part": "b"}), "dst")
+        .where(F.col("a") != F.col("b"))
+        .select(F.col("a").alias("src"), F.col("b").alias("dst"))
         .distinct()
     )
+    whole = connected_components(
+        parts.select(F.col("component").alias("node")).distinct(), merged
+    ).withColumnsRenamed({"node": "part"})
+    labels = part_of.join(whole, "part").select("node", "component")
+    return copies.join(labels.withColumnRenamed("node", "src"), "src").select(
+        F.col("dst").alias("node"), "component"
+    )
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -74,6 +133,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         "edges",
     )
     labels = stage(nodes.select("node", F.col("node").alias("component")), "labels")
+    if both.isEmpty():
+        return labels
     for _ in range(max_rounds):
         smallest = (
             both.join(labels, both["src"] == labels["node"])
@@ -98,8 +159,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
 
 def cluster_profiles(profile_table: DataFrame) -> DataFrame:
     """``rowkey, cluster_id``: ids count up in the order of each cluster's smallest row key."""
-    nodes = profile_table.select(hex_lower(F.col("rowkey")).alias("node"))
-    labels = connected_components(nodes, resemblance_edges(profile_table))
+    labels = stage(resemblance_labels(profile_table), "labels")
     numbered = number_by_hash(
         labels.where(F.col("node") == F.col("component")).select("component"),
         "component",

@@ -3,12 +3,15 @@
 A probe matches a reference when at least ``NEEDED`` of the reference's ten top features have a
 ratio inside a band.  Two ways, same result:
 
-* ``first_match_small``: few references (counted first) travel to every task as one constant and are
+* ``first_match_small``: a bounded number of references travels to every task as one constant and is
   tried in key order; no shuffle, no pair is ever a row.
 * ``matching_pairs``: any number of references.  Ten features and eight needed leave room for two
   misses, so of any three top features at least one is inside its band.  Each reference therefore
   looks only at its three rarest features, and meets the probes through an equi-join on (feature,
   power-of-two bucket).  Busy buckets are salted.
+
+``first_match`` uses the first for a block of the smallest keys and the second only for probes that no
+reference of the block matches.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from wireloom.functions.ratios import feature_ratio
 from wireloom.operators.profiles import TOP, top_features
+from wireloom.plans.staging import stage
 
 # How many of the ten must agree, and the band of each use.
 NEEDED = 8
@@ -76,6 +80,20 @@ def matches(means: Column, top: Column, band: Band) -> Column:
     return _agreeing(means, top, band) >= NEEDED
 
 
+def matches_joined(means: str, top: str, band: Band) -> Column:
+    """``matches`` for a joined pair, written out feature by feature so that it is compiled."""
+    terms = []
+    for i in range(TOP):
+        probe, reference = f"get({means}, get({top}, {i}).pos)", f"get({top}, {i}).mean"
+        a, b = (probe, reference) if band.probe_on_top else (reference, probe)
+        inside = f"try_divide({a}, {b}) between {band.low}D and {band.high}D"
+        always = f"{band.low <= 1 <= band.high}"
+        never_divided = f"when {a} is null or {b} is null then {always} when {b} = 0 then {a} = 0"
+        holds = f"case {never_divided} and {always} else {inside} end"
+        terms.append(f"if(size({top}) > {i} and {holds}, 1, 0)")
+    return F.expr(f"{' + '.join(terms)} >= {NEEDED}")
+
+
 def first_match_small(probes: DataFrame, references: DataFrame, band: Band) -> DataFrame:
     """Add ``ref``, the first reference in key order that matches ``means``, or null."""
     ordered = references.agg(F.array_sort(F.collect_list(F.struct("ref", "top"))).alias("all"))
@@ -117,60 +135,87 @@ def _reachable_buckets(reference: Column, band: Band) -> Column:
     return F.concat(finite, F.array(F.lit(_UNKNOWN)))
 
 
-def matching_pairs(probes: DataFrame, references: DataFrame, band: Band) -> DataFrame:
-    """Distinct ``(probe, ref)`` that match, for probes ``(probe, means)`` and ``(ref, top)``.
+def matching_pairs(
+    probes: DataFrame, references: DataFrame, band: Band, across: str | None = None
+) -> DataFrame:
+    """``(probe, ref)`` that match, for probes ``(probe, means)`` and references ``(ref, top)``.
+
+    A pair can come up to three times.  With ``across`` only pairs whose values of that column (in
+    both tables) differ are looked for: a bucket held by one value is skipped, and in any other the
+    rows of its commonest value meet only the rest, never each other.
 
     References with fewer than three known features match every probe by the null rule; they are
     the caller's to handle, see ``unbounded_references``.
     """
+    extra = [across] if across else []
     tokens = probes.select(
-        "probe", "means", F.posexplode("means").alias("pos", "value")
+        "probe", "means", *extra, F.posexplode("means").alias("pos", "value")
     ).withColumn("bucket", _bucket(F.col("value")))
     # One row per (feature, bucket): 44 features times at most about 4,100 buckets.
-    busy = tokens.groupBy("pos", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    if across:
+        busy = (
+            tokens.groupBy("pos", "bucket", across)
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .groupBy("pos", "bucket")
+            .agg(
+                F.sum("rows").alias("n"),
+                F.count(F.lit(1)).alias("values"),
+                F.max_by(across, F.struct("rows", across)).alias("common"),
+            )
+            .where(F.col("values") > 1)
+        )
+    else:
+        busy = tokens.groupBy("pos", "bucket").agg(F.count(F.lit(1)).alias("n"))
     busy = busy.withColumn("salts", F.ceil(F.col("n") / ROWS_PER_BUCKET).cast("int"))
 
     known = F.filter("top", lambda f: f["mean"].isNotNull())
     looked_up = (
         references.where(F.size(known) >= 3)
-        .select("ref", "top", F.explode(known).alias("feature"))
-        .select("ref", "top", "feature.pos", "feature.mean")
+        .select("ref", "top", *extra, F.explode(known).alias("feature"))
+        .select("ref", "top", *extra, "feature.pos", "feature.mean")
         .withColumn("bucket", F.explode(_reachable_buckets(F.col("mean"), band)))
         .join(F.broadcast(busy), ["pos", "bucket"], "left")
     )
+    entry = ["bucket", "salts", *(["common"] if across else [])]
     # Per reference: ten features of at most five buckets each.
     by_feature = looked_up.groupBy("ref", "pos").agg(
         F.sum(F.coalesce("n", F.lit(0))).alias("cost"),
         F.first("top").alias("top"),
-        F.collect_list(F.struct("bucket", "salts")).alias("buckets"),
+        *[F.first(c).alias(c) for c in extra],
+        F.collect_list(F.struct(*entry)).alias("buckets"),
     )
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("cost", "pos", "buckets"))), 1, 3)
     pivots = (
         by_feature.groupBy("ref")
-        .agg(F.first("top").alias("top"), rarest.alias("pivots"))
-        .select("ref", "top", F.explode("pivots").alias("pivot"))
-        .select("ref", "top", "pivot.pos", F.explode("pivot.buckets").alias("b"))
-        .where(F.col("b.salts").isNotNull())
-        .select(
-            "ref",
-            "top",
-            "pos",
-            F.col("b.bucket").alias("bucket"),
-            F.explode(F.sequence(F.lit(0), F.col("b.salts") - 1)).alias("salt"),
+        .agg(
+            F.first("top").alias("top"),
+            *[F.first(c).alias(c) for c in extra],
+            rarest.alias("pivots"),
         )
+        .select("ref", "top", *extra, F.explode("pivots").alias("pivot"))
+        .select("ref", "top", *extra, "pivot.pos", F.explode("pivot.buckets").alias("b"))
+        .where(F.col("b.salts").isNotNull())
+        .select("ref", "top", *extra, "pos", "b.*")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     )
-    salted = tokens.join(F.broadcast(busy), ["pos", "bucket"]).select(
-        "probe",
-        "means",
-        "pos",
-        "bucket",
-        F.pmod(F.xxhash64("probe"), F.col("salts").cast("bigint")).cast("int").alias("salt"),
-    )
+    salt = F.pmod(F.xxhash64("probe"), F.col("salts").cast("bigint")).cast("int")
+    salted = tokens.join(F.broadcast(busy), ["pos", "bucket"]).withColumn("salt", salt)
+    keys = ["pos", "bucket", "salt"]
+    holds = matches_joined("means", "top", band)
+    if across:
+        keys.append("uncommon_ref")
+        uncommon = F.col(across) != F.col("common")
+        pivots = pivots.withColumn("uncommon_ref", uncommon).withColumnRenamed(across, "ref_side")
+        wanted = F.when(uncommon, F.array(F.lit(True), F.lit(False))).otherwise(
+            F.array(F.lit(True))
+        )
+        salted = salted.withColumn("uncommon_ref", F.explode(wanted))
+        holds = (F.col(across) != F.col("ref_side")) & holds
     return (
-        salted.join(pivots, ["pos", "bucket", "salt"])
-        .where(matches(F.col("means"), F.col("top"), band))
+        salted.select("probe", "means", *extra, *keys)
+        .join(pivots.select("ref", "top", *(["ref_side"] if across else []), *keys), keys)
+        .where(holds)
         .select("probe", "ref")
-        .distinct()
     )
 
 
@@ -186,13 +231,22 @@ def first_match(
     small: int = SMALL_REFERENCES,
 ) -> DataFrame:
     """``probe, ref``: each probe with its first matching reference in key order, or null."""
-    if references.count() <= small:
-        return first_match_small(probes, references, band).select("probe", "ref")
+    few = references.count() <= small
+    if small > 0:
+        block = references if few else references.orderBy("ref").limit(small)
+        probes = first_match_small(probes, block, band)
+        if few:
+            return probes.select("probe", "ref")
+        probes = stage(probes, "probes")
+        references = references.where(F.col("ref") > block.agg(F.max("ref").alias("last")).scalar())
+        found = probes.where(F.col("ref").isNotNull()).select("probe", "ref")
+        probes = probes.where(F.col("ref").isNull()).drop("ref")
     pairs = matching_pairs(probes, references, band)
     best = pairs.groupBy("probe").agg(F.min("ref").alias("ref"))
     everywhere = unbounded_references(references).agg(F.min("ref").alias("ref"))
-    return (
+    rest = (
         probes.select("probe")
         .join(best, "probe", "left")
         .withColumn("ref", F.least("ref", everywhere.scalar()))
     )
+    return found.unionByName(rest) if small > 0 else rest
