@@ -183,22 +183,24 @@ def read_range(part: FileRange) -> Iterator[pa.RecordBatch]:
         layout = _layout(file)
         name = part.path.encode()
         keys, times, frames = [], [], []
-        held = 0
-        file.seek(part.start)
-        at = part.start
+        held, at = 0, part.start
+        block, origin = b"", at
         while at < part.end:
-            header = file.read(RECORD_HEADER)
-            if len(header) < RECORD_HEADER:
-                break
-            sec, frac, kept, _ = struct.unpack(layout.order + "IIII", header)
-            frame = file.read(kept)
-            if len(frame) < kept:
-                break
+            if at + RECORD_HEADER > origin + len(block):
+                block, origin = file.read_at(WALK_BYTES, at), at
+                if len(block) < RECORD_HEADER:
+                    break
+            sec, frac, kept, _ = struct.unpack_from(layout.order + "IIII", block, at - origin)
+            if at + RECORD_HEADER + kept > origin + len(block):
+                block, origin = file.read_at(max(WALK_BYTES, RECORD_HEADER + kept), at), at
+                if len(block) < RECORD_HEADER + kept:
+                    break  # cut off in the middle of a record
+            body = at - origin + RECORD_HEADER
             t = sec * 1_000_000 + frac // layout.unit
             suffix = hashlib.md5(name + at.to_bytes(8, "big")).digest()[:8]
             keys.append(hashlib.md5(t.to_bytes(8, "big")).digest() + suffix)
             times.append(t)
-            frames.append(frame)
+            frames.append(block[body : body + kept])
             held += kept
             at += RECORD_HEADER + kept
             if len(keys) >= BATCH_ROWS or held >= BATCH_BYTES:
