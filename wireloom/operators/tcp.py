@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wireloom.functions.addresses import FLOW
 from wireloom.operators.decode import PROTO_TCP
 from wireloom.plans.skew import CHUNK, ROWS_PER_CHUNK, Splits, find_splits, running
+from wireloom.plans.staging import stage
 
 # Fixed values of the flags byte.
 SYN, SYN_ACK, ACK = 0x02, 0x12, 0x10
@@ -100,6 +101,9 @@ def handshakes_latest(packets: DataFrame) -> DataFrame:
     answered = running(
         rows, HANDSHAKE, order, {"syn_ts": ("max", F.when(flags == SYN, F.col("t")))}
     )
+    if CHUNK in rows.columns:
+        # The second pass reads the first one twice when keys are cut into chunks.
+        answered = stage(answered, "answered")
     # Within one handshake key the SYN time only grows, so "latest SYN-ACK's SYN" is a running max.
     completed = running(
         answered.where(flags != SYN),
@@ -116,6 +120,8 @@ def handshakes_latest(packets: DataFrame) -> DataFrame:
 
 def _with_starts(packets: DataFrame, starts: DataFrame, splits: Splits) -> DataFrame:
     """Packets and start markers in one table, so that one shuffle orders both."""
+    if splits.cuts is not None:
+        starts = stage(starts, "starts")
     markers = splits.assign(starts.withColumn("t", F.col("start_ts")))
     return packets.unionByName(markers, allowMissingColumns=True)
 
