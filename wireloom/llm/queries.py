@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import decontaminate, exact_dedup, url_filter
+from wireloom.llm import decontaminate, exact_dedup, simhash, url_filter
 from wireloom.llm.common import LOWER, UPPER, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def _op1_sql() -> str:
 ORACLES["op1_url_filters"] = _op1_sql()
 
 
+@query
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def decontamination_digests(rows: DataFrame) -> DataFrame:
     items = F.array_join(F.array_sort("_items"), ",")
     return rows.select(
