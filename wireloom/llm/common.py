@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +32,27 @@ BROADCAST_ROWS = 200_000
 SLICE_BYTES = 1 << 20
 
 
+_sent: set[str] = set()
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Keep batches of text small: the default of 10,000 rows can be gigabytes of long documents."""
+    """Send this package to the session's Python workers, and keep batches of text small.
+
+    The default of 10,000 rows a batch can be gigabytes of long documents.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    context = spark.sparkContext
+    if context.applicationId not in _sent:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="wireloom-"), "wireloom.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        whole = os.path.join(folder, name)
+                        z.write(whole, os.path.relpath(whole, os.path.dirname(package)))
+        context.addPyFile(path)
+        _sent.add(context.applicationId)
     return spark
 
 

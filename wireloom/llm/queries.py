@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import decontaminate, exact_dedup, simhash, url_filter
+from wireloom.llm import bpe, decontaminate, exact_dedup, langid, simhash, url_filter
 from wireloom.llm.common import LOWER, UPPER, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,31 @@ ORACLES["op6_exact_dedup"] = """
     select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
            doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
     from documents window g as (partition by coalesce(text, ''))"""
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit_on_rest(docs)
+    found = docs.select("doc_id", langid.labelled(docs, model).alias("found"))
+    return found.select(
+        "doc_id", langid.held_out().alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score"
+    )
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encode and decode every text: doc_id, n_tokens and the digests of ids and decoded text."""
+    tokens = public_tokenizers.path("byte_bpe_50k.json")
+    narrow = docs.select("doc_id", "text")
+    coded = bpe.encoded(narrow, tokens, bpe.build_lexicon(narrow, tokens))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), tokens), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_read(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.llm.common import lower_ascii
+from wireloom.llm.common import lower_ascii, ready
 
 STRICT = (
     "porn", "porno", "xxx", "sex", "sexcam", "adult", "hentai", "escort", "escorts", "nude", "nudes",
@@ -112,6 +112,7 @@ def judge_urls(
     threshold: int = THRESHOLD,
 ) -> DataFrame:
     """Add a struct ``judged``: host, path, rule, verdict, strict_hits, soft_hits, terms (sorted)."""
+    ready(df.sparkSession)
     by_host: dict[str, list[Rule]] = {}
     for rule in rules:
         by_host.setdefault(rule.host, []).append(rule)
