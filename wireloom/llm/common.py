@@ -27,6 +27,7 @@ ROWS_PER_BATCH = 1000
 
 #: A side of narrow rows is broadcast when it was counted and has no more rows than this.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 #: Bytes of text a vectorised step works on at once; one longer text is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -60,12 +61,16 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def sized_broadcast(staged: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``staged`` (a written table of narrow rows) with a broadcast hint if it has at most ``most`` rows.
+def sized_broadcast(
+    staged: DataFrame, most: int = BROADCAST_ROWS, size: Column | None = None
+) -> DataFrame:
+    """``staged`` (a written table) with a broadcast hint if it was found to be small.
 
+    Small is at most ``most`` rows and, where rows vary in ``size`` bytes, ``BROADCAST_BYTES`` together.
     Beyond that Spark joins by a shuffle, whose hot keys adaptive execution splits.
     """
-    return F.broadcast(staged) if staged.count() <= most else staged
+    rows, total = staged.agg(F.count(F.lit(1)), F.sum(F.lit(0) if size is None else size)).first()
+    return F.broadcast(staged) if rows <= most and (total or 0) <= BROADCAST_BYTES else staged
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -200,7 +200,9 @@ def decontamination(
 ) -> DataFrame:
     """All columns of ``docs`` as ``_c0, _c1 ...`` behind _n_words, _n_hit, _items (ids as text)."""
     ready(docs.sparkSession)
-    found = sized_broadcast(matches(docs, benchmark, doc, item, text)).withColumnRenamed("_id", "_match")
+    size = F.aggregate("_found", F.lit(0), lambda n, f: n + F.octet_length(f["text"]))
+    found = sized_broadcast(matches(docs, benchmark, doc, item, text), size=size)
+    found = found.withColumnRenamed("_id", "_match")
     rows = docs.select(
         F.col(f"`{text}`").alias("_text"), F.col(f"`{doc}`").alias("_key"),
         *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)),

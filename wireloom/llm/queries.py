@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import bpe, decontaminate, exact_dedup, langid, simhash, url_filter
+from wireloom.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    langid,
+    license_scan,
+    secret_scan,
+    simhash,
+    url_filter,
+)
 from wireloom.llm.common import LOWER, UPPER, ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +163,87 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @query
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    ledger = secret_scan.new_ledger(spark)
+    ledger.scan(docs)
+    found = F.col("found")
+    base = F.filter(found, lambda f: f["number"] < len(secret_scan.BASE))
+
+    def n(kind: str):
+        return F.size(F.filter(found, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return ledger.report(docs, "doc_id").select(
+        "doc_id", *(n(r.kind) for r in secret_scan.BASE),
+        F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+        secret_scan.spans_text(found).alias("spans"),
+    )
+
+
+def _op5_sql() -> str:
+    def one(number: int, r: secret_scan.Rule) -> str:
+        p = r.pattern.replace("'", "''")
+        return f"""select doc_id, {number} no, '{r.kind}' kind, {r.least} least, regexp_split_to_array(t, '{p}') g,
+            regexp_extract_all(t, '{p}', 0) m, regexp_extract_all(t, '{p}', {r.group}) v from d"""
+
+    every = " union all ".join(one(i, r) for i, r in enumerate(secret_scan.RULES))
+    return f"""
+    with d as (select doc_id, coalesce(text, '') t from documents), a as ({every}),
+    b as (select *, unnest(range(1, len(m) + 1)) i from a),
+    c as (select doc_id, no, kind, length(v[i]) >= least fits, length(m[i]) size,
+                 length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) s from b),
+    f as (select doc_id, no, kind, s::bigint s, kind || ':' || s::bigint || ':' || (s + size)::bigint x from c where fits),
+    g as (select doc_id, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access,
+                 count(*) filter (kind = 'hex') n_hex, string_agg(x, ',' order by s, no) filter (no < 3) base,
+                 string_agg(x, ',' order by s, no) spans from f group by 1)
+    select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex,
+           sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+    from d left join g using (doc_id)"""
+
+
+ORACLES["op5_secret_scans"] = _op5_sql()
+
+
+@query
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_read(spark, sf_dir, "documents"))
+    places, base = F.col("places"), license_scan.base_places(F.col("places"))
+    n = F.size(base).cast("long")
+    return found.select(
+        "doc_id", "n_words", n.alias("n_base"),
+        F.when(n > 0, F.get(base, F.lit(0))["start"].cast("long")).alias("first_word"),
+        F.when(n > 0, F.get(base, (n - 1).cast("int"))["start"].cast("long")).alias("last_word"),
+        license_scan.labels(base).alias("base_labels"),
+        license_scan.labels(places).alias("labels"),
+        F.coalesce(F.array_max(F.transform(places, lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def _op8_sql() -> str:
+    rows = []
+    for number, t in enumerate(license_scan.TEMPLATES):
+        own = t.words.split()
+        key: set[int] = set()
+        for phrase in t.keys:
+            at = f" {t.words} ".index(f" {phrase} ")
+            first = len(t.words[:at].split())
+            key |= set(range(first, first + len(phrase.split())))
+        rows += [f"({number}, '{t.label}', {t.base}, {len(own)}, {len(key)}, {i}, '{w}', {int(i in key)})" for i, w in enumerate(own)]
+    return rf"""
+    with t(template, label, base, size, keys, o, word, is_key) as (values {", ".join(rows)}),
+    w as (select doc_id, regexp_extract_all({sql_lower("coalesce(text, '')")}, '{WORD}') w from documents),
+    p as (select doc_id, unnest(w) word, unnest(range(len(w))) pos from w),
+    s as (select doc_id, template, label, base, pos - o start, count(*) / size share
+          from p join t using (word) group by doc_id, template, label, base, size, keys, pos - o
+          having sum(is_key) = keys and count(*) / size >= {license_scan.LEAST_SHARE}),
+    g as (select doc_id, count(*) filter (base) n_base, min(start) filter (base) first_word, max(start) filter (base) last_word,
+                 string_agg(distinct label, ',' order by label) filter (base) base_labels,
+                 string_agg(distinct label, ',' order by label) labels, max(share) score from s group by 1)
+    select doc_id, len(w) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels,
+           coalesce(labels, '') labels, coalesce(score, 0) score from w left join g using (doc_id)"""
+
+
+ORACLES["op8_license_scans"] = _op8_sql()
