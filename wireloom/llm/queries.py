@@ -14,9 +14,11 @@ from wireloom.llm import (
     exact_dedup,
     langid,
     license_scan,
+    quality,
     secret_scan,
     simhash,
     url_filter,
+    warc,
 )
 from wireloom.llm.common import LOWER, UPPER, ready
 
@@ -247,3 +249,37 @@ def _op8_sql() -> str:
 
 
 ORACLES["op8_license_scans"] = _op8_sql()
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no capture times; one second per id stands for them.
+    time = F.timestamp_seconds(1_600_000_000 + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000)))
+    captures = _read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), "url", F.col("html").alias("payload"), time.alias("time")
+    )
+    return warc.archived(captures).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def _op7_sql() -> str:
+    parts = " || ".join(
+        f"to_base(('0x' || substr(d, {5 * i + 1}, 5))::bigint, 32, 4)" for i in range(8)
+    )
+    return f"""
+    with a as (select page_id, encode(coalesce(html, '')) p from pages),
+    b as (select page_id, octet_length(p) n, sha1(p) d, max(page_id) over (partition by p) last from a)
+    select page_id, n as payload_bytes,
+           translate(upper({parts}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+           case when page_id = last then 'response' else 'revisit' end as record_type,
+           case when page_id <> last then last end as refers_to
+    from b"""
+
+
+ORACLES["op7_warc"] = _op7_sql()
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
