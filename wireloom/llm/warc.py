@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -108,12 +107,12 @@ def write_archives(df: DataFrame, path: str) -> None:
 
 def url_key(url: str) -> str:
     """Host labels from the right, then the rest as it is: captures of a site are neighbours."""
-    parts = urlsplit(url) if "://" in url else None
-    if not parts or not parts.netloc:
+    scheme, found, rest = url.partition("://")
+    at = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+    host, _, port = rest[:at].lower().partition(":")
+    if not found or not host:
         return url
-    host, _, port = parts.netloc.lower().partition(":")
-    rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + rest
+    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + rest[at:].partition("#")[0]
 
 
 def parse(archive: bytes) -> Iterator[tuple]:
