@@ -326,22 +326,18 @@ shares as (
 
 _SETS = """
 sizes as (
-  select m, direction, count(distinct sid) as sessions from shares group by m, direction),
+  select m, direction, ceil(0.2 * count(distinct sid)) as least from payloads group by m, direction),
 singles as (
-  select m, direction, item, count(*) as freq, max(ceil(0.2 * sessions)) as least
+  select m, direction, item, list(sid) as sids, max(least) as least
   from shares join sizes using (m, direction)
-  group by m, direction, item having count(*) >= max(ceil(0.2 * sessions))),
-pairs as (
-  select a.m, a.direction, a.item as a, b.item as b, count(*) as freq
-  from shares a join shares b
-    on a.m = b.m and a.sid = b.sid and a.direction = b.direction and a.item < b.item
-  join singles x on x.m = a.m and x.direction = a.direction and x.item = a.item
-  join singles y on y.m = b.m and y.direction = b.direction and y.item = b.item
-  group by a.m, a.direction, a.item, b.item having count(*) >= max(x.least)),
-sets as (
-  select m, direction, [item] as items, 1 as size, freq from singles
+  group by m, direction, item having count(*) >= max(least)),
+grown as (
+  select m, direction, [item] as items, item as last, sids, least from singles
   union all
-  select m, direction, [a, b], 2, freq from pairs)
+  select a.m, a.direction, list_append(a.items, b.item), b.item, list_intersect(a.sids, b.sids), a.least
+  from grown a join singles b on a.m = b.m and a.direction = b.direction and b.item > a.last
+  where len(list_intersect(a.sids, b.sids)) >= a.least),
+sets as (select m, direction, items, len(items) as size, len(sids) as freq from grown)
 """
 
 
@@ -597,9 +593,15 @@ ORACLES: dict[str, str] = {
       from packets""",
     "t7_first_rows": _with(*_P)
     + "select rowkey, t, pkt_len from packets order by rowkey limit 10",
-    "n1_frequent_sets": _with(*_K, _SETS)
+    "n1_frequent_sets": _with(*_K, _SETS, recursive=True)
     + "select m, direction, array_to_string(items, ',') as items, size, freq from sets",
-    "n3_keywords": _with(*_K, _SETS, _BEST)
+    "n1_fpgrowth_full": _with(*_K, _SETS, recursive=True)
+    + "select m, direction, array_to_string(items, ',') as items, size, freq from sets",
+    "n2_sample": _with(*_K)
+    + """select distinct m, sid, direction from payloads
+      where ('0x' || substr(md5('42|' || m || '|' || sid || '|' || direction), 1, 8))::bigint
+            % 1000000 < 50000""",
+    "n3_keywords": _with(*_K, _SETS, _BEST, recursive=True)
     + """select md5(m) as rowkey, m, direction,
         array_to_string(list_transform(list_sort(list(item)), lambda x: base64(unhex(x))), ',')
           as keywords

@@ -435,23 +435,26 @@ def a9_keyword_share(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.keyword_shares(fx.payload_table(spark, sf))
 
 
+def _sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return keywords.sessions(fx.payload_table(spark, sf))
+
+
 def n1_frequent_sets(spark: SparkSession, sf: str) -> DataFrame:
-    sets = keywords.frequent_sets(_shares(spark, sf))
+    sets = keywords.frequent_sets(_shares(spark, sf), _sessions(spark, sf))
     return sets.select("m", "direction", F.array_join("items", ",").alias("items"), "size", "freq")
 
 
 def n1_fpgrowth_full(spark: SparkSession, sf: str) -> DataFrame:
-    sets = keywords.fp_growth_sets(_shares(spark, sf))
-    return sets.select(F.array_join("items", ",").alias("items"), "size", "freq")
+    sets = keywords.fp_growth_sets(_shares(spark, sf), _sessions(spark, sf))
+    return sets.select("m", "direction", F.array_join("items", ",").alias("items"), "size", "freq")
 
 
 def n2_sample(spark: SparkSession, sf: str) -> DataFrame:
-    kept = keywords.sample_transactions(_shares(spark, sf))
-    return kept.select(*keywords.SESSION).distinct()
+    return keywords.sample_transactions(_sessions(spark, sf))
 
 
 def n3_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return _hex_row(keywords.keywords(_shares(spark, sf)))
+    return _hex_row(keywords.keywords(_shares(spark, sf), _sessions(spark, sf)))
 
 
 # --- scalar functions --------------------------------------------------------------------------

@@ -77,24 +77,96 @@ def test_shares_and_sets_equal_brute_force(spark):
     got = {(r["m"], r["sid"], r["direction"], r["item"]): r["share"] for r in shares.collect()}
     expected = brute_shares(rows)
     assert got == pytest.approx(expected) and len(got) > 50
-    sets = keywords.frequent_sets(shares).collect()
-    found = {(r["m"], r["direction"], tuple(r["items"])): r["freq"] for r in sets}
+    sessions = keywords.sessions(df)
     wanted = {}
-    for (m, way), sessions in transactions(expected).items():
-        for combo, freq in brute_sets(list(sessions.values()), 0.2, (1, 2)).items():
+    for (m, way), kept in transactions(expected).items():
+        every = len({sid for m2, sid, way2, _ in rows if (m2, way2) == (m, way)})
+        baskets = [*kept.values(), *[set()] * (every - len(kept))]
+        for combo, freq in brute_sets(baskets, 0.2, (1, 2)).items():
             wanted[m, way, combo] = freq
-    assert found == wanted
+    sets = keywords.frequent_sets(shares, sessions, max_size=2).collect()
+    assert {(r["m"], r["direction"], tuple(r["items"])): r["freq"] for r in sets} == wanted
+
+
+SHARES = "m string, sid bigint, direction string, item string, share double"
+
+
+def baskets_of(spark, baskets, m="m"):
+    """Shares and sessions of a list of item sets, empty ones included."""
+    rows = [(m, sid, "back", item, 1.0) for sid, b in enumerate(baskets) for item in b]
+    sessions = [(m, sid, "back") for sid in range(len(baskets))]
+    return spark.createDataFrame(rows, SHARES), spark.createDataFrame(sessions, SHARES.partition(", item")[0])
+
+
+def mined(sets):
+    return {(r["m"], tuple(r["items"])): r["freq"] for r in sets.collect()}
+
+
+def test_sets_of_every_size(spark):
+    rng = random.Random(4)
+    shares = sessions = None
+    wanted = {}
+    for m, n, low in (("a", 30, 0.3), ("b", 7, 0.3), ("c", 1, 0.3)):
+        baskets = [{i for i in "ABCDEFG" if rng.random() < 0.8} for _ in range(n)]
+        one, all_ = baskets_of(spark, baskets, m)
+        shares = one if shares is None else shares.union(one)
+        sessions = all_ if sessions is None else sessions.union(all_)
+        wanted |= {(m, c): f for c, f in brute_sets(baskets, low, range(1, 8)).items()}
+    assert max(len(c) for _, c in wanted) > 3
+    assert mined(keywords.frequent_sets(shares, sessions, 0.3)) == wanted
+    assert mined(keywords.fp_growth_sets(shares, sessions, 0.3)) == wanted
+    three = {k: f for k, f in wanted.items() if len(k[1]) <= 3}
+    assert mined(keywords.frequent_sets(shares, sessions, 0.3, max_size=3)) == three
+
+
+def test_empty_sessions_count_towards_support(spark):
+    shares, sessions = baskets_of(spark, [{"A"}, {"B"}] + [set()] * 8)
+    assert keywords.frequent_sets(shares, sessions).count() == 0
+    assert keywords.best_sets(shares, sessions).count() == 0
+    shares, sessions = baskets_of(spark, [{"A"}, {"A"}] + [set()] * 8)
+    assert mined(keywords.frequent_sets(shares, sessions)) == {("m", ("A",)): 2}
+
+
+def test_equal_items_all_stay(spark):
+    for n in (12, 300):
+        items = {f"{i:06X}" for i in range(n)}
+        shares, sessions = baskets_of(spark, [items] * 5)
+        words = keywords.keywords(shares, sessions).collect()[0]["keywords"].split(",")
+        assert len(words) == n
+        assert [r["size"] for r in keywords.best_sets(shares, sessions).orderBy("place").collect()] == [n] + [n - 1] * 9
+
+
+def test_best_sets_equal_the_definition(spark):
+    for seed in range(12):
+        rng = random.Random(seed)
+        pool = ["AAA", "AAB", "AAC", "BBB", "BBC", "CCC", "DDD"]
+        twins = rng.randint(0, 4)
+        baskets = []
+        for _ in range(rng.choice([1, 5, 12])):
+            b = {i for i in pool if rng.random() < rng.choice([0.3, 0.8])}
+            if "AAA" in b:
+                b |= {f"A{t}" for t in range(twins)}
+            baskets.append(b - {f"A{t}" for t in range(twins)} if "AAA" not in b else b)
+        shares, sessions = baskets_of(spark, baskets)
+        sets = brute_sets(baskets, 0.2, range(1, 12))
+        best = sorted(sets, key=lambda c: (-sets[c], -len(c), c))[:10]
+        got = keywords.best_sets(shares, sessions).orderBy("place").collect()
+        assert [tuple(r["items"]) for r in got] == best
+        assert [r["freq"] for r in got] == [sets[c] for c in best]
 
 
 def test_keywords_come_from_the_ten_best_sets(spark):
     rows = make_rows(2)
     shares = brute_shares(rows)
-    df = keywords.keyword_shares(spark.createDataFrame(rows, SCHEMA))
-    got = {(r["m"], r["direction"]): r for r in keywords.keywords(df).collect()}
-    groups = transactions(shares)
-    assert got.keys() == groups.keys()
-    for (m, way), sessions in groups.items():
-        sets = brute_sets(list(sessions.values()), 0.2, (1, 2))
+    df = spark.createDataFrame(rows, SCHEMA)
+    sessions = keywords.sessions(df)
+    got = {(r["m"], r["direction"]): r for r in keywords.keywords(keywords.keyword_shares(df), sessions).collect()}
+    counts = {(r["m"], r["direction"]): r["count"] for r in sessions.groupBy("m", "direction").count().collect()}
+    for (m, way), kept in transactions(shares).items():
+        baskets = list(kept.values()) + [set()] * (counts[m, way] - len(kept))
+        sets = brute_sets(baskets, 0.2, range(1, 3))
+        if max(map(len, brute_sets(baskets, 0.2, range(3, 4))), default=0):
+            continue
         best = sorted(sets, key=lambda c: (-sets[c], -len(c), c))[:10]
         items = sorted(set(itertools.chain(*best)))
         words = ",".join(base64.b64encode(bytes.fromhex(i)).decode() for i in items)
@@ -102,19 +174,6 @@ def test_keywords_come_from_the_ten_best_sets(spark):
         assert bytes(got[m, way]["rowkey"]) == hashlib.md5(m.encode()).digest()
 
 
-def test_fp_growth_equals_brute_force(spark):
-    baskets = [set("AB"), set("ABC"), set("AC"), set("BD"), set("ABCD"), set("E")]
-    rows = [("m", sid, "back", item, 1.0) for sid, b in enumerate(baskets) for item in b]
-    shares = spark.createDataFrame(
-        rows, "m string, sid bigint, direction string, item string, share double"
-    )
-    got = {
-        tuple(r["items"]): r["freq"] for r in keywords.fp_growth_sets(shares, 0.3).collect()
-    }
-    assert got == brute_sets(baskets, 0.3, range(1, 5))
-    assert max(map(len, got)) == 3
-
-
 def test_sample_keeps_whole_sessions_and_repeats(spark):
     rows = [("m", sid, "back", item, 1.0) for sid in range(2000) for item in "AB"]
     shares = spark.createDataFrame(

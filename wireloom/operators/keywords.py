@@ -6,12 +6,15 @@ one session of one endpoint and direction, its items the trigrams kept for that
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wireloom.functions.binary import md5_bytes
 from wireloom.functions.trigrams import item_base64, trigram_positions
+from wireloom.plans.staging import stage
 
 # Fixed values of the keyword search.
 SHARE_LOW, SHARE_HIGH = 0.5, 1.0
@@ -68,95 +71,182 @@ def keyword_shares(
     )
 
 
+def sessions(payloads: DataFrame) -> DataFrame:
+    """``m, sid, direction`` of every transaction, those that keep no trigram included."""
+    return complete_rows(payloads).select(*SESSION).distinct()
+
+
 def sample_transactions(
-    shares: DataFrame, fraction: float = SAMPLE_FRACTION, seed: int = 42
+    rows: DataFrame, fraction: float = SAMPLE_FRACTION, seed: int = 42
 ) -> DataFrame:
-    """A seeded share of the sessions, whole sessions at a time.
+    """A seeded share of the sessions, whole sessions at a time; for shares and sessions alike.
 
-    The choice depends on the session key and the seed alone, so a recomputed task picks the same.
+    The choice depends on the session key and the seed alone: the first 32 bits of an MD5.
     """
     if fraction >= 1.0:
-        return shares
-    place = F.pmod(F.xxhash64(F.lit(seed), *SESSION), F.lit(1_000_000))
-    return shares.where(place < int(fraction * 1_000_000))
+        return rows
+    key = F.concat_ws("|", F.lit(seed), *SESSION)
+    place = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % 1_000_000
+    return rows.where(place < int(fraction * 1_000_000))
+
+
+def least_support(sessions: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """``m, direction, least``: ``ceil(min_support * sessions of the group)``, empty ones counted."""
+    n = F.count(F.lit(1))
+    return sessions.groupBy(*GROUP).agg(F.ceil(F.lit(min_support) * n).alias("least"))
+
+
+def _singles(shares: DataFrame, sessions: DataFrame, min_support: float) -> DataFrame:
+    """Frequent items with ``freq``, ``least`` and an order-free 128-bit digest of their sessions."""
+    digest = [F.bit_xor(F.xxhash64(F.lit(salt), "sid")).alias(f"digest{salt}") for salt in (1, 2)]
+    counted = shares.groupBy(*GROUP, "item").agg(F.count(F.lit(1)).alias("freq"), *digest)
+    return counted.join(least_support(sessions, min_support), list(GROUP)).where("freq >= least")
 
 
 def frequent_sets(
-    shares: DataFrame, min_support: float = MIN_SUPPORT, max_size: int = 2
+    shares: DataFrame,
+    sessions: DataFrame,
+    min_support: float = MIN_SUPPORT,
+    max_size: int | None = None,
 ) -> DataFrame:
-    """``m, direction, items, size, freq``: item sets of up to two items, all groups at once.
+    """``m, direction, items, size, freq``: frequent item sets of every size, all groups at once.
 
-    A set is frequent in at least ``ceil(min_support * sessions of the group)`` sessions.  Sessions
-    are counted over all that kept any item.  Pairs are formed from items that are frequent alone.
+    ``max_size`` stops at that size; None lists all, which is as many rows as there are sets.  Each
+    level joins, inside a session, the frequent sets of one size that differ in their last item only,
+    so a set is formed once and only from frequent parts; counts combine before the shuffle.
     """
-    items = shares.select(*SESSION, "item")
-    sizes = (
-        items.select(*SESSION).distinct().groupBy(*GROUP).agg(F.count(F.lit(1)).alias("sessions"))
-    )
-    least = F.ceil(F.lit(min_support) * F.col("sessions"))
-    singles = (
-        items.groupBy(*GROUP, "item")
-        .agg(F.count(F.lit(1)).alias("freq"))
-        .join(sizes, list(GROUP))
-        .where(F.col("freq") >= least)
-        .select(*GROUP, "item", "freq", least.alias("least"))
+    singles = stage(_singles(shares, sessions, min_support), "frequent-items")
+    level = singles.select(*GROUP, F.array("item").alias("items"), F.lit(1).alias("size"), "freq", "least")
+    held = stage(
+        shares.join(singles.select(*GROUP, "item"), [*GROUP, "item"]).select(
+            *SESSION, F.array().cast("array<string>").alias("prefix"), F.col("item").alias("last")
+        ),
+        "sets-of-sessions",
     )
-    ones = singles.select(*GROUP, F.array("item").alias("items"), F.lit(1).alias("size"), "freq")
-    if max_size < 2:
-        return ones
-    return ones.unionByName(_pairs(items, singles))
+    found, size = [level], 1
+    while not level.isEmpty() and (max_size is None or size < max_size):
+        size += 1
+        other = held.withColumnRenamed("last", "next")
+        grown = (
+            held.join(other, [*SESSION, "prefix"])
+            .where(F.col("last") < F.col("next"))
+            .select(*SESSION, F.array_append("prefix", F.col("last")).alias("prefix"), F.col("next").alias("last"))
+        )
+        counted = grown.groupBy(*GROUP, "prefix", "last").agg(F.count(F.lit(1)).alias("freq"))
+        counted = counted.join(singles.select(*GROUP, "least").distinct(), list(GROUP))
+        frequent = stage(counted.where("freq >= least"), "frequent-sets")
+        held = stage(grown.join(frequent.select(*GROUP, "prefix", "last"), [*GROUP, "prefix", "last"], "left_semi"), "sets-of-sessions")
+        level = frequent.select(
+            *GROUP, F.array_append("prefix", F.col("last")).alias("items"), F.lit(size).alias("size"), "freq", "least"
+        )
+        found.append(level)
+    return reduce(DataFrame.unionByName, found).drop("least")
 
 
-def _pairs(items: DataFrame, singles: DataFrame) -> DataFrame:
-    """Frequent pairs among the given single items of each group."""
-    kept = items.join(singles.select(*GROUP, "item", "least"), [*GROUP, "item"])
-    other = kept.select(*SESSION, F.col("item").alias("second"))
+def _classes(shares: DataFrame, sessions: DataFrame, min_support: float, count: int) -> DataFrame:
+    """Items of a group that occur in the same sessions, as far as the best ``count`` sets can hold them.
+
+    A class of n items gives 2^n - 1 sets of its own frequency, so the groups' bar is the frequency at
+    which these reach ``count``; no set under it is among the best.  Rows: ``class`` (its first item),
+    ``members``, ``freq``, ``bar``.
+    """
+    same = _singles(shares, sessions, min_support).groupBy(*GROUP, "freq", "least", "digest1", "digest2")
+    classes = same.agg(F.array_sort(F.collect_list("item")).alias("members"))
+    by_freq = Window.partitionBy(*GROUP).orderBy(F.desc("freq"))
+    # More than 2^30 - 1 sets are more than enough; the number only says where the bar is.
+    sets = F.pow(F.lit(2.0), F.least(F.size("members"), F.lit(30))) - 1
+    upto = classes.withColumn("upto", F.sum(sets).over(by_freq))
+    enough = F.max(F.when(F.col("upto") >= count, F.col("freq"))).over(Window.partitionBy(*GROUP))
+    bar = F.greatest(F.coalesce(enough, F.lit(0)), F.col("least"))
     return (
-        kept.join(other, list(SESSION))
-        .where(F.col("item") < F.col("second"))
-        .groupBy(*GROUP, "item", "second")
-        .agg(F.count(F.lit(1)).alias("freq"), F.max("least").alias("least"))
-        .where(F.col("freq") >= F.col("least"))
-        .select(
-            *GROUP, F.array("item", "second").alias("items"), F.lit(2).alias("size"), "freq"
-        )
+        upto.withColumn("bar", bar)
+        .where("freq >= bar")
+        .select(*GROUP, F.col("members")[0].alias("class"), "members", "freq", "bar")
     )
 
 
-def best_sets(
-    shares: DataFrame, min_support: float = MIN_SUPPORT, count: int = KEYWORD_SETS
-) -> DataFrame:
-    """The ``count`` most frequent sets of each group: by frequency, then larger, then by items.
+def _joint_classes(shares: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every combination of classes whose sets are at or above the bar: ``names``, ``freq``.
 
-    No set is more frequent than its items, so items rarer than the group's ``count``-th single item
-    cannot be part of the answer; they are left out before pairs are formed.
+    Fewer than ``count`` classes lie above the bar, and a combination holds at most one that lies on
+    it, so there are few of them whatever the number of items.
     """
-    ones = frequent_sets(shares, min_support, max_size=1)
-    by_freq = Window.partitionBy(*GROUP).orderBy(F.desc("freq"), "items")
-    bars = (
-        ones.withColumn("place", F.row_number().over(by_freq))
-        .where(F.col("place") <= count)
-        .groupBy(*GROUP)
-        .agg(F.min("freq").alias("bar"))
+    held = stage(
+        shares.join(classes.select(*GROUP, F.col("class").alias("item")), [*GROUP, "item"]).select(
+            *SESSION, F.array().cast("array<string>").alias("prefix"), F.col("item").alias("last")
+        ),
+        "classes-of-sessions",
+    )
+    level = classes.select(*GROUP, F.array("class").alias("names"), "freq")
+    bars, found = classes.select(*GROUP, "bar").distinct(), [level]
+    while not level.isEmpty():
+        other = held.withColumnRenamed("last", "next")
+        grown = (
+            held.join(other, [*SESSION, "prefix"])
+            .where(F.col("last") < F.col("next"))
+            .select(*SESSION, F.array_append("prefix", F.col("last")).alias("prefix"), F.col("next").alias("last"))
+        )
+        counted = grown.groupBy(*GROUP, "prefix", "last").agg(F.count(F.lit(1)).alias("freq")).join(bars, list(GROUP))
+        frequent = stage(counted.where("freq >= bar"), "joint-classes")
+        held = stage(grown.join(frequent.select(*GROUP, "prefix", "last"), [*GROUP, "prefix", "last"], "left_semi"), "classes-of-sessions")
+        level = frequent.select(*GROUP, F.array_append("prefix", F.col("last")).alias("names"), "freq")
+        found.append(level)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _expanded(joint: DataFrame, classes: DataFrame, count: int) -> DataFrame:
+    """The best ``count`` item sets of each combination: all its items, then with fewer.
+
+    A set keeps an item of every class.  With ``count - 1`` or more items that can be spared, leaving
+    out one at a time gives enough, the largest item first; else there are at most 2^(count - 2)
+    choices and all are formed.
+    """
+    parts = (
+        joint.withColumn("class", F.explode("names"))
+        .join(classes.select(*GROUP, "class", "members"), [*GROUP, "class"])
+        .groupBy(*GROUP, "names", "freq")
+        .agg(F.collect_list("members").alias("parts"))
+        .withColumn("all", F.array_sort(F.flatten("parts")))
+        .withColumn("spare", F.array_sort(F.flatten(F.filter("parts", lambda p: F.size(p) > 1))))
+    )
+    n = F.size("spare")
+    one = F.transform(F.slice("spare", -(count - 1), count - 1), lambda x: F.array(x))
+    none = F.array(F.array().cast("array<string>"))
+    any_ = F.expr(
+        "transform(sequence(0, shiftleft(1, size(spare)) - 1), k -> filter(spare, (x, i) -> (shiftright(k, i) & 1) = 1))"
     )
-    candidates = ones.join(bars, list(GROUP)).where(F.col("freq") >= F.col("bar"))
-    singles = candidates.select(
-        *GROUP, F.col("items")[0].alias("item"), "freq", F.col("bar").alias("least")
+    gone = F.when(n >= count - 1, F.concat(none, one)).otherwise(any_)
+    sets = parts.select(*GROUP, "freq", "parts", F.col("all"), F.explode(gone).alias("gone")).select(
+        *GROUP, "freq", "parts", F.array_except("all", "gone").alias("items")
     )
-    pairs = _pairs(shares.select(*SESSION, "item"), singles)
-    both = candidates.select(*pairs.columns).unionByName(pairs)
+    whole = F.forall("parts", lambda p: F.arrays_overlap(p, F.col("items")))
+    return sets.where(whole).select(*GROUP, "items", F.size("items").alias("size"), "freq")
+
+
+def best_sets(
+    shares: DataFrame,
+    sessions: DataFrame,
+    min_support: float = MIN_SUPPORT,
+    count: int = KEYWORD_SETS,
+) -> DataFrame:
+    """The ``count`` best sets of each group, of any size: by frequency, then larger, then by items."""
+    classes = stage(_classes(shares, sessions, min_support, count), "item-classes")
+    sets = _expanded(_joint_classes(shares, classes), classes, count)
     ranked = Window.partitionBy(*GROUP).orderBy(F.desc("freq"), F.desc("size"), "items")
-    return both.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= count)
+    return sets.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= count)
 
 
 def keywords(
-    shares: DataFrame, min_support: float = MIN_SUPPORT, count: int = KEYWORD_SETS
+    shares: DataFrame,
+    sessions: DataFrame,
+    min_support: float = MIN_SUPPORT,
+    count: int = KEYWORD_SETS,
 ) -> DataFrame:
     """``rowkey, m, direction, keywords``: distinct items of the best sets, Base64, comma-joined."""
-    # At most 2 * count items per group.
+    # The items of ``count`` sets per group.
     items = F.array_sort(F.collect_set("item"))
     return (
-        best_sets(shares, min_support, count)
+        best_sets(shares, sessions, min_support, count)
         .select(*GROUP, F.explode("items").alias("item"))
         .groupBy(*GROUP)
         .agg(items.alias("items"))
@@ -168,17 +258,36 @@ def keywords(
     )
 
 
-def fp_growth_sets(shares: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
-    """Frequent item sets of every size over the given sessions, by Spark's parallel FP-growth.
+def fp_growth_sets(
+    shares: DataFrame, sessions: DataFrame, min_support: float = MIN_SUPPORT
+) -> DataFrame:
+    """The sets of ``frequent_sets`` by Spark's parallel FP-growth.
 
-    Mines one group; filter ``shares`` to an endpoint and direction first to mine just those.
+    Groups with the same least support are mined together, their items tagged with the group, so each
+    group is mined at its own support.  One model per different support; only these numbers come to
+    the driver.
     """
-    # A session has at most 2^24 distinct trigrams, and keeps those in at least half its payloads.
-    transactions = shares.groupBy(*SESSION).agg(F.collect_set("item").alias("items"))
-    growth = FPGrowth(
-        itemsCol="items", minSupport=min_support, numPartitions=MINING_PARTITIONS
-    )
-    found = growth.fit(transactions).freqItemsets
-    return found.select(
-        F.array_sort("items").alias("items"), F.size("items").alias("size"), "freq"
+    singles = stage(_singles(shares, sessions, min_support), "frequent-items")
+    tagged = stage(
+        shares.join(singles.select(*GROUP, "item", "least"), [*GROUP, "item"])
+        .groupBy(*SESSION, "least")
+        .agg(F.collect_set(F.to_json(F.struct(*GROUP, "item"))).alias("items")),
+        "transactions",
     )
+    found = [singles.select(*GROUP, F.array("item").alias("items"), F.lit(1).alias("size"), "freq").limit(0)]
+    one = "struct<m: string, direction: string, item: string>"
+    for least, n in tagged.groupBy("least").count().collect():
+        growth = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, numPartitions=MINING_PARTITIONS)
+        sets = growth.fit(tagged.where(F.col("least") == least)).freqItemsets
+        told = F.transform("items", lambda x: F.from_json(x, one))
+        named = sets.select(told.alias("told"), "freq")
+        found.append(
+            named.select(
+                F.col("told")[0]["m"].alias("m"),
+                F.col("told")[0]["direction"].alias("direction"),
+                F.array_sort(F.transform("told", lambda t: t["item"])).alias("items"),
+                F.size("told").alias("size"),
+                "freq",
+            )
+        )
+    return reduce(DataFrame.unionByName, found)
