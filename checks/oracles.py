@@ -345,6 +345,22 @@ def _with(*steps: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}" + ",".join(steps) + "\n"
 
 
+#: The frames of the mixed fixture that decode: TCP packets by rowkey % 12, and all UDP packets.
+_MIXED = """
+mixed as (
+  select rowkey, t, si, sp, di, dp, pr, tcp_flags, seq, ack, pld_len,
+    pkt_len + case rowkey % 12 when 1 then 4 when 2 then 8 when 3 then 4 when 4 then 4
+                               when 5 then 6 else 0 end as pkt_len,
+    case when pld_len > 0 then repeat(lower(lpad(to_hex(rowkey % 251), 2, '0')), pld_len) end as payload
+  from packets where rowkey % 12 < 6),
+mixed_udp as (
+  select -1 - event_id as rowkey, epoch_us(ts) as t, 167772160 + user_id as si, 1024 + user_id as sp,
+    2886729729 as di, 53 as dp, 17 as pr from events),
+mixed_all as (
+  select rowkey, t, si, sp, di, dp, pr, pkt_len, payload from mixed
+  union all select *, 50, null from mixed_udp)
+"""
+
 _P = (_PACKETS,)
 _J3 = (*_P, _HANDSHAKES)
 _J4 = (*_J3, _TAGGED)
@@ -476,17 +492,15 @@ ORACLES: dict[str, str] = {
     + f"""select {_spaced("lpad(lower(to_hex(rowkey)), 16, '0')", "8")} as rowkey,
         {_spaced("h", "length(h) // 2")} as r
       from (select rowkey, {_FRAME_HEX} as h from packets order by rowkey limit 2)""",
-    "p1_five_tuple": _with(*_P) + "select rowkey, t, si, sp, di, dp, pr from packets",
+    "p1_five_tuple": _with(*_P, _MIXED) + "select rowkey, t, si, sp, di, dp, pr from mixed_all",
+    "x1_decode_succeeded": _with(*_P, _MIXED) + "select rowkey, t, pkt_len as n_bytes from mixed_all",
     "p2_canonical_mark": _with(*_P) + f"select rowkey, {_FM} as fm from packets",
-    "p3_packet_features": _with(*_P)
+    "p3_packet_features": _with(*_P, _MIXED)
     + """select rowkey, dp as dport, sp as sport, pr as proto, tcp_flags, seq, ack, pkt_len, pld_len,
-        case when pld_len > 0 then repeat(lower(lpad(to_hex(rowkey % 251), 2, '0')), pld_len)
-             else '00' end as payload
-      from packets""",
+        coalesce(payload, '00') as payload from mixed""",
     "p4_packet_direction": _with(*_P)
     + """select rowkey, si as sip, sp as sport, di as dip, dp as dport, pr as proto from packets""",
-    "p5_tcp_payload": _with(*_P)
-    + "select rowkey, case when pld_len > 0 then pld_len end as tcp_payload_len from packets",
+    "p5_tcp_payload": _with(*_P, _MIXED) + "select rowkey, payload as tcp_payload from mixed_all",
     "p6_literal": "select c_custkey, '01' as p from customer",
     "p7_features_long": _with(*_L) + "select rowkey, pos, name, value from long",
     "p8_feature_columns": _with(*_L)

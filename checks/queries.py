@@ -141,7 +141,12 @@ def x8_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_five_tuple(spark: SparkSession, sf: str) -> DataFrame:
-    return decode.five_tuple(_frames(spark, sf)).drop("r")
+    return decode.five_tuple(fx.mixed_frame_table(spark, sf)).drop("r")
+
+
+def x1_decode_succeeded(spark: SparkSession, sf: str) -> DataFrame:
+    kept = decode.decode_succeeded(fx.mixed_frame_table(spark, sf))
+    return kept.select("rowkey", "t", F.length("r").alias("n_bytes"))
 
 
 def p2_canonical_mark(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +155,7 @@ def p2_canonical_mark(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_packet_features(spark: SparkSession, sf: str) -> DataFrame:
-    return decode.packet_features(_frames(spark, sf)).withColumn(
+    return decode.packet_features(fx.mixed_frame_table(spark, sf)).withColumn(
         "payload", binary.hex_lower(F.col("payload"))
     )
 
@@ -168,7 +173,9 @@ def p4_packet_direction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_tcp_payload(spark: SparkSession, sf: str) -> DataFrame:
-    return decode.tcp_payload(_packets(spark, sf)).select("rowkey", "tcp_payload_len")
+    packets = decode.decoded_packets(fx.mixed_frame_table(spark, sf))
+    payload = decode.tcp_payload(packets)
+    return payload.select("rowkey", binary.hex_lower(F.col("tcp_payload")).alias("tcp_payload"))
 
 
 def p7_features_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -559,7 +566,7 @@ QUERIES: dict[str, Query] = {
         s1_scan_project, s2_capture_ingest, s4_table_write, s5_catalog_write, s7_preview,
         p1_five_tuple, p2_canonical_mark, p3_packet_features, p4_packet_direction, p5_tcp_payload,
         p6_literal, p7_features_long, p8_feature_columns,
-        x2_udp_only, x3_handshake_candidates, x4_stop_packets, x5_non_null, x6_key_filter,
+        x1_decode_succeeded, x2_udp_only, x3_handshake_candidates, x4_stop_packets, x5_non_null, x6_key_filter,
         x7_prefix_filter, x8_range,
         j1_handshake_join, j2_asof_tag, j3_tcp_handshakes, j4_tcp_sessions, j6_key_merge,
         u1_union_assignments, u2_markers, u3_distinct,

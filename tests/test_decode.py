@@ -42,6 +42,9 @@ FRAMES = {
     "later_fragment": ipv4(tcp(b"frag"), 6, frag=0x00B9),
     "icmp": ipv4(bytes(20), 1),
     "vlan": ETH + b"\x81\x00\x00\x01" + ipv4(tcp(b"v"), 6)[12:],
+    "vlans": ETH + b"\x88\xa8\x00\x02" * 3 + b"\x81\x00\x00\x01" + ipv4(tcp(b"vv"), 6)[12:] + bytes(4),
+    "vlan_arp": ETH + b"\x81\x00\x00\x01" + b"\x08\x06" + bytes(40),
+    "only_tags": ETH + b"\x81\x00\x00\x01" * 5,
     "ipv6": ETH + b"\x86\xdd" + b"\x60" + bytes(60),
     "arp": ETH + b"\x08\x06" + bytes(28),
     "short_tcp": ipv4(tcp(b"")[:12], 6),
@@ -66,6 +69,8 @@ def test_tcp_fields(spark):
         "padded": (b"\x00", 0, 16),
         "no_payload": (b"\x00", 0, 2),
         "first_fragment": (b"frag", 4, 24),
+        "vlan": (b"v", 1, 24),
+        "vlans": (b"vv", 2, 24),
     }
     by_name = {r["rowkey"]: r for r in rows}
     assert (by_name["plain"]["sport"], by_name["plain"]["dport"]) == (40000, 443)
@@ -75,11 +80,12 @@ def test_tcp_fields(spark):
 
 def test_five_tuples(spark):
     rows = {r["rowkey"]: r for r in decode.five_tuple(frames(spark)).collect()}
-    # The five-tuple needs no complete TCP options, so the frame cut inside them is kept.
     assert set(rows) == {
         "plain", "ip_options", "tcp_options", "padded", "no_payload", "first_fragment", "udp",
-        "short_options",
+        "vlan", "vlans",
     }
+    kept = decode.decode_succeeded(frames(spark)).collect()
+    assert {r["rowkey"]: bytes(r["r"]) for r in kept} == {name: FRAMES[name] for name in rows}
     assert rows["udp"]["pr"] == 17 and (rows["udp"]["sp"], rows["udp"]["dp"]) == (53, 5353)
     assert rows["plain"]["si"] == 0x0A000001 and rows["plain"]["di"] == 0xC8010203
 

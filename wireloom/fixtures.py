@@ -162,6 +162,73 @@ def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "frames", lambda: frames(packet_table(spark, sf_dir)))
 
 
+#: Kinds of ``mixed_frames`` in the order of ``rowkey % 12``; the last six do not decode.
+MIXED_KINDS = (
+    "plain", "tagged", "twice tagged", "IP options", "TCP options", "padded",
+    "fragment", "ICMP", "ARP", "IPv6", "cut", "cut in options",
+)
+
+
+def mixed_frames(packets: DataFrame, udp: DataFrame) -> DataFrame:
+    """``(rowkey, t, r)``: TCP packets in frames of all kinds by ``rowkey % 12``, and UDP packets.
+
+    UDP rows are the events; a user talks to a server by the day of the month, with an 8-byte payload.
+    """
+    kind = F.pmod("rowkey", F.lit(12))
+
+    def by_kind(otherwise: str, **cases: str) -> Column:
+        out = F.unhex(F.lit(otherwise))
+        for name, value in cases.items():
+            out = F.when(kind == int(name[1:]), F.unhex(F.lit(value))).otherwise(out)
+        return out
+
+    length = 40 + F.col("pld_len") + F.when(kind.isin(3, 4, 11), 4).otherwise(0)
+    header = [
+        F.unhex(F.lit("020000000001020000000002")),
+        by_kind("", _1="81000007", _2="88A8000781000009"),
+        by_kind("0800", _8="0806", _9="86DD"),
+        by_kind("4500", _3="4600", _9="6000"),
+        fixed_width(length, 2),
+        by_kind("000040004006", _6="000000B94006", _7="000040004001"),
+        F.unhex(F.lit("0000")),
+        fixed_width(F.col("si"), 4),
+        fixed_width(F.col("di"), 4),
+        by_kind("", _3="01010101"),
+        fixed_width(F.col("sp"), 2),
+        fixed_width(F.col("dp"), 2),
+        fixed_width(F.col("seq"), 4),
+        fixed_width(F.col("ack"), 4),
+        by_kind("50", _4="60", _11="F0"),
+        fixed_width(F.col("tcp_flags"), 1),
+        F.unhex(F.lit("ffff00000000")),
+        by_kind("", _4="01010101"),
+    ]
+    filler = F.unhex(F.repeat(fixed_width_hex(F.col("rowkey") % 251), F.col("pld_len")))
+    filler = F.when(kind == 11, F.lit(b"")).otherwise(filler)
+    whole = F.concat(*header, filler, by_kind("", _5="000000000000"))
+    r = F.when(kind == 10, F.substring(whole, 1, 45)).otherwise(whole)
+    of_udp = F.concat(
+        F.unhex(F.lit("02000000000102000000000208004500002400004000401100000A00")),
+        fixed_width(F.col("user_id"), 2),
+        F.unhex(F.lit("AC100001")),
+        fixed_width(1024 + F.col("user_id"), 2),
+        F.unhex(F.lit("003500100000")),
+        fixed_width(F.col("event_id"), 8),
+    )
+    return packets.select("rowkey", "t", r.alias("r")).union(
+        udp.select((-1 - F.col("event_id")).alias("rowkey"), _epoch_us("ts").alias("t"), of_udp)
+    )
+
+
+def mixed_frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored mixed raw packets."""
+
+    def build() -> DataFrame:
+        return mixed_frames(packet_table(spark, sf_dir), table(spark, sf_dir, "events"))
+
+    return stored(spark, sf_dir, "mixed", build)
+
+
 def fixed_width_hex(n: Column) -> Column:
     return F.lpad(F.hex(n), 2, "0")
 

@@ -1,7 +1,8 @@
 """Header decode of Ethernet / IPv4 / TCP / UDP frames as column expressions.
 
 Nothing leaves the JVM: every field is a substring of the frame at an offset computed from the
-header-length fields.  A frame that is too short for a field, or is not IPv4 TCP/UDP, is dropped.
+header-length fields.  Any run of 802.1Q and 802.1ad tags in front of the IPv4 layer is skipped.  A frame
+that is too short for its headers, options included, or is not IPv4 TCP/UDP, is dropped.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from wireloom.functions.binary import slice_uint
 # Fixed values of the header layouts.
 ETHERNET_HEADER = 14
 ETHERTYPE_IPV4 = b"\x08\x00"
+ETHERTYPE_TAGS = (b"\x81\x00", b"\x88\xa8")
+TAG_RUN = "^(?:(?:8100|88A8)[0-9A-F]{4})+"
 IPV4_SHORTEST, IPV4_LONGEST = b"\x45", b"\x4f"
 PROTO_TCP = 6
 PROTO_UDP = 17
@@ -24,24 +27,35 @@ UDP_HEADER = 8
 FIRST_FRAGMENT = [bytes([flags << 5, 0]) for flags in range(8)]
 
 
+def _tag_bytes(r: Column) -> Column:
+    """Bytes of tags between the addresses and the type of the payload; most frames have none."""
+    tagged = F.substring(r, 13, 2).isin([F.lit(t) for t in ETHERTYPE_TAGS])
+    run = F.regexp_extract(F.hex(F.substring(r, 13, 1 << 30)), TAG_RUN, 0)
+    return F.when(tagged, F.length(run) / 2).otherwise(0).cast("int")
+
+
 def _with_layers(frames: DataFrame, tcp_only: bool = False) -> DataFrame:
-    """Keep IPv4 frames that carry the start of a TCP or UDP header; add ``pr`` and ``l4``.
+    """Keep IPv4 frames that carry a whole TCP or UDP header; add ``pr``, ``l3`` and ``l4``.
 
     The filter compares raw bytes, so a frame is turned down before any field is converted.
     """
-    r = F.col("r")
-    l4 = (slice_uint(r, 14, 1).bitwiseAND(F.lit(15)) * 4 + ETHERNET_HEADER).cast("int")
-    proto = F.substring(r, 24, 1)
+    r, l3 = F.col("r"), F.col("l3")
+    l4 = (slice_uint(r, l3, 1).bitwiseAND(F.lit(15)) * 4 + l3).cast("int")
+    proto = F.substring(r, l3 + 10, F.lit(1))
     is_tcp = proto == F.lit(bytes([PROTO_TCP]))
     is_udp = proto == F.lit(bytes([PROTO_UDP]))
     header = F.when(is_tcp, F.lit(TCP_HEADER_MIN)).otherwise(F.lit(UDP_HEADER))
-    return frames.where(
-        (F.substring(r, 13, 2) == F.lit(ETHERTYPE_IPV4))
-        & F.substring(r, 15, 1).between(F.lit(IPV4_SHORTEST), F.lit(IPV4_LONGEST))
-        & F.substring(r, 21, 2).isin([F.lit(f) for f in FIRST_FRAGMENT])
-        & (is_tcp if tcp_only else is_tcp | is_udp)
-        & (F.length(r) >= l4 + header)
-    ).withColumns({"pr": F.when(is_tcp, PROTO_TCP).otherwise(PROTO_UDP), "l4": l4})
+    return (
+        frames.withColumn("l3", _tag_bytes(r) + ETHERNET_HEADER)
+        .where(
+            (F.substring(r, l3 - 1, F.lit(2)) == F.lit(ETHERTYPE_IPV4))
+            & F.substring(r, l3 + 1, F.lit(1)).between(F.lit(IPV4_SHORTEST), F.lit(IPV4_LONGEST))
+            & F.substring(r, l3 + 7, F.lit(2)).isin([F.lit(f) for f in FIRST_FRAGMENT])
+            & (is_tcp if tcp_only else is_tcp | is_udp)
+            & (F.length(r) >= l4 + header)
+        )
+        .withColumns({"pr": F.when(is_tcp, PROTO_TCP).otherwise(PROTO_UDP), "l4": l4})
+    )
 
 
 def _with_payload_bounds(layers: DataFrame) -> DataFrame:
@@ -52,7 +66,7 @@ def _with_payload_bounds(layers: DataFrame) -> DataFrame:
     r = F.col("r")
     tcp = F.col("pr") == PROTO_TCP
     header = F.when(tcp, F.shiftright(slice_uint(r, F.col("l4") + 12, 1), 4) * 4)
-    end = F.least(slice_uint(r, 16, 2) + ETHERNET_HEADER, F.length(r).cast("bigint"))
+    end = F.least(slice_uint(r, F.col("l3") + 2, 2) + F.col("l3"), F.length(r).cast("bigint"))
     length = F.when(tcp, F.greatest(end - F.col("start"), F.lit(0)).cast("int"))
     return (
         layers.withColumn("start", (F.col("l4") + header).cast("int"))
@@ -72,18 +86,23 @@ def _payload() -> Column:
 def five_tuple(frames: DataFrame) -> DataFrame:
     """``(rowkey, t, r)`` to the same plus ``si, sp, di, dp, pr``; TCP and UDP over IPv4 only."""
     r = F.col("r")
-    return _with_layers(frames).select(
+    return _with_payload_bounds(_with_layers(frames)).select(
         "rowkey",
         "t",
         "r",
-        slice_uint(r, 26, 4).alias("si"),
+        slice_uint(r, F.col("l3") + 12, 4).alias("si"),
         slice_uint(r, F.col("l4"), 2).alias("sp"),
-        slice_uint(r, 30, 4).alias("di"),
+        slice_uint(r, F.col("l3") + 16, 4).alias("di"),
         slice_uint(r, F.col("l4") + 2, 2).alias("dp"),
         "pr",
     )
 
 
+def decode_succeeded(frames: DataFrame) -> DataFrame:
+    """The raw packets that decode."""
+    return _with_payload_bounds(_with_layers(frames)).select(*frames.columns)
+
+
 def packet_features(frames: DataFrame) -> DataFrame:
     """TCP fields of each frame; a packet without payload has length 0 and one zero byte."""
     r = F.col("r")
@@ -109,9 +128,9 @@ def decoded_packets(frames: DataFrame) -> DataFrame:
         "rowkey",
         "t",
         "r",
-        slice_uint(r, 26, 4).alias("si"),
+        slice_uint(r, F.col("l3") + 12, 4).alias("si"),
         slice_uint(r, F.col("l4"), 2).alias("sp"),
-        slice_uint(r, 30, 4).alias("di"),
+        slice_uint(r, F.col("l3") + 16, 4).alias("di"),
         slice_uint(r, F.col("l4") + 2, 2).alias("dp"),
         "pr",
         F.when(tcp, slice_uint(r, F.col("l4") + 13, 1).cast("int")).alias("tcp_flags"),
@@ -134,6 +153,6 @@ def packet_direction(packets: DataFrame) -> DataFrame:
 
 
 def tcp_payload(packets: DataFrame) -> DataFrame:
-    """``tcp_payload_len``: payload length of a TCP packet that has one, null otherwise."""
+    """``tcp_payload``: the payload of a TCP packet that has one, null otherwise."""
     present = (F.col("pr") == PROTO_TCP) & (F.col("pld_len") > 0)
-    return packets.withColumn("tcp_payload_len", F.when(present, F.col("pld_len")))
+    return packets.withColumn("tcp_payload", F.when(present, F.col("payload")))
