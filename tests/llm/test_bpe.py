@@ -36,7 +36,23 @@ def test_odd_texts(tmp_path):
         got = own.encode(ODD)
         for t, g, w in zip(ODD, got, THEIRS.encode_batch(ODD, add_special_tokens=False), strict=True):
             assert ids(g) == w.ids
-            assert bpe.decode_bytes(g, own.tokens.bytes) == THEIRS.decode(w.ids, skip_special_tokens=False) == t
+            assert bpe.decode_bytes(g, own.tokens) == THEIRS.decode(w.ids, skip_special_tokens=False) == t
+
+
+def test_every_character():
+    own = bpe.Encoder(bpe.tokenizer(PATH))
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 5000):
+        texts = [f"a{c} 1{c}a {c}{c}. {c}'s" for c in points[at : at + 5000]]
+        for t, g, w in zip(texts, own.encode(texts), THEIRS.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids(g) == w.ids, t
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=" '\n\u3000stmdrevlLa1é.-", max_size=30), max_size=5))
+def test_texts_of_borders(texts):
+    got = bpe.Encoder(bpe.tokenizer(PATH)).encode(texts)
+    assert [ids(g) for g in got] == [e.ids for e in THEIRS.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
@@ -45,7 +61,7 @@ def test_any_text(text):
     got = bpe.Encoder(bpe.tokenizer(PATH)).encode([text])[0]
     want = THEIRS.encode(text, add_special_tokens=False).ids
     assert ids(got) == want
-    assert bpe.decode_bytes(got, bpe.tokenizer(PATH).bytes) == THEIRS.decode(want, skip_special_tokens=False)
+    assert bpe.decode_bytes(got, bpe.tokenizer(PATH)) == THEIRS.decode(want, skip_special_tokens=False)
 
 
 @given(st.lists(st.binary(min_size=1, max_size=60), max_size=30))
@@ -99,3 +115,10 @@ def test_query_against_the_library(spark, docs, sf, monkeypatch):
     got = token_digests(docs(odd).withColumnRenamed("source", "ids")).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(i, *want(t)) for i, t in odd], key=repr)
     assert token_digests(docs([])).count() == 0
+
+
+def test_decode_column(spark):
+    rows = [(np.array(THEIRS.encode(t).ids, "<u4").tobytes(),) for t in ODD] + [(None,), (b"",), (np.array([127], "<u4").tobytes(),)]
+    df = spark.createDataFrame(rows, "ids binary")
+    got = [r[0] for r in df.select(bpe.decoded(df.ids, PATH)).collect()]
+    assert got == [*ODD, "", "", THEIRS.decode([127])]

@@ -20,13 +20,13 @@ import json
 import os
 import re
 import tempfile
+import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +35,29 @@ from pyspark.sql.types import StructType
 from wireloom.llm.common import ready, slices, stage
 from wireloom.llm.lexicon import Lexicon, compile_lexicon
 
-# Fixed value: how byte-level tokenizers of this family split text.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-FREQUENT = 200_000
+# Fixed value: white space as the split pattern of byte-level tokenizers has it.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTER, NUMBER, OTHER, BLANK, BORDER = range(5)
+# Letters and numbers of Unicode 16.0, the version the tokenizer files are read with, that
+# Unicode 15.1 lacks.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA),
+)
+#: Stands between texts; no UTF-8 text holds it.
+_BORDER = "\udfff"
+
+FREQUENT = 500_000
 #: Different words counted in a task before they are handed on.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 200_000
 #: Words a task remembers with their ids.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 #: Longer words are merged one by one with a heap.
 TOGETHER_BYTES = 48
 #: Words merged in one go.
@@ -59,6 +74,87 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Per code point: letter, number, blank, other, or the border between texts."""
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    for i in range(0x110000):
+        first = unicodedata.category(chr(i))[0]
+        if first in "LN":
+            kinds[i] = LETTER if first == "L" else NUMBER
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for first, last in ranges:
+            kinds[first : last + 1] = kind
+    kinds[[ord(c) for c in BLANKS]] = BLANK
+    kinds[ord(_BORDER)] = BORDER
+    return kinds
+
+
+def split_words(texts: Sequence[str]) -> list[list[str]]:
+    """Words of many texts: runs of one kind, each with one space before it.
+
+    Of several blanks before a word all but the last are a word; the last is one of its own unless it is a
+    space.  An apostrophe that begins a word takes one of the endings s, t, m, d, re, ve, ll with it.
+    """
+    joined = _BORDER.join([*texts, ""])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[points]
+    new = np.ones(len(kind), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new[kind == BORDER] = True
+    # The last blank before something else.
+    last = np.flatnonzero((kind[:-1] == BLANK) & (kind[1:] < BLANK))
+    new[last] = True
+    new[last[points[last] == 32] + 1] = False
+    quote = np.flatnonzero((points == 39) & new)
+    quote = quote[kind[np.minimum(quote + 1, len(kind) - 1)] == LETTER]
+    if len(quote):
+        one, two = points[quote + 1], points[np.minimum(quote + 2, len(points) - 1)]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        e = (two == ord("e")) & ((one == ord("r")) | (one == ord("v")))
+        long = e | ((one == ord("l")) & (two == ord("l")))
+        new[quote[short | long] + 1] = False
+        new[quote[short] + 2] = True
+        new[quote[long] + 3] = True
+    starts = np.flatnonzero(new)
+    at = starts.tolist()
+    words = [joined[a:b] for a, b in zip(at, at[1:], strict=False)]
+    ends = np.flatnonzero(kind[starts] == BORDER).tolist()
+    return [words[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+
+
+class _Pairs:
+    """Rank of token pairs in an open hash table that is read for many pairs at once."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        self.shift = np.uint64(64 - max(8, (4 * len(merges)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.mask = size - 1
+        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, NONE, np.int32)
+        wanted = np.array([a << 32 | b for a, b in merges], np.int64)
+        for key, place, (rank, _) in zip(wanted.tolist(), self._place(wanted).tolist(), merges.values(), strict=True):
+            while self.keys[place] >= 0:
+                place = (place + 1) & self.mask
+            self.keys[place], self.ranks[place] = key, rank
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        place = self._place(keys)
+        found = self.keys[place]
+        ranks = np.where(found == keys, self.ranks[place], NONE)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & self.mask
+            found = self.keys[place[open_]]
+            hit = found == keys[open_]
+            ranks[open_[hit]] = self.ranks[place[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return ranks
+
+
 class Tokenizer:
     """Vocabulary and merges of a tokenizer file."""
 
@@ -70,27 +166,34 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.bytes = {i: bytes(letters[c] for c in t) for t, i in vocabulary.items() if t not in self.special}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.base = np.zeros(256, np.int64)
+        self.pieces = np.array([self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)], object)
+        self.base = np.zeros(256, np.int32)
         for c, b in letters.items():
             self.base[b] = vocabulary[c]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(told["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((vocabulary[left], vocabulary[right]), (rank, vocabulary[left + right]))
-        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
-        self.made = np.array([m for _, m in self.merges.values()], np.int64)[order]
+        self.pairs = _Pairs(self.merges)
+        self.made = np.zeros(len(told["model"]["merges"]), np.int32)
+        for rank, made in self.merges.values():
+            self.made[rank] = made
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        self.split = regex.compile(PATTERN).findall
 
-    def words(self, text: str) -> list[str]:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.split(text)
-        parts = self.cut.split(text)
-        return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else self.split(p))]
+    def words(self, texts: Sequence[str]) -> list[list[str]]:
+        """Words of each text; special tokens are words of their own."""
+        if self.cut is None or not any(s in t for t in texts for s in self.special):
+            return split_words(texts)
+        parts = [self.cut.split(t) for t in texts]
+        plain = iter(split_words([p for own in parts for p in own[::2]]))
+        out = []
+        for own in parts:
+            words = next(plain)
+            for special in own[1::2]:
+                words = [*words, special, *next(plain)]
+            out.append(words)
+        return out
 
     def merged(self, word: bytes) -> list[int]:
         """One word, exactly, in time n log n: merges wait in a heap by rank, then place."""
@@ -116,12 +219,6 @@ class Tokenizer:
             offer(i, after[i])
         return [i for i in ids if i >= 0]
 
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), self.made[at]
-
     def merged_together(self, words: Sequence[bytes]) -> list[bytes]:
         """Ids of many words as bytes."""
         out: list[bytes] = [b""] * len(words)
@@ -142,34 +239,40 @@ class Tokenizer:
         grid = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in which), np.uint8).reshape(-1, width)
         used = np.arange(width) < size[:, None]
         ids = np.where(used, self.base[grid], -1)
-        ranks = np.full((len(which), width), NONE, np.int64)
+        ranks = np.full((len(which), width), NONE, np.int32)
         pairs = used[:, 1:]
-        ranks[:, :-1][pairs] = self._rank(ids[:, :-1][pairs], ids[:, 1:][pairs])[0]
+        ranks[:, :-1][pairs] = self.pairs.rank(ids[:, :-1][pairs], ids[:, 1:][pairs])
         rows = np.array(which)
         while len(rows):
             place = ranks.argmin(axis=1)
             mine = np.arange(len(rows))
-            open_ = ranks[mine, place] < NONE
+            best = ranks[mine, place]
+            open_ = best < NONE
             if not open_.all():
-                for r, row in zip(rows[~open_].tolist(), ids[~open_], strict=True):
-                    out[r] = row[row >= 0].astype("<u4").tobytes()
-                rows, ids, ranks, place = rows[open_], ids[open_], ranks[open_], place[open_]
+                done = ids[~open_]
+                flat = done[done >= 0].astype("<u4").tobytes()
+                ends = 4 * np.cumsum((done >= 0).sum(axis=1))
+                for r, a, b in zip(rows[~open_].tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                    out[r] = flat[a:b]
+                rows, ids, ranks, place, best = rows[open_], ids[open_], ranks[open_], place[open_], best[open_]
                 mine = np.arange(len(rows))
                 if not len(rows):
                     break
-            made = self._rank(ids[mine, place], ids[mine, place + 1])[1]
             # The right half of the pair goes; everything behind it moves one place to the left.
-            gone = np.arange(ids.shape[1] - 1) + (np.arange(ids.shape[1] - 1) > place[:, None])
-            ids, ranks = np.take_along_axis(ids, gone, 1), np.take_along_axis(ranks, gone, 1)
-            ids[mine, place] = made
-            width = ids.shape[1]
-            for left in (place - 1, place):
-                right = left + 1
-                fits = (left >= 0) & (right < width)
-                fits[fits] = ids[mine[fits], right[fits]] >= 0
-                ranks[mine[fits], left[fits]] = self._rank(ids[mine[fits], left[fits]], ids[mine[fits], right[fits]])[0]
-                bare = (left >= 0) & ~fits
-                ranks[mine[bare], left[bare]] = NONE
+            width = ids.shape[1] - 1
+            behind = np.arange(width) > place[:, None]
+            ids = np.where(behind, ids[:, 1:], ids[:, :-1])
+            ranks = np.where(behind, ranks[:, 1:], ranks[:, :-1])
+            ids[mine, place] = self.made[best]
+            left = np.concatenate((place - 1, place))
+            row = np.concatenate((mine, mine))
+            real = left >= 0
+            left, row = left[real], row[real]
+            right = np.minimum(left + 1, width - 1)
+            fits = (left + 1 < width) & (ids[row, right] >= 0)
+            changed = np.full(len(row), NONE, np.int32)
+            changed[fits] = self.pairs.rank(ids[row[fits], left[fits]], ids[row[fits], right[fits]])
+            ranks[row, left] = changed
 
 
 @functools.cache
@@ -185,8 +288,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.fixed = {w: np.array([i], "<u4").tobytes() for w, i in tokens.special.items()}
 
-    def learn(self, wanted: Iterable[str]) -> None:
-        wanted = set(wanted)
+    def learn(self, wanted: set[str]) -> None:
         missing = [w for w in wanted if w not in self.known]
         if len(self.known) + len(missing) > KNOWN_WORDS:
             self.known = {}
@@ -209,8 +311,8 @@ class Encoder:
         self.known.update(zip((plain[i] for i in unseen), ids, strict=True))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [self.tokens.words(t) for t in texts]
-        self.learn(w for words in split for w in words)
+        split = self.tokens.words(texts)
+        self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -227,8 +329,9 @@ def word_counts(df: DataFrame, tokens: str, text: str = "text") -> DataFrame:
             return out
 
         for batch in batches:
-            for t in batch.column(0):
-                count.update(own.words(t.as_py() or ""))
+            for start, stop in slices(batch.column(0)):
+                for words in own.words([t or "" for t in batch.column(0).slice(start, stop - start).to_pylist()]):
+                    count.update(words)
                 if len(count) > COUNTED_WORDS:
                     yield flush()
         yield flush()
@@ -255,31 +358,37 @@ def build_lexicon(df: DataFrame, tokens: str, text: str = "text", frequent: int
     return name
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _encoder(tokens: str, lexicon: str) -> Encoder:
     return Encoder(tokenizer(tokens), Lexicon(SparkFiles.get(lexicon)))
 
 
-def encoded(df: DataFrame, tokens: str, lexicon: str, text: str = "text") -> DataFrame:
-    """``df`` without its text column, and with ``ids``."""
+def encoded(df: DataFrame, tokens: str, lexicon: str, text: str = "text", check: bool = False) -> DataFrame:
+    """``df`` without its text column, and with ``ids``; with ``check`` also ``decoded``, read back from them."""
     rest = [c for c in df.columns if c != text]
     rows = df.select(F.col(f"`{text}`").alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)))
     out = StructType(rows.schema.fields[1:]).add("_ids", "binary")
+    if check:
+        out = out.add("_decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(tokens, lexicon)
         for batch in batches:
-            ids: list[bytes] = []
             for start, stop in slices(batch.column(0)):
-                ids += own.encode([t or "" for t in batch.column(0).slice(start, stop - start).to_pylist()])
-            arrays = [*batch.columns[1:], pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[1:], "_ids"])
+                part = batch.slice(start, stop - start)
+                ids = own.encode([t or "" for t in part.column(0).to_pylist()])
+                arrays, names = [*part.columns[1:], pa.array(ids, pa.binary())], [*part.schema.names[1:], "_ids"]
+                if check:
+                    arrays.append(pa.array([decode_bytes(x, own.tokens) for x in ids], pa.string()))
+                    names.append("_decoded")
+                yield pa.RecordBatch.from_arrays(arrays, names)
+        own.known = {}  # the worker may live on for other work
 
-    return rows.mapInArrow(run, out).toDF(*rest, "ids")
+    return rows.mapInArrow(run, out).toDF(*rest, "ids", *["decoded"] * check)
 
 
-def decode_bytes(ids: bytes, pieces: dict[int, bytes]) -> str:
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+def decode_bytes(ids: bytes, tokens: Tokenizer) -> str:
+    return b"".join(tokens.pieces[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
 def decoded(ids: Column, tokens: str) -> Column:
@@ -287,8 +396,8 @@ def decoded(ids: Column, tokens: str) -> Column:
 
     @F.arrow_udf("string")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = tokenizer(tokens).bytes
+        own = tokenizer(tokens)
         for part in parts:
-            yield pa.array([decode_bytes(x.as_py() or b"", pieces) for x in part], pa.string())
+            yield pa.array([decode_bytes(x.as_py() or b"", own) for x in part], pa.string())
 
     return run(ids)
