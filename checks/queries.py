@@ -80,8 +80,7 @@ def s5_catalog_write(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("r")
     )
     path = new_path(spark, "records")
-    chosen = tables.with_prefix(records, "r", "Customer#0000000")
-    tables.write_records(tables.with_literal(chosen, "p", b"\x01"), path)
+    tables.write_records(tables.with_literal(records, "p", b"\x01"), path)
     return tables.scan(spark, path, schema=tables.CATALOG_RECORDS).select(
         "key", "r", F.hex("p").alias("p")
     )
@@ -344,7 +343,8 @@ def t5_profile_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a11_cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.cluster_sizes(clusters.cluster_profiles(fx.profile_table(spark, sf)))
+    found = stage(clusters.cluster_profiles(fx.vector_profiles(spark, sf)), "clusters")
+    return _hex_row(clusters.cluster_members(found))
 
 
 def train_job(spark: SparkSession, sf: str) -> DataFrame:

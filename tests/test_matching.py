@@ -260,5 +260,6 @@ def test_clusters_equal_brute_force(spark, leaders, monkeypatch):
     for i in got:
         for j in got:
             assert (got[i] == got[j]) == (root(i) == root(j))
-    sizes = clusters.cluster_sizes(clusters.cluster_profiles(df)).collect()
-    assert {r["cluster_id"]: r["members"] for r in sizes} == dict(Counter(got.values()))
+    members = clusters.cluster_members(clusters.cluster_profiles(df)).collect()
+    assert len(members) == len(vectors) == len({bytes(r["rowkey"]) for r in members})
+    assert {r["cluster_id"]: r["members"] for r in members} == dict(Counter(got.values()))

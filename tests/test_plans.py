@@ -11,7 +11,7 @@ import wireloom.fixtures as fx
 from checks.compare import difference
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
-from wireloom.operators import features, keywords, tcp
+from wireloom.operators import decode, features, keywords, tcp
 from wireloom.plans import jobs
 from wireloom.plans.skew import join_by_size, running
 from wireloom.plans.staging import shared_folder, stage
@@ -26,8 +26,8 @@ def test_query_equals_sql(spark, sf, name):
         assert df.count() > 0
 
 
-def test_only_non_sql_operators_lack_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"n1_fpgrowth_full", "n2_sample"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_sessions_to_features_shuffle_packets_once(spark):
@@ -92,6 +92,17 @@ def test_preprocess_with_hot_flows_equals_without(spark, sf):
     assert a.exceptAll(b).isEmpty() and a.count() == b.count()
 
 
+def test_preprocess_moves_packets_once(spark, sf):
+    """One exchange of whole packets from tagging to directions and gaps; raw frames in none."""
+    packets = fx.with_flow_key(decode.decoded_packets(fx.frame_table(spark, sf)))
+    plan = plan_text(tcp_branch := jobs.tag_all(packets.where("pr = 6").drop("r"), rows_per_chunk=None))
+    steps = [x for x in plan.split("\n") if "Window [" in x or "Exchange " in x]
+    before = next(i for i, x in enumerate(steps) if "Exchange " in x)
+    # Gaps, direction and session tag stand on the same exchange.
+    assert before >= 3 and all("Window [" in x for x in steps[:before])
+    assert "r" not in tcp_branch.columns
+
+
 def test_mixed_tcp_and_udp_preprocess(spark):
     rows = random_packets(4, 200, 2000)
     udp = [(r[0] + 1000, r[1], 17, *r[3:7], None, None, None, None, 60) for r in rows]

@@ -102,7 +102,7 @@ def test_write_records(spark, tmp_path):
         F.col("id").cast("string").alias("key"), F.concat("id", F.lit("hello")).alias("r")
     )
     tables.write_records(
-        tables.with_literal(tables.with_prefix(df, "r", "1"), "p", b"\x01"), path
+        tables.with_literal(tables.with_prefix(df, "r", "1"), "p", b"\x01"), path, regions=5
     )
     back = tables.scan(spark, path, schema=tables.CATALOG_RECORDS)
     assert back.count() == 11 and bytes(back.first()["p"]) == b"\x01"

@@ -34,11 +34,12 @@ WORTHWHILE = 4
 
 def copy_edges(profile_table: DataFrame) -> DataFrame:
     """``(src, dst)``: profiles with identical values, each linked to the smallest of them."""
+    # 128 bits stand for the values; copies combine before the shuffle.
     keyed = profile_table.select(
-        hex_lower(F.col("rowkey")).alias("node"), F.to_json("features_value").alias("text")
+        hex_lower(F.col("rowkey")).alias("node"), F.unhex(F.md5(F.to_json("features_value"))).alias("digest")
     )
-    least = keyed.groupBy("text").agg(F.min("node").alias("src"))
-    return keyed.join(least, "text").select("src", F.col("node").alias("dst"))
+    least = keyed.groupBy("digest").agg(F.min("node").alias("src"))
+    return keyed.join(least, "digest").select("src", F.col("node").alias("dst"))
 
 
 def leader_edges(table: DataFrame, rounds: int = LEADER_ROUNDS, count: int = LEADERS) -> DataFrame:
@@ -122,11 +123,12 @@ def resemblance_labels(profile_table: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable over ``edges (src, dst)``.
 
     Each round takes the smallest label among neighbours, then the label's own label, and writes the
-    result, so lineage stays short and a lost executor costs one round at most.
+    result, so lineage stays short and a lost executor costs one round at most.  Labels only fall, so
+    the rounds end.
     """
     both = stage(
         edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))),
@@ -135,7 +137,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     labels = stage(nodes.select("node", F.col("node").alias("component")), "labels")
     if both.isEmpty():
         return labels
-    for _ in range(max_rounds):
+    while True:
         smallest = (
             both.join(labels, both["src"] == labels["node"])
             .groupBy("dst")
@@ -154,7 +156,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         labels = jumped.select("node", "component")
         if jumped.where(F.col("component") != F.col("old")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def cluster_profiles(profile_table: DataFrame) -> DataFrame:
@@ -170,11 +171,7 @@ def cluster_profiles(profile_table: DataFrame) -> DataFrame:
     )
 
 
-def cluster_sizes(clusters: DataFrame) -> DataFrame:
-    """Members per cluster, with the first and last row key instead of an unbounded list."""
-    key = hex_lower(F.col("rowkey"))
-    return clusters.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min(key).alias("first_rowkey"),
-        F.max(key).alias("last_rowkey"),
-    )
+def cluster_members(clusters: DataFrame) -> DataFrame:
+    """``cluster_id, rowkey, members``: every member with the size of its cluster."""
+    sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
+    return clusters.join(sizes, "cluster_id").select("cluster_id", "rowkey", "members")

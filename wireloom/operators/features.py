@@ -47,10 +47,18 @@ def session_duration(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy(*SESSION).agg((F.max("t") - F.min("t")).alias("sessn_dur"))
 
 
-def _spaced(tagged: DataFrame) -> DataFrame:
-    """Add ``iat`` and ``side_iat``, the gaps within the session and within the sender's side."""
+#: Columns of ``spaced``.
+SPACING = ("iat", "side_iat", "sends_first")
+
+
+def spaced(tagged: DataFrame) -> DataFrame:
+    """Add ``iat`` and ``side_iat``, the gaps within the session and within the sender's side.
+
+    ``sends_first`` is, on a session's first packet only, whether the ``lo`` endpoint sent it.  A table
+    stored with these columns gives features without windows.
+    """
     t = F.col("t")
-    spaced = running(
+    gaps = running(
         tagged,
         SESSION,
         ("t", "rowkey"),
@@ -62,13 +70,13 @@ def _spaced(tagged: DataFrame) -> DataFrame:
     )
     prev = F.greatest("prev_lo", "prev_hi")
     side = F.when(F.col("src_lo"), F.col("prev_lo")).otherwise(F.col("prev_hi"))
-    return spaced.withColumns(
+    return gaps.withColumns(
         {
             "iat": t - prev,
             "side_iat": t - side,
             "sends_first": F.when(prev.isNull(), F.col("src_lo").cast("int")),
         }
-    )
+    ).drop("prev_lo", "prev_hi")
 
 
 def _squares(name: str, x: str) -> dict[str, str]:
@@ -198,16 +206,16 @@ def _number(value: str) -> str:
 
 def _summed(tagged: DataFrame) -> DataFrame:
     """One row of sums per session, sides still named ``lo`` and ``hi``."""
-    columns = [*SESSION, CHUNK, "t", "rowkey", "src_lo", "pkt_len", "pld_len", "tcp_flags"]
+    columns = [*SESSION, CHUNK, "t", "rowkey", "src_lo", "pkt_len", "pld_len", "tcp_flags", *SPACING]
     narrow = tagged.select(*[c for c in columns if c in tagged.columns])
+    with_gaps = narrow if "side_iat" in tagged.columns else spaced(narrow)
     sums = {f"all_{name}": e for name, e in _gap_sums("iat").items()}
     for prefix, side in (("lo", "src_lo"), ("hi", "not src_lo")):
         sums |= {f"{prefix}_{name}": e for name, e in _side_sums(side).items()}
     sums["psh_cnt"] = f"count_if(tcp_flags & {PSH} <> 0)"
     sums["first_lo"] = "max(sends_first) = 1"
     return (
-        _spaced(narrow)
-        .selectExpr(
+        with_gaps.selectExpr(
             "*", "cast(pkt_len as bigint) as size", "cast(pld_len as bigint) as payload"
         )
         .groupBy(*SESSION)

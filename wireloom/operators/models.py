@@ -15,6 +15,7 @@ from wireloom.operators.matching import (
     reference_table,
 )
 from wireloom.plans.numbering import number_by_hash
+from wireloom.plans.staging import stage
 
 TRAINING = Band(RATIO_LOW, RATIO_HIGH_TRAINING, probe_on_top=True)
 IDENTIFY = Band(probe_on_top=False)
@@ -60,7 +61,7 @@ def train_models(
     profile_table: DataFrame, models: DataFrame, small: int = SMALL_REFERENCES
 ) -> tuple[DataFrame, DataFrame]:
     """Assignments ``(rowkey, id)`` of all profiles, and the models they use, new ones included."""
-    matched = match_profiles(profile_table, models, small)
+    matched = stage(match_profiles(profile_table, models, small), "matched")
     new = new_assignments(profile_table, matched, models)
     assigned = union_assignments(new, matched)
     opened = new.join(profile_table, "rowkey").select(

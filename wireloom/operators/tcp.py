@@ -139,9 +139,13 @@ def tag_any(packets: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK) ->
     )
 
 
-def tag_sessions(packets: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
+def tag_sessions(
+    packets: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK, outside: bool = False
+) -> DataFrame:
     """Method 2: keep packets inside a session and add its start time as ``sid_ts``.
 
+    ``outside`` keeps the other packets too, with a null ``sid_ts``.
+
     A packet is inside when the last marker at or before it is a start; a FIN/RST packet is itself a
     stop, and a stop beats a start at the same time.
     """
@@ -159,6 +163,9 @@ def tag_sessions(packets: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK
         },
     )
     inside = F.col("last_stop").isNull() | (F.col("sid_ts") > F.col("last_stop"))
-    return marked.where(
-        F.col("rowkey").isNotNull() & F.col("sid_ts").isNotNull() & inside
-    ).drop("start_ts", "last_stop")
+    tagged = (
+        marked.where(F.col("rowkey").isNotNull())
+        .withColumn("sid_ts", F.when(inside, F.col("sid_ts")))
+        .drop("start_ts", "last_stop")
+    )
+    return tagged if outside else tagged.where(F.col("sid_ts").isNotNull())

@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 #: Most rows of one key that one task should sort.
 ROWS_PER_CHUNK = 4_000_000
 
-#: Most chunks one key is cut into.
-MAX_CHUNKS = 4096
-
 CHUNK = "chunk"
 
 
@@ -32,13 +29,15 @@ class Splits:
 
     keys: tuple[str, ...]
     cuts: DataFrame | None = None
+    #: Most cuts of one key.
+    most: int = 0
 
     def assign(self, df: DataFrame, order: str = "t") -> DataFrame:
         """Add ``chunk``: how many cuts of the row's key are at or before ``order``."""
         if self.cuts is None or CHUNK in df.columns:
             return df
         columns = df.columns
-        number = F.size(F.filter("cuts", lambda c: c <= F.col(order)))
+        number = _count_up_to(F.col("cuts"), F.col(order), self.most)
         # One row per hot key and one number per ROWS_PER_CHUNK rows, collected and counted by
         # find_splits: the broadcast is bounded by (rows in the table) / (rows per chunk).
         return df.join(F.broadcast(self.cuts), list(self.keys), "left").select(
@@ -46,6 +45,18 @@ class Splits:
         )
 
 
+def _count_up_to(cuts: Column, value: Column, most: int) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``value``: halving steps, not one per cut."""
+    steps = [1 << b for b in reversed(range(max(most, 1).bit_length()))]
+
+    def further(found: Column, step: Column) -> Column:
+        cut = F.get(cuts, (found + step - 1).cast("int"))
+        return found + F.when(cut <= value, step).otherwise(0)
+
+    counted = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+    return F.when(cuts.isNotNull(), counted)
+
+
 def find_splits(
     df: DataFrame,
     keys: Sequence[str],
@@ -65,25 +76,29 @@ def find_splits(
     if df.count() <= rows_per_chunk:
         return Splits(keys)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_chunk)
-    steps = [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)]
+    most = hot.agg(F.max("n")).first()[0]
+    if most is None:
+        return Splits(keys)
+    # Cuts for the largest key; a smaller one takes every so many of them.
+    pieces = -(-most // rows_per_chunk)
+    steps = [i / pieces for i in range(1, pieces)]
     grid = (
         df.select(*keys, order)
         .join(F.broadcast(hot), list(keys))
         .groupBy(*keys)
         .agg(
             F.max("n").alias("n"),
-            F.percentile_approx(order, steps, 4 * MAX_CHUNKS).alias("grid"),
+            F.percentile_approx(order, steps, max(4 * pieces, 10_000)).alias("grid"),
         )
     )
-    every = F.greatest(F.floor(F.lit(MAX_CHUNKS) * rows_per_chunk / F.col("n")), F.lit(1))
+    every = F.greatest(F.floor(F.lit(pieces) * rows_per_chunk / F.col("n")), F.lit(1))
     found = grid.select(
         *keys,
         F.array_distinct(F.filter("grid", lambda _, i: i % every == every - 1)).alias("cuts"),
     )
     rows = found.collect()
-    if not rows:
-        return Splits(keys)
-    return Splits(keys, df.sparkSession.createDataFrame(rows, found.schema))
+    cuts = df.sparkSession.createDataFrame(rows, found.schema)
+    return Splits(keys, cuts, max(len(r["cuts"]) for r in rows))
 
 
 def spread(
@@ -125,7 +140,7 @@ def running(
         .orderBy(CHUNK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per (hot key, chunk): at most MAX_CHUNKS rows per window.
+    # One row per (hot key, chunk).
     carried = (
         df.where(F.col(CHUNK).isNotNull())
         .groupBy(*part)

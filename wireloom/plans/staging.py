@@ -11,9 +11,16 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder is set only when it is unset."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder is set if all tasks run on this machine; a cluster has to name
+    a folder its executors share.
+    """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a shared folder when the master is {master}")
         folder = tempfile.mkdtemp(prefix="wireloom-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")

@@ -54,10 +54,16 @@ def write(df: DataFrame, path: str, columns: Iterable[str] = (), mode: str = "ov
     (df.select(*columns) if columns else df).write.mode(mode).parquet(path)
 
 
-def write_records(df: DataFrame, path: str, regions: int = 5, mode: str = "overwrite") -> None:
-    """Write records in the declared layout, spread over ``regions`` files by key."""
+def write_records(
+    df: DataFrame, path: str, regions: int | None = None, mode: str = "overwrite"
+) -> None:
+    """Write records in the declared layout; ``regions`` asks for that many files by key.
+
+    Without it rows are written where they are, so the work spreads with their number.
+    """
     shaped = df.select(*[F.col(f.name).cast(f.dataType) for f in CATALOG_RECORDS])
-    shaped.repartition(regions, "key").write.mode(mode).parquet(path)
+    placed = shaped if regions is None else shaped.repartition(regions, "key")
+    placed.write.mode(mode).parquet(path)
 
 
 def with_literal(df: DataFrame, name: str, value: bytes) -> DataFrame:
