@@ -311,7 +311,7 @@ def t2_model_match(spark: SparkSession, sf: str) -> DataFrame:
 def t2_model_match_large(spark: SparkSession, sf: str) -> DataFrame:
     """The same match by the equi-join used for any number of models."""
     known, candidates = fx.model_split(fx.profile_table(spark, sf))
-    return _hex_row(models.match_profiles(candidates, known, small=0))
+    return _hex_row(models.match_profiles(candidates, known))
 
 
 def t3_new_models(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,7 +335,7 @@ def t4_identify(spark: SparkSession, sf: str) -> DataFrame:
 def t4_identify_large(spark: SparkSession, sf: str) -> DataFrame:
     """The same by the equi-join used for any number of models."""
     known, _ = fx.model_split(fx.profile_table(spark, sf))
-    return _hex_row(models.identify_sessions(fx.session_table(spark, sf), known, small=0))
+    return _hex_row(models.identify_sessions(fx.session_table(spark, sf), known))
 
 
 def t5_profile_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,9 +354,9 @@ def train_job(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t2_vector_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Matching on signed vectors that mostly do not fit: a small block, then the equi-join."""
+    """Matching on signed vectors that mostly do not fit."""
     known, candidates = fx.vector_split(fx.vector_profiles(spark, sf))
-    return _hex_row(models.match_profiles(candidates, known, small=20))
+    return _hex_row(models.match_profiles(candidates, known))
 
 
 def t3_vector_models(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,10 +97,9 @@ def test_matching_pairs_equal_brute_force(spark, band, rows_per_bucket, monkeypa
     first = {}
     for p, r in sorted(expected):
         first.setdefault(p, r)
-    for small in (1000, 7, 0):
-        rows = matching.first_match(probes, refs, band, small).collect()
-        assert len(rows) == 60
-        assert {r["probe"]: r["ref"] for r in rows} == {p: first.get(p) for p in range(60)}
+    rows = matching.first_match(probes, refs, band).collect()
+    assert len(rows) == 60
+    assert {r["probe"]: r["ref"] for r in rows} == {p: first.get(p) for p in range(60)}
 
 
 def test_reference_without_known_features_matches_all(spark):
@@ -113,9 +112,8 @@ def test_reference_without_known_features_matches_all(spark):
         key.alias("probe"), matching.profile_means(F.col("features_value")).alias("means")
     )
     refs = matching.reference_table(df.withColumn("k", key), "k")
-    for small in (1000, 0):
-        rows = matching.first_match(probes, refs, models.TRAINING, small).collect()
-        assert {r["ref"] for r in rows} == {"0" * 14}
+    rows = matching.first_match(probes, refs, models.TRAINING).collect()
+    assert {r["ref"] for r in rows} == {"0" * 14}
     labels = clusters.cluster_profiles(df).collect()
     assert {r["cluster_id"] for r in labels} == {0}
 

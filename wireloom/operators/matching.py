@@ -1,17 +1,10 @@
 """Ratio matching of feature vectors against reference profiles.
 
 A probe matches a reference when at least ``NEEDED`` of the reference's ten top features have a
-ratio inside a band.  Two ways, same result:
-
-* ``first_match_small``: a bounded number of references travels to every task as one constant and is
-  tried in key order; no shuffle, no pair is ever a row.
-* ``matching_pairs``: any number of references.  Ten features and eight needed leave room for two
-  misses, so of any three top features at least one is inside its band.  Each reference therefore
-  looks only at its three rarest features, and meets the probes through an equi-join on (feature,
-  power-of-two bucket).  Busy buckets are salted.
-
-``first_match`` uses the first for a block of the smallest keys and the second only for probes that no
-reference of the block matches.
+ratio inside a band.  Ten features and eight needed leave room for two misses, so of any three top
+features at least one is inside its band.  Each reference therefore looks only at its three rarest
+features, and meets the probes through an equi-join on (feature, power-of-two bucket), for any number
+of references.  Only probe rows of looked-up pairs move, and busy buckets are salted.
 """
 
 from __future__ import annotations
@@ -21,9 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.functions.ratios import feature_ratio
 from wireloom.operators.profiles import TOP, top_features
-from wireloom.plans.staging import stage
 
 # How many of the ten must agree, and the band of each use.
 NEEDED = 8
@@ -31,9 +22,6 @@ RATIO_LOW = 0.4
 RATIO_HIGH = 2.08
 RATIO_HIGH_TRAINING = 2.09
 
-#: Up to this many references go to every task (about 200 bytes each).
-SMALL_REFERENCES = 5_000
-
 #: Rows of one (feature, bucket) that one task should join.
 ROWS_PER_BUCKET = 200_000
 
@@ -46,10 +34,6 @@ class Band:
     high: float = RATIO_HIGH
     probe_on_top: bool = True
 
-    def holds(self, probe: Column, reference: Column) -> Column:
-        over = (probe, reference) if self.probe_on_top else (reference, probe)
-        return feature_ratio(*over).between(self.low, self.high)
-
     def probe_range(self, reference: Column) -> tuple[Column, Column]:
         """Bounds of a probe's magnitude for a non-zero reference, slightly widened."""
         low, high = (
@@ -70,18 +54,8 @@ def profile_means(values: Column) -> Column:
     return F.transform(values, lambda v: v["mean"])
 
 
-def _agreeing(means: Column, top: Column, band: Band) -> Column:
-    return F.size(
-        F.filter(top, lambda f: band.holds(F.element_at(means, f["pos"] + 1), f["mean"]))
-    )
-
-
-def matches(means: Column, top: Column, band: Band) -> Column:
-    return _agreeing(means, top, band) >= NEEDED
-
-
 def matches_joined(means: str, top: str, band: Band) -> Column:
-    """``matches`` for a joined pair, written out feature by feature so that it is compiled."""
+    """Whether a joined pair matches, written out feature by feature so that it is compiled."""
     terms = []
     for i in range(TOP):
         probe, reference = f"get({means}, get({top}, {i}).pos)", f"get({top}, {i}).mean"
@@ -94,19 +68,6 @@ def matches_joined(means: str, top: str, band: Band) -> Column:
     return F.expr(f"{' + '.join(terms)} >= {NEEDED}")
 
 
-def first_match_small(probes: DataFrame, references: DataFrame, band: Band) -> DataFrame:
-    """Add ``ref``, the first reference in key order that matches ``means``, or null."""
-    ordered = references.agg(F.array_sort(F.collect_list(F.struct("ref", "top"))).alias("all"))
-    found = F.filter("all_refs", lambda r: matches(F.col("means"), r["top"], band))
-    return (
-        probes.withColumn("all_refs", ordered.scalar())
-        .withColumn("ref", F.try_element_at(found, F.lit(1))["ref"])
-        .drop("all_refs")
-    )
-
-
-# --- any number of references ------------------------------------------------------------------
-
 _ZERO, _UNKNOWN = 1 << 20, 1 << 21
 
 
@@ -199,17 +160,20 @@ def matching_pairs(
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     )
     salt = F.pmod(F.xxhash64("probe"), F.col("salts").cast("bigint")).cast("int")
-    salted = tokens.join(F.broadcast(busy), ["pos", "bucket"]).withColumn("salt", salt)
+    # Of a probe's 44 values only those move that some reference looks up; as bounded as ``busy``.
+    wanted = pivots.select("pos", "bucket").distinct()
+    looked_at = busy.join(wanted, ["pos", "bucket"], "left_semi")
+    salted = tokens.join(F.broadcast(looked_at), ["pos", "bucket"]).withColumn("salt", salt)
     keys = ["pos", "bucket", "salt"]
     holds = matches_joined("means", "top", band)
     if across:
         keys.append("uncommon_ref")
         uncommon = F.col(across) != F.col("common")
         pivots = pivots.withColumn("uncommon_ref", uncommon).withColumnRenamed(across, "ref_side")
-        wanted = F.when(uncommon, F.array(F.lit(True), F.lit(False))).otherwise(
+        sides = F.when(uncommon, F.array(F.lit(True), F.lit(False))).otherwise(
             F.array(F.lit(True))
         )
-        salted = salted.withColumn("uncommon_ref", F.explode(wanted))
+        salted = salted.withColumn("uncommon_ref", F.explode(sides))
         holds = (F.col(across) != F.col("ref_side")) & holds
     return (
         salted.select("probe", "means", *extra, *keys)
@@ -224,29 +188,12 @@ def unbounded_references(references: DataFrame) -> DataFrame:
     return references.where(F.size(F.filter("top", lambda f: f["mean"].isNotNull())) < 3)
 
 
-def first_match(
-    probes: DataFrame,
-    references: DataFrame,
-    band: Band,
-    small: int = SMALL_REFERENCES,
-) -> DataFrame:
+def first_match(probes: DataFrame, references: DataFrame, band: Band) -> DataFrame:
     """``probe, ref``: each probe with its first matching reference in key order, or null."""
-    few = references.count() <= small
-    if small > 0:
-        block = references if few else references.orderBy("ref").limit(small)
-        probes = first_match_small(probes, block, band)
-        if few:
-            return probes.select("probe", "ref")
-        probes = stage(probes, "probes")
-        references = references.where(F.col("ref") > block.agg(F.max("ref").alias("last")).scalar())
-        found = probes.where(F.col("ref").isNotNull()).select("probe", "ref")
-        probes = probes.where(F.col("ref").isNull()).drop("ref")
-    pairs = matching_pairs(probes, references, band)
-    best = pairs.groupBy("probe").agg(F.min("ref").alias("ref"))
+    best = matching_pairs(probes, references, band).groupBy("probe").agg(F.min("ref").alias("ref"))
     everywhere = unbounded_references(references).agg(F.min("ref").alias("ref"))
-    rest = (
+    return (
         probes.select("probe")
         .join(best, "probe", "left")
         .withColumn("ref", F.least("ref", everywhere.scalar()))
     )
-    return found.unionByName(rest) if small > 0 else rest

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from wireloom.operators.matching import (
     RATIO_HIGH_TRAINING,
     RATIO_LOW,
-    SMALL_REFERENCES,
     Band,
     first_match,
     profile_means,
@@ -25,9 +24,7 @@ def model_id(number: Column) -> Column:
     return F.format_string("WX%03d", number)
 
 
-def match_profiles(
-    profile_table: DataFrame, models: DataFrame, small: int = SMALL_REFERENCES
-) -> DataFrame:
+def match_profiles(profile_table: DataFrame, models: DataFrame) -> DataFrame:
     """``rowkey, id``: every profile with the first matching model's id, or null.
 
     The ratio is profile mean over model mean on the model's ten top features.
@@ -35,7 +32,7 @@ def match_profiles(
     probes = profile_table.select(
         F.col("rowkey").alias("probe"), profile_means(F.col("features_value")).alias("means")
     )
-    found = first_match(probes, reference_table(models, "id"), TRAINING, small)
+    found = first_match(probes, reference_table(models, "id"), TRAINING)
     return found.select(F.col("probe").alias("rowkey"), F.col("ref").alias("id"))
 
 
@@ -57,11 +54,9 @@ def union_assignments(new: DataFrame, matched: DataFrame) -> DataFrame:
     return new.unionByName(matched.where(F.col("id").isNotNull()))
 
 
-def train_models(
-    profile_table: DataFrame, models: DataFrame, small: int = SMALL_REFERENCES
-) -> tuple[DataFrame, DataFrame]:
+def train_models(profile_table: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Assignments ``(rowkey, id)`` of all profiles, and the models they use, new ones included."""
-    matched = stage(match_profiles(profile_table, models, small), "matched")
+    matched = stage(match_profiles(profile_table, models), "matched")
     new = new_assignments(profile_table, matched, models)
     assigned = union_assignments(new, matched)
     opened = new.join(profile_table, "rowkey").select(
@@ -71,9 +66,7 @@ def train_models(
     return assigned, opened.unionByName(used)
 
 
-def identify_sessions(
-    sessions: DataFrame, models: DataFrame, small: int = SMALL_REFERENCES
-) -> DataFrame:
+def identify_sessions(sessions: DataFrame, models: DataFrame) -> DataFrame:
     """``rowkey, id``: the first model that fits each session, or null.
 
     The ratio is model mean over session value on the model's ten top features.  To identify one
@@ -82,5 +75,5 @@ def identify_sessions(
     probes = sessions.select(
         F.col("rowkey").alias("probe"), F.col("features_value").alias("means")
     )
-    found = first_match(probes, reference_table(models, "id"), IDENTIFY, small)
+    found = first_match(probes, reference_table(models, "id"), IDENTIFY)
     return found.select(F.col("probe").alias("rowkey"), F.col("ref").alias("id"))
