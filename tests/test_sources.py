@@ -52,7 +52,9 @@ def test_layouts_and_cut_off_files(spark, tmp_path):
     (tmp_path / "nano.pcap").write_bytes(capture_bytes(records, b"\x4d\x3c\xb2\xa1", "<", 1000))
     (tmp_path / "cut.pcap").write_bytes(whole[:-1])
     (tmp_path / "bare.pcap").write_bytes(whole[:24])
-    for name, expected in (("big", 30), ("nano", 30), ("cut", 29), ("bare", 0)):
+    for name, snap in (("huge", b"\xff\xff\xff\xff"), ("large", b"\xff\xff\xff\x7f")):
+        (tmp_path / f"{name}.pcap").write_bytes(whole[:16] + snap + whole[20:])
+    for name, expected in (("huge", 30), ("large", 30), ("big", 30), ("nano", 30), ("cut", 29), ("bare", 0)):
         got = capture.read_captures(spark, str(tmp_path / f"{name}.pcap"), 300).collect()
         assert sorted((r["t"], bytes(r["r"])) for r in got) == records[:expected], name
 

@@ -74,7 +74,8 @@ def _layout(file) -> Layout:
         raise ValueError("not a capture file")
     order, unit = MAGIC[header[:4]]
     longest = struct.unpack_from(order + "I", header, 16)[0]
-    return Layout(order, unit, longest or LONGEST_RECORD)
+    # Some writers put 2^31 - 1 or more there; it only bounds where a range looks for its first record.
+    return Layout(order, unit, min(longest or LONGEST_RECORD, LONGEST_RECORD))
 
 
 def _chain_holds(data: bytes, at: int, layout: Layout, ends_file: bool) -> bool:
@@ -129,18 +130,21 @@ def _list_files(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
 
 
-def _index_range(path: str, at: int, stop: int, size: int) -> tuple[str, int, int, int]:
+def _index_range(
+    path: str, at: int, stop: int, size: int, begin: int | None = None
+) -> tuple[str, int, int, int]:
     with _open(path) as file:
         layout = _layout(file)
-        begin = _first_record(file, at, size, layout)
+        if begin is None:
+            begin = _first_record(file, at, size, layout)
         return path, at, begin, _walk(file, begin, stop, size, layout)
 
 
 def plan_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> list[FileRange]:
-    """Record-aligned ranges of all files; header walks run as one Spark job when there are many.
+    """Record-aligned ranges of all files; header walks run as Spark tasks when there are many.
 
-    One small row per range comes back.  A range whose end is not the next one's begin (a payload that
-    looked like records) is walked again from the true boundary.
+    One small row per range comes back.  A range whose begin is not the end of the one before (a payload
+    that looked like records) is walked again, in a task, from the true boundary.
     """
     cuts = [
         (name, at, min(at + range_bytes, size), size)
@@ -148,33 +152,44 @@ def plan_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
         if size > FILE_HEADER
         for at in range(0, size, range_bytes)
     ]
-    if len(cuts) > 1:
-        schema = "path string, at long, stop long, size long"
-        todo = spark.createDataFrame(cuts, schema).repartition(len(cuts))
-
-        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [_index_range(**{**r}) for r in batch.to_pylist()]
-                names = ["path", "at", "begin", "end"]
-                columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-        indexed = todo.mapInArrow(index, "path string, at long, begin long, end long").collect()
-        found = {(r["path"], r["at"]): (r["begin"], r["end"]) for r in indexed}
-    else:
-        found = {(p, at): _index_range(p, at, stop, size)[2:] for p, at, stop, size in cuts}
-    ranges = []
-    previous: tuple[str, int] | None = None
-    for name, at, stop, size in cuts:
-        begin, end = found[(name, at)]
-        if previous and previous[0] == name and begin != previous[1]:
-            begin = previous[1]
-            with _open(name) as file:
-                end = _walk(file, begin, stop, size, _layout(file))
-        previous = (name, end)
-        if begin < end:
-            ranges.append(FileRange(name, begin, end))
-    return ranges
+    found = {(p, at): (begin, end) for p, at, begin, end in _indexed(spark, cuts)}
+    while True:
+        ranges, again = [], []
+        previous: tuple[str, int] | None = None
+        broken = None
+        for name, at, stop, size in cuts:
+            begin, end = found[(name, at)]
+            if previous and previous[0] == name and begin != previous[1] and broken != name:
+                # The file is walked on from here; what follows is judged in the next round.
+                again.append((name, at, stop, size, previous[1]))
+                broken = name
+            previous = (name, end)
+            if begin < end:
+                ranges.append(FileRange(name, begin, end))
+        if not again:
+            return ranges
+        found |= {(p, at): (begin, end) for p, at, begin, end in _indexed(spark, again)}
+
+
+def _indexed(spark: SparkSession, cuts: list[tuple]) -> list[tuple[str, int, int, int]]:
+    """(path, at, begin, end) of cuts, one task each; a fifth value is the known first record."""
+    if not cuts:
+        return []
+    if len(cuts) == 1:
+        return [_index_range(*cuts[0])]
+    rows = [(*c, None)[:5] for c in cuts]
+    schema = "path string, at long, stop long, size long, begin long"
+    # One slice per row: a shuffle would put several ranges into one task.
+    todo = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), schema)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [_index_range(**r) for r in batch.to_pylist()]
+            columns = list(zip(*done, strict=True)) or [[], [], [], []]
+            names = ["path", "at", "begin", "end"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return [tuple(r) for r in todo.mapInArrow(index, "path string, at long, begin long, end long").collect()]
 
 
 def read_range(part: FileRange) -> Iterator[pa.RecordBatch]:
@@ -254,11 +269,12 @@ def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     """Raw packets of all capture files under ``path``, large files in parallel."""
     ranges = plan_ranges(spark, path, range_bytes)
     rows = [(r.path, r.start, r.end) for r in ranges]
-    todo = spark.createDataFrame(rows, "path string, start long, end long")
+    todo = spark.sparkContext.parallelize(rows, max(len(rows), 1))
+    todo = spark.createDataFrame(todo, "path string, start long, end long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield from read_range(FileRange(row["path"], row["start"], row["end"]))
 
-    return todo.repartition(max(len(rows), 1)).mapInArrow(read, RAW_PACKETS)
+    return todo.mapInArrow(read, RAW_PACKETS)
