@@ -99,7 +99,7 @@ def p6_literal(spark: SparkSession, sf: str) -> DataFrame:
 def x5_non_null(spark: SparkSession, sf: str) -> DataFrame:
     p = _packets(spark, sf)
     with_sid = tables.merge_by_key(p.select("rowkey"), _tagged(spark, sf).select("rowkey", "sid_ts"))
-    return with_sid.where(F.col("sid_ts").isNotNull())
+    return tables.present(with_sid, "sid_ts")
 
 
 def x6_key_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,9 +131,7 @@ def x4_stop_packets(spark: SparkSession, sf: str) -> DataFrame:
 def x8_range(spark: SparkSession, sf: str) -> DataFrame:
     p = _packets(spark, sf)
     ratio = ratios.feature_ratio(F.col("pld_len").cast("double"), F.col("pkt_len").cast("double"))
-    return p.withColumn("ratio", ratio).where(F.col("ratio").between(0.5, 1.0)).select(
-        "rowkey", "ratio"
-    )
+    return tables.with_range(p.select("rowkey", ratio.alias("ratio")), "ratio", 0.5, 1.0)
 
 
 # --- decode, marks -----------------------------------------------------------------------------
@@ -217,16 +215,11 @@ def j6_key_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def u2_markers(spark: SparkSession, sf: str) -> DataFrame:
-    p = _packets(spark, sf)
-    starts = tcp.handshakes_latest(p).select(
-        *addresses.FLOW, F.lit(0).alias("kind"), F.col("start_ts").alias("t")
-    )
-    stops = tcp.stop_packets(p).select(*addresses.FLOW, F.lit(1).alias("kind"), "t")
-    return starts.unionByName(stops)
+    return tcp.session_markers(_packets(spark, sf))
 
 
 def u3_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return _tagged(spark, sf).select(*SESSION).distinct()
+    return tcp.distinct_sessions(_tagged(spark, sf))
 
 
 def w1_udp_sessions(spark: SparkSession, sf: str) -> DataFrame:

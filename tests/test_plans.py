@@ -130,7 +130,14 @@ def test_jobs_from_the_command_line(spark, sf, tmp_path):
     main(["cluster", f"{out}/profiles", f"{out}/clusters"])
     main(["keywords", f"{out}/packets", f"{out}/keywords", "--fraction", "1.0"])
     main(["report", f"{out}/sessions"])
+    for name in ("latest-sessions", "tcp-report", "udp-report", "counters"):
+        main([name, f"{out}/packets", f"{out}/{name}"])
     read = spark.read.parquet
+    report, counted = read(f"{out}/tcp-report").first(), read(f"{out}/counters").first()
+    assert report["packets"] == counted["packets"] == 12102 and report["sessions"] == 1258
+    assert report["tagged_packets"] == counted["tagged_packets"]
+    assert read(f"{out}/udp-report").first()["sessions"] == 0
+    assert read(f"{out}/latest-sessions").count() > counted["tagged_packets"] / 2
     assert read(f"{out}/packets").count() == 12102
     assert read(f"{out}/sessions").count() == read(f"{out}/identified").count() == 1258
     assert read(f"{out}/profiles").count() == read(f"{out}/clusters").count() == 21

@@ -6,8 +6,9 @@ import argparse
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from wireloom.operators import clusters, keywords, reports, udp
+from wireloom.operators import clusters, keywords, reports, tcp, udp
 from wireloom.plans import jobs
 from wireloom.sources import capture, tables
 from wireloom.streaming import ingest
@@ -59,6 +60,28 @@ def _report(spark: SparkSession, a: argparse.Namespace) -> None:
     reports.sessions_per_endpoint(tables.scan(spark, a.sessions)).show(a.rows, truncate=False)
 
 
+def _latest_sessions(spark: SparkSession, a: argparse.Namespace) -> None:
+    packets = tables.scan(spark, a.packets).where(F.col("pr") == tcp.PROTO_TCP)
+    kept = packets.drop("sid_ts", "sid", "direction", "m", "payload")
+    tables.write(tcp.tag_any(kept), a.out)
+
+
+def _tcp_report(spark: SparkSession, a: argparse.Namespace) -> None:
+    packets = tables.scan(spark, a.packets).where(F.col("pr") == tcp.PROTO_TCP)
+    tables.write(reports.session_report(packets, tables.present(packets, "sid_ts")), a.out)
+
+
+def _udp_report(spark: SparkSession, a: argparse.Namespace) -> None:
+    tables.write(reports.udp_report(udp.udp_only(tables.scan(spark, a.packets))), a.out)
+
+
+def _counters(spark: SparkSession, a: argparse.Namespace) -> None:
+    packets = tables.scan(spark, a.packets).where(F.col("pr") == tcp.PROTO_TCP)
+    tagged = tables.present(packets, "sid_ts")
+    starts = tcp.handshakes_latest(packets.drop("sid_ts"))
+    tables.write(reports.job_counters(packets, tagged, starts), a.out)
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="wireloom", description=__doc__)
     jobs_ = parser.add_subparsers(required=True)
@@ -88,6 +111,10 @@ def _parser() -> argparse.ArgumentParser:
     words.add_argument("--fraction", type=float, default=keywords.SAMPLE_FRACTION)
     words.add_argument("--seed", type=int, default=42)
     job("report", _report, "sessions").add_argument("--rows", type=int, default=20)
+    job("latest-sessions", _latest_sessions, "packets", "out")
+    job("tcp-report", _tcp_report, "packets", "out")
+    job("udp-report", _udp_report, "packets", "out")
+    job("counters", _counters, "packets", "out")
     return parser
 
 

@@ -69,7 +69,7 @@ def udp_report(tagged: DataFrame, keys: Sequence[str] = FLOW) -> DataFrame:
         F.count(F.lit(1)).alias("flows"),
         F.sum("sessions").alias("sessions"),
         F.sum("packets").alias("tagged_packets"),
-    )
+    ).na.fill(0)
 
 
 def sessions_per_endpoint(sessions: DataFrame) -> DataFrame:

@@ -169,3 +169,15 @@ def tag_sessions(
         .drop("start_ts", "last_stop")
     )
     return tagged if outside else tagged.where(F.col("sid_ts").isNotNull())
+
+
+def session_markers(packets: DataFrame) -> DataFrame:
+    """Starts (``kind`` 0) and stops (1) of sessions with their times, in one table."""
+    starts = handshakes_latest(packets).select(
+        *FLOW, F.lit(0).alias("kind"), F.col("start_ts").alias("t")
+    )
+    return starts.unionByName(stop_packets(packets).select(*FLOW, F.lit(1).alias("kind"), "t"))
+
+
+def distinct_sessions(tagged: DataFrame) -> DataFrame:
+    return tagged.select(*FLOW, "sid_ts").distinct()

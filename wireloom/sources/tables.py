@@ -81,6 +81,16 @@ def with_key(df: DataFrame, column: str, key: str | int) -> DataFrame:
     return df.where(F.col(column) == value)
 
 
+def present(df: DataFrame, column: str) -> DataFrame:
+    """Rows where the column is not null; the filter reaches the scan."""
+    return df.where(F.col(column).isNotNull())
+
+
+def with_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """Rows whose value lies between two bounds, both included."""
+    return df.where(F.col(column).between(low, high))
+
+
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
