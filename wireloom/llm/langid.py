@@ -36,7 +36,7 @@ SCRIPT_SHARE = 0.01
 #: Words up to this many letters are a feature as a whole.
 SHORT_WORD = 4
 UNDETERMINED = "und"
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 # First and last code point of scripts.
 SCRIPTS = (
