@@ -58,7 +58,7 @@ def test_probabilities_against_the_definition(spark, docs, monkeypatch):
     got = {r._id: r for r in quality.perplexities(df, model, "doc_id", "lang", "text").collect()}
     for i, text in enumerate([*TRUSTED, *OTHERS]):
         assert got[i]._n == len(text or "") + 1
-        assert got[i]._bits == pytest.approx(slow.bits(text or ""), rel=1e-9)
+        assert got[i]._bits == pytest.approx(slow.bits(text or ""), rel=1e-6)
 
 
 def test_a_context_sums_to_one():

@@ -9,8 +9,9 @@ grouped from the order above.  Counts, contexts and discounts are tables, never
 
 Scoring: texts are cut into blocks of ``BLOCK_BYTES`` where they are read, and only the different grams of a
 block are looked up.  The different grams of all blocks get their probability by joins with the count tables,
-sharded by gram, one order after the other; the answers go back to their block, which has moved once,
-compressed, and there every text is scored.
+sharded by gram, one order after the other; the answers meet the texts of their block, which are read a second
+time and move once, compressed, and there every text is scored.  So the input has to give its rows in the same
+order on both readings, as files do; if it does not, the job says so.
 
 A document is kept if its perplexity lies between the ``LOW_QUANTILE`` and the ``QUANTILE`` of trusted documents
 in its language, give or take ``MARGIN`` bits a symbol and ``WIDTH`` divided by the root of its length: the mean
@@ -30,13 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wireloom.llm.common import ready, sized_broadcast, slices, stage
+from wireloom.llm.common import ready, sized_broadcast, slices, stage, utf8
 
 ORDER, BITS = 5, 12
 SYMBOLS = 1 << BITS
@@ -106,41 +107,55 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, language, text) to blocks: rows of kind 0 are a gram, rows of kind 1 some texts, compressed."""
-    squeeze = zstandard.ZstdCompressor(level=1)
-    block, size, schema = TaskContext.get().partitionId() << 24, 0, None
-    seen = np.zeros(0, np.int64)
+def _name(part: pa.RecordBatch) -> int:
+    """A block is named by its first rows, wherever and whenever they are read."""
+    ids, texts = repr(part.column(0).to_pylist()).encode(), utf8(part.column(2))[0].tobytes()
+    return xxhash.xxh64_intdigest(texts, xxhash.xxh32_intdigest(ids)) - (1 << 63)
 
-    def grams() -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(seen), ROWS_OUT):
-            part = seen[a : a + ROWS_OUT]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.zeros(n, np.int32)), pa.array(part), *(pa.nulls(n, f.type) for f in schema)],
-                ["block", "kind", "gram", *schema.names],
-            )
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
+    """(id, language, text) cut into (block, some rows, whether the block ends); the same on every pass."""
+    block, size, held = None, 0, None
     for batch in batches:
-        if schema is None:
-            ids = pa.field("ids", pa.list_(batch.schema.field(0).type))
-            schema = pa.schema([ids, ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("packed", pa.binary())])
         for start, stop in slices(batch.column(2), PACK_BYTES):
-            part = batch.slice(start, stop - start)
-            texts = _texts(part.column(2))
-            seen = pd.unique(np.concatenate((seen, pd.unique(grams_of(texts)[0]))))
-            bodies = [t.encode("utf-8", "surrogatepass") for t in texts]
-            row = {"ids": part.column(0).to_pylist(), "langs": part.column(1).to_pylist(), "sizes": list(map(len, bodies)), "packed": squeeze.compress(b"".join(bodies))}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), *(pa.array([row[f.name]], f.type) for f in schema)],
-                ["block", "kind", "gram", *schema.names],
-            )
-            size += sum(row["sizes"])
-            if size >= BLOCK_BYTES:
-                yield from grams()
-                block, size, seen = block + 1, 0, seen[:0]
-    if schema is not None:
-        yield from grams()
+            if held is not None:
+                yield block, held, size >= BLOCK_BYTES
+                if size >= BLOCK_BYTES:
+                    block, size = None, 0
+            held = batch.slice(start, stop - start)
+            block = _name(held) if block is None else block
+            size += int(utf8(held.column(2))[1][-1])
+    if held is not None:
+        yield block, held, True
+
+
+def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different grams of each block."""
+    seen = np.zeros(0, np.int64)
+    for block, part, ends in _blocks(batches):
+        seen = pd.unique(np.concatenate((seen, pd.unique(grams_of(_texts(part.column(2)))[0]))))
+        if ends:
+            for a in range(0, len(seen), ROWS_OUT):
+                some = seen[a : a + ROWS_OUT]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some)], ["block", "gram"])
+            seen = seen[:0]
+
+
+def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each block, compressed, ``PACK_BYTES`` a row."""
+    squeeze = zstandard.ZstdCompressor(level=5)
+    for block, part, _ in _blocks(batches):
+        bodies = [t.encode("utf-8", "surrogatepass") for t in _texts(part.column(2))]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([block]), pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0.0], pa.float32()),
+                pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)),
+                pa.array([part.column(1).to_pylist()], pa.list_(pa.string())),
+                pa.array([list(map(len, bodies))], pa.list_(pa.int32())),
+                pa.array([squeeze.compress(b"".join(bodies))], pa.binary()),
+            ],
+            ["block", "kind", "gram", "bits", "ids", "langs", "sizes", "packed"],
+        )
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +174,18 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bits.append(part.column(3).to_numpy())
                 continue
             if index is None:
-                index, bits = pd.Index(np.concatenate(keys)), [np.concatenate(bits)]
+                all_, first_of = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_index=True)
+                index, bits = pd.Index(all_), [np.concatenate([*bits, np.zeros(0)])[first_of]]
             for row in part.slice(0).to_pylist():
                 data, at, texts = loosen.decompress(row["packed"]), 0, []
                 for n in row["sizes"]:
                     texts.append(data[at : at + n].decode("utf-8", "surrogatepass"))
                     at += n
                 grams, first = grams_of(texts)
-                total = np.add.reduceat(bits[0][index.get_indexer(grams)], first)
+                place = index.get_indexer(grams)
+                if place.min(initial=0) < 0:
+                    raise ValueError("the input gave other rows on its second reading; store it first")
+                total = np.add.reduceat(bits[0][place], first)
                 count = np.diff(np.append(first, len(grams)))
                 kind_of_id = batch.schema.field("ids").type.value_type
                 yield pa.RecordBatch.from_arrays(
@@ -241,15 +260,15 @@ def perplexities(docs: DataFrame, model: CountTables, id: str, lang: str, text:
     """(_id, _lang, _n, _bits): symbols and mean bits a symbol of every row."""
     rows = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    shape = f"block bigint, kind int, gram bigint, ids array<{kind}>, langs array<string>, sizes array<bigint>, packed binary"
-    blocks = stage(rows.mapInArrow(_packed, StructType.fromDDL(shape)), "blocks")
-    wanted = blocks.where("kind = 0").select("block", "gram")
+    wanted = stage(rows.mapInArrow(_block_grams, "block bigint, gram bigint"), "block-grams")
     p = probabilities(wanted.select("gram").distinct(), model)
+    shape = f"block bigint, kind int, gram bigint, bits float, ids array<{kind}>, langs array<string>, sizes array<int>, packed binary"
+    # Read again rather than kept: texts lie on disk only once, in the shuffle to their answers.
+    texts = rows.mapInArrow(_block_texts, StructType.fromDDL(shape))
     answers = wanted.join(p, "gram").select(
-        "block", F.lit(0).alias("kind"), "gram", (-F.log2("p")).alias("bits"),
-        *(F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in ("ids", "langs", "sizes", "packed")),
+        "block", F.lit(0).alias("kind"), "gram", (-F.log2("p")).cast("float").alias("bits"),
+        *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("ids", "langs", "sizes", "packed")),
     )
-    texts = blocks.where("kind = 1").select("block", "kind", "gram", F.lit(0.0).alias("bits"), "ids", "langs", "sizes", "packed")
     together = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
     return together.mapInArrow(_scored, StructType.fromDDL(f"_id {kind}, _lang string, _n bigint, _bits double"))
 
