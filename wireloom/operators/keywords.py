@@ -111,10 +111,13 @@ def frequent_sets(
 ) -> DataFrame:
     """``m, direction, items, size, freq``: frequent item sets of every size, all groups at once.
 
-    ``max_size`` stops at that size; None lists all, which is as many rows as there are sets.  Each
-    level joins, inside a session, the frequent sets of one size that differ in their last item only,
-    so a set is formed once and only from frequent parts; counts combine before the shuffle.
+    Without ``max_size`` all are listed, by FP-growth, which holds no set per session.  A size limit is
+    reached level by level: inside a session, the frequent sets of one size that differ in their last
+    item only are joined, so a set is formed once and only from frequent parts; counts combine before
+    the shuffle.
     """
+    if max_size is None:
+        return fp_growth_sets(shares, sessions, min_support)
     singles = stage(_singles(shares, sessions, min_support), "frequent-items")
     level = singles.select(*GROUP, F.array("item").alias("items"), F.lit(1).alias("size"), "freq", "least")
     held = stage(
@@ -124,7 +127,7 @@ def frequent_sets(
         "sets-of-sessions",
     )
     found, size = [level], 1
-    while not level.isEmpty() and (max_size is None or size < max_size):
+    while size < max_size and not level.isEmpty():
         size += 1
         other = held.withColumnRenamed("last", "next")
         grown = (
