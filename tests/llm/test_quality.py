@@ -101,3 +101,27 @@ def test_odd_tables(spark, docs):
     assert quality.classify(docs([]), labels).count() == 0
     none = quality.classify(docs(["a", "b"]), labels.limit(0)).collect()
     assert [r.kept for r in none] == [True, True] and {round(r.perplexity) for r in none} == {4096}
+
+
+def test_held_out_scores_leave_out_the_fold_of_the_text(spark, docs):
+    model = quality.CountTables(docs(TRUSTED))
+    folds = quality.folds_of(TRUSTED).tolist()
+    assert len(set(folds)) > 1
+    rows = [*TRUSTED, *(t or "" for t in OTHERS)]
+    got = {r._id: r for r in quality.perplexities(docs(rows), model, "doc_id", "lang", "text").collect()}
+    for i, (text, fold) in enumerate(zip(rows, quality.folds_of(rows).tolist(), strict=True)):
+        slow = SlowModel([t for t, f in zip(TRUSTED, folds, strict=True) if f != fold])
+        assert got[i]._held == pytest.approx(slow.bits(text), rel=1e-5)
+
+
+def test_clean_documents_with_hidden_labels_stay(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    hidden = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    got = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels.where(~hidden)).toPandas()
+    m = got.merge(labels.where(hidden).toPandas(), on="doc_id")
+    kept = m[(m.quality == 1) & (m.toxic == 0)].groupby("lang").kept.mean().to_dict()
+    assert set(kept) == {"de", "en", "es", "fr"} and min(kept.values()) > 0.8, kept
+    assert m[m.quality == 0].kept.mean() < 0.3

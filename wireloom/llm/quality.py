@@ -13,14 +13,20 @@ sharded by gram, one order after the other; the answers meet the texts of their
 time and move once, compressed, and there every text is scored.  So the input has to give its rows in the same
 order on both readings, as files do; if it does not, the job says so.
 
-A document is kept if its perplexity lies between the ``LOW_QUANTILE`` and the ``QUANTILE`` of trusted documents
-in its language, give or take ``MARGIN`` bits a symbol and ``WIDTH`` divided by the root of its length: the mean
-over few symbols scatters more.  Quantiles are read from counts of hundredths of a bit, the same however
-rows are dealt.
+Held-out scores: a hash of the text deals all texts into ``FOLDS``, and the count tables hold every count once
+for all trusted texts and once without each fold.  Every document, trusted or not, is scored by the model that
+saw nothing of its fold, so trusted documents score as unseen ones do, and equal texts score alike.
+
+A document is kept if its held-out perplexity is at most the ``QUANTILE`` of trusted documents' held-out scores
+in its language, and at least the lower of the ``LOW_QUANTILE`` of those and of their scores by the model of all
+trusted texts, so that a near copy of a trusted text is not too likely; give or take ``MARGIN`` bits a symbol and ``WIDTH`` divided by the
+root of its length: the mean over few symbols scatters more.  Quantiles are read from counts of hundredths of a
+bit, the same however rows are dealt.
 
 Defined results: null text is empty; an empty text is one symbol, its end; a null language is a group of its
 own; a language without trusted documents gets the limits of all trusted documents; with none at all every
-document is kept with equal chances for all symbols; repeated rows get equal results.
+document is kept with equal chances for all symbols, which are also the model of a fold that has all trusted
+texts; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -49,6 +55,14 @@ COUNTED_GRAMS = 4_000_000
 ROWS_OUT = 50_000
 QUANTILE, LOW_QUANTILE, MARGIN, WIDTH = 0.99, 0.01, 0.1, 4.0
 STEPS = 100
+#: At most 8, as a gram and its fold are packed in one number.
+FOLDS, FOLD_BITS = 4, 3
+#: Columns of counts: without each fold, then of all texts.
+ALL = FOLDS
+VARIANTS = FOLDS + 1
+#: Continuations of a context with count 1, 2 and 3 or more are packed in one number: at most SYMBOLS each.
+CLASS_BITS = BITS + 1
+LEAST_DISCOUNT = 0.1
 _START, _END = "\ufffe" * (ORDER - 1), "\uffff"
 
 
@@ -85,18 +99,26 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def folds_of(texts: list[str]) -> np.ndarray:
+    digests = (xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts)
+    return np.fromiter(digests, np.int64, len(texts))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (gram, c), summed over the task."""
+    """Texts to (gram and fold, c), summed over the task."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def out() -> Iterator[pa.RecordBatch]:
         for a in range(0, len(keys), ROWS_OUT):
             part = slice(a, a + ROWS_OUT)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part])], ["gram", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part])], ["key", "c"])
 
     for batch in batches:
         for start, stop in slices(batch.column(0)):
-            codes, new = pd.factorize(grams_of(_texts(batch.column(0).slice(start, stop - start)))[0])
+            texts = _texts(batch.column(0).slice(start, stop - start))
+            grams, first = grams_of(texts)
+            folds = np.repeat(folds_of(texts), np.diff(np.append(first, len(grams))))
+            codes, new = pd.factorize(grams << FOLD_BITS | folds)
             n = np.bincount(codes, minlength=len(new))
             codes, both = pd.factorize(np.concatenate((keys, new)))
             counts = np.bincount(codes, np.concatenate((counts, n)), len(both)).astype(np.int64)
@@ -130,14 +152,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 
 def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different grams of each block."""
+    """The different grams of each block, and a bit for each fold they occur in."""
     seen = np.zeros(0, np.int64)
     for block, part, ends in _blocks(batches):
-        seen = pd.unique(np.concatenate((seen, pd.unique(grams_of(_texts(part.column(2)))[0]))))
+        texts = _texts(part.column(2))
+        grams, first = grams_of(texts)
+        folds = np.repeat(folds_of(texts), np.diff(np.append(first, len(grams))))
+        seen = pd.unique(np.concatenate((seen, pd.unique(grams << FOLD_BITS | folds))))
         if ends:
-            for a in range(0, len(seen), ROWS_OUT):
-                some = seen[a : a + ROWS_OUT]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some)], ["block", "gram"])
+            codes, grams = pd.factorize(seen >> FOLD_BITS)
+            folds = np.bincount(codes, 1 << (seen & ((1 << FOLD_BITS) - 1)), len(grams)).astype(np.int32)
+            for a in range(0, len(grams), ROWS_OUT):
+                some = grams[a : a + ROWS_OUT]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), block)), pa.array(folds[a : a + ROWS_OUT]), pa.array(some)], ["block", "folds", "gram"]
+                )
             seen = seen[:0]
 
 
@@ -148,13 +177,14 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies = [t.encode("utf-8", "surrogatepass") for t in _texts(part.column(2))]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([block]), pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0.0], pa.float32()),
+                pa.array([block]), pa.array([1], pa.int32()), pa.nulls(1, pa.int64()),
+                *[pa.array([0.0], pa.float32())] * VARIANTS,
                 pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type)),
                 pa.array([part.column(1).to_pylist()], pa.list_(pa.string())),
                 pa.array([list(map(len, bodies))], pa.list_(pa.int32())),
                 pa.array([squeeze.compress(b"".join(bodies))], pa.binary()),
             ],
-            ["block", "kind", "gram", "bits", "ids", "langs", "sizes", "packed"],
+            ["block", "kind", "gram", *(f"bits{v}" for v in range(VARIANTS)), "ids", "langs", "sizes", "packed"],
         )
 
 
@@ -171,11 +201,11 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             if kind[a] == 0:
                 keys.append(part.column(2).to_numpy())
-                bits.append(part.column(3).to_numpy())
+                bits.append(np.array([part.column(3 + v).to_numpy(zero_copy_only=False) for v in range(VARIANTS)]))
                 continue
             if index is None:
                 all_, first_of = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_index=True)
-                index, bits = pd.Index(all_), [np.concatenate([*bits, np.zeros(0)])[first_of]]
+                index, bits = pd.Index(all_), [np.concatenate([*bits, np.zeros((VARIANTS, 0), np.float32)], axis=1)[:, first_of]]
             for row in part.slice(0).to_pylist():
                 data, at, texts = loosen.decompress(row["packed"]), 0, []
                 for n in row["sizes"]:
@@ -185,12 +215,14 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = index.get_indexer(grams)
                 if place.min(initial=0) < 0:
                     raise ValueError("the input gave other rows on its second reading; store it first")
-                total = np.add.reduceat(bits[0][place], first)
                 count = np.diff(np.append(first, len(grams)))
+                variants = np.repeat(folds_of(texts), count)
+                total, unseen = (np.add.reduceat(bits[0][v, place].astype(float), first) for v in (ALL, variants))
                 kind_of_id = batch.schema.field("ids").type.value_type
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], kind_of_id), pa.array(row["langs"], pa.string()), pa.array(count), pa.array(total / count)],
-                    ["_id", "_lang", "_n", "_bits"],
+                    [pa.array(row["ids"], kind_of_id), pa.array(row["langs"], pa.string()), pa.array(count),
+                     pa.array(total / count), pa.array(unseen / count)],
+                    ["_id", "_lang", "_n", "_bits", "_held"],
                 )
 
 
@@ -200,88 +232,104 @@ def trusted_ids(labels: DataFrame, id: str = "doc_id") -> DataFrame:
 
 
 class CountTables:
-    """Written tables of every order: grams (gram, c) and contexts (context, total, n1, n2, n3), and discounts."""
+    """Written tables of every order: grams (gram, c0, c1, ..) and contexts (context, total0, n0, ..), and discounts.
+
+    Columns end in the fold they leave out, or ``ALL``; n packs how many grams have count 1, 2 and 3 or more.
+    """
 
     def __init__(self, trusted: DataFrame, text: str = "text"):
         ready(trusted.sparkSession)
-        counts = trusted.select(F.col(f"`{text}`").alias("text")).mapInArrow(_counted, "gram bigint, c bigint")
-        grams = stage(counts.groupBy("gram").agg(F.sum("c").alias("c")), "grams")
+        counts = trusted.select(F.col(f"`{text}`").alias("text")).mapInArrow(_counted, "key bigint, c bigint")
+        fold = F.col("key").bitwiseAND(F.lit((1 << FOLD_BITS) - 1))
+        without = [F.sum(F.when(fold == v, 0).otherwise(F.col("c"))).alias(f"c{v}") for v in range(FOLDS)]
+        grams = counts.groupBy(F.shiftright("key", FOLD_BITS).alias("gram")).agg(*without, F.sum("c").alias(f"c{ALL}"))
+        grams = stage(grams, "grams")
         self.grams, self.contexts, self.discounts = {}, {}, {}
         for order in range(ORDER, 0, -1):
             if order < ORDER:
                 # How many different symbols stand before: grouped from the order above.
                 shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("gram")
-                grams = stage(grams.select(shorter).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), "grams")
+                before = [F.sum((F.col(f"c{v}") > 0).cast("long")).alias(f"c{v}") for v in range(VARIANTS)]
+                grams = stage(grams.select(shorter, *(f"c{v}" for v in range(VARIANTS))).groupBy("gram").agg(*before), "grams")
             self.grams[order] = grams
-            self.discounts[order] = discounts({r[0]: r[1] for r in grams.where("c <= 4").groupBy("c").count().collect()})
-            one = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2)]
-            by_context = grams.groupBy(F.shiftright("gram", BITS).alias("context")).agg(
-                F.sum("c").alias("total"), *one, F.sum((F.col("c") >= 3).cast("long")).alias("n3")
-            )
+            rare = [F.sum((F.col(f"c{v}") == i).cast("long")) for v in range(VARIANTS) for i in (1, 2, 3, 4)]
+            found = [n or 0 for n in grams.agg(*rare).first()]
+            self.discounts[order] = [discounts(dict(zip((1, 2, 3, 4), found[4 * v :], strict=False))) for v in range(VARIANTS)]
+            sums = []
+            for v in range(VARIANTS):
+                c = F.col(f"c{v}")
+                size = F.when(c == 0, 0).when(c == 1, 1).when(c == 2, 1 << CLASS_BITS).otherwise(F.lit(1 << 2 * CLASS_BITS))
+                sums += [F.sum(c).alias(f"total{v}"), F.sum(size.cast("long")).alias(f"n{v}")]
+            by_context = grams.groupBy(F.shiftright("gram", BITS).alias("context")).agg(*sums)
             self.contexts[order] = stage(by_context, "contexts")
 
 
 def discounts(n: dict[int, int]) -> tuple[float, float, float]:
-    """For counts 1, 2 and 3 or more, from how many grams have count 1 to 4."""
+    """For counts 1, 2 and 3 or more, from how many grams have count 1 to 4; never 0, so no gram is impossible."""
     n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
     if not n1:
-        return 0.0, 0.0, 0.0
+        return 0.5, 1.0, 1.5
     y = n1 / (n1 + 2 * n2)
     after = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2 if n2 else 0.0, 3 - 4 * y * n4 / n3 if n3 else 0.0]
-    return tuple(min(max(d, 0.0), float(i)) for i, d in enumerate(after, 1))
+    return tuple(min(max(d, LEAST_DISCOUNT), float(i)) for i, d in enumerate(after, 1))
 
 
 def probabilities(grams: DataFrame, model: CountTables) -> DataFrame:
-    """Distinct grams (column gram) to (gram, p), by joins with the counts of each order from the first up."""
-    below = None
+    """Distinct grams (column gram) to (gram, p0, p1, ..), by joins with the counts of each order from the first up."""
+    below, few = None, F.lit((1 << CLASS_BITS) - 1)
     for order in range(1, ORDER + 1):
         mask = F.lit((1 << BITS * order) - 1)
         wanted = grams.select(F.col("gram").bitwiseAND(mask).alias("gram")).distinct()
         wanted = wanted.select("gram", F.shiftright("gram", BITS).alias("context"))
-        d1, d2, d3 = (F.lit(d) for d in model.discounts[order])
-        c = F.coalesce("c", F.lit(0))
-        own = F.when(c == 0, 0.0).when(c == 1, 1 - d1).when(c == 2, 2 - d2).otherwise(c - d3)
-        left = d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")
         joined = wanted.join(model.grams[order], "gram", "left").join(model.contexts[order], "context", "left")
-        if below is None:
-            joined = joined.withColumn("lower", F.lit(1.0 / SYMBOLS))
-        else:
+        if below is not None:
             shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1)).alias("short")
             joined = joined.select("*", shorter).join(below, "short")
-        seen = F.col("total").isNotNull()
-        p = F.when(seen, (own + left * F.col("lower")) / F.col("total")).otherwise(F.col("lower"))
-        below = stage(joined.select("gram", p.alias("p")), "probabilities")
+        chances = []
+        for v in range(VARIANTS):
+            d1, d2, d3 = (F.lit(d) for d in model.discounts[order][v])
+            c, n, total = F.coalesce(f"c{v}", F.lit(0)), F.col(f"n{v}"), F.col(f"total{v}")
+            own = F.when(c == 0, 0.0).when(c == 1, 1 - d1).when(c == 2, 2 - d2).otherwise(c - d3)
+            n1, n2, n3 = (F.shiftright(n, i * CLASS_BITS).bitwiseAND(few) for i in range(3))
+            lower = F.lit(1.0 / SYMBOLS) if below is None else F.col(f"lower{v}").cast("double")
+            p = F.when(total > 0, (own + (d1 * n1 + d2 * n2 + d3 * n3) * lower) / total).otherwise(lower)
+            chances.append(p.cast("float").alias(f"p{v}"))
+        below = stage(joined.select("gram", *chances), "probabilities")
         if order < ORDER:
-            below = below.toDF("short", "lower")
+            below = below.toDF("short", *(f"lower{v}" for v in range(VARIANTS)))
     return below
 
 
 def perplexities(docs: DataFrame, model: CountTables, id: str, lang: str, text: str) -> DataFrame:
-    """(_id, _lang, _n, _bits): symbols and mean bits a symbol of every row."""
+    """(_id, _lang, _n, _bits, _held): symbols and mean bits a symbol of every row, by all texts and without its fold."""
     rows = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    wanted = stage(rows.mapInArrow(_block_grams, "block bigint, gram bigint"), "block-grams")
+    wanted = stage(rows.mapInArrow(_block_grams, "block bigint, folds int, gram bigint"), "block-grams")
     p = probabilities(wanted.select("gram").distinct(), model)
-    shape = f"block bigint, kind int, gram bigint, bits float, ids array<{kind}>, langs array<string>, sizes array<int>, packed binary"
+    shape = f"block bigint, kind int, gram bigint, {', '.join(f'bits{v} float' for v in range(VARIANTS))}, ids array<{kind}>, langs array<string>, sizes array<int>, packed binary"
     # Read again rather than kept: texts lie on disk only once, in the shuffle to their answers.
     texts = rows.mapInArrow(_block_texts, StructType.fromDDL(shape))
+    # Only the folds a block needs; a null takes next to no room.
+    needed = [*(F.col("folds").bitwiseAND(F.lit(1 << v)) > 0 for v in range(FOLDS)), F.lit(True)]
+    bits = [F.when(n, -F.log2(f"p{v}")).cast("float").alias(f"bits{v}") for v, n in enumerate(needed)]
     answers = wanted.join(p, "gram").select(
-        "block", F.lit(0).alias("kind"), "gram", (-F.log2("p")).cast("float").alias("bits"),
+        "block", F.lit(0).alias("kind"), "gram", *bits,
         *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("ids", "langs", "sizes", "packed")),
     )
     together = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
-    return together.mapInArrow(_scored, StructType.fromDDL(f"_id {kind}, _lang string, _n bigint, _bits double"))
+    return together.mapInArrow(_scored, StructType.fromDDL(f"_id {kind}, _lang string, _n bigint, _bits double, _held double"))
 
 
 def limits(scored: DataFrame) -> DataFrame:
-    """(lang, low, high) from trusted rows (_lang, _bits); the row with all = true is over all languages."""
-    step = F.floor(F.col("_bits") * STEPS).alias("step")
-    counts = scored.select("_lang", step).cube("_lang", "step").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
-    # g: 0 = language and step, 2 = step over all languages; at most steps x languages rows.
-    parts = counts.where("g in (0, 2)").select("_lang", (F.col("g") == 2).alias("all"), "step", "n")
-    group = Window.partitionBy("_lang", "all")
+    """(lang, low, high) from trusted rows (_lang, _bits, _held); the row with all = true is over all languages."""
+    both = [F.struct(F.lit(c == "_held").alias("held"), F.floor(F.col(c) * STEPS).alias("step")) for c in ("_bits", "_held")]
+    each = scored.select("_lang", F.explode(F.array(*both)).alias("s")).select("_lang", "s.held", "s.step")
+    counts = each.cube("_lang", "held", "step").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    # g: 0 = language and step, 4 = step over all languages; at most steps x languages rows.
+    parts = counts.where("g in (0, 4)").select("_lang", (F.col("g") == 4).alias("all"), "held", "step", "n")
+    group = Window.partitionBy("_lang", "all", "held")
     parts = parts.select("*", F.sum("n").over(group.orderBy("step")).alias("upto"), F.sum("n").over(group).alias("total"))
-    high = F.min(F.when(F.col("upto") >= QUANTILE * F.col("total"), F.col("step") + 1)) / STEPS
+    high = F.min(F.when(F.col("held") & (F.col("upto") >= QUANTILE * F.col("total")), F.col("step") + 1)) / STEPS
     low = F.min(F.when(F.col("upto") > LOW_QUANTILE * F.col("total"), F.col("step"))) / STEPS
     return parts.groupBy("_lang", "all").agg(low.alias("low"), high.alias("high"))
 
@@ -305,8 +353,8 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", lang: str =
         F.col("_id").alias(id),
         F.col("_lang").alias("lang"),
         F.col("_n").alias("n_symbols"),
-        F.pow(F.lit(2.0), "_bits").alias("perplexity"),
+        F.pow(F.lit(2.0), "_held").alias("perplexity"),
         F.pow(F.lit(2.0), low).alias("low"),
         F.pow(F.lit(2.0), high).alias("high"),
-        F.coalesce(F.col("_bits").between(low, high), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("_held").between(low, high), F.lit(True)).alias("kept"),
     )
