@@ -61,3 +61,13 @@ def test_held_out_accuracy(spark):
     assert len(m) == len(docs)
     assert m.held_out.tolist() == [zlib.crc32(str(i).encode()) % 3 == 1 for i in m.doc_id]
     assert (m[m.held_out].lang == m[m.held_out].lang_pred).mean() > 0.99
+
+
+def test_more_than_64_languages_are_learned(spark, docs):
+    # Each language has words of its own; the rarest come last.
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(70)]
+    texts = [" ".join(f"{w}{c}{w}" for c in "aeiou") for w in words]
+    rows = [(i, " ".join([t] * (2 if i < 64 else 1)), f"l{i:02}") for i, t in enumerate(texts)]
+    model = langid.fit(docs(rows))
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    assert [langid.label([t], model)[0][0] for t in texts] == model.languages

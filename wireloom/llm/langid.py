@@ -6,8 +6,7 @@ included, and of the word itself if it is short.  A Viterbi pass over the words
 switch labels spans; a text's language is the one with most letters.
 
 The model is counts in a fixed number of hashed buckets, so its size is ``BUCKETS`` times the number of
-languages however large the corpus; at most ``MOST_LANGUAGES`` (the most frequent ones) are learned.  Counts
-cover every training document.
+languages however large the corpus; every language is learned.  Counts cover every training document.
 
 Defined results: null text, text without a letter and any text when nothing was learned are ``und`` with
 score 0; words in a script no language was learned in give no evidence; equal shares go to the language
@@ -28,7 +27,10 @@ from pyspark.sql import functions as F
 from wireloom.llm.common import ready, slices, stage
 
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 64
+#: Languages whose counts come to the driver, or are held by a counting task, at once.
+LANGUAGES_AT_ONCE = 64
+#: Weights (letters x languages) looked up at once.
+WEIGHTS_AT_ONCE = 1 << 23
 SWITCH_PENALTY = 8.0
 SMOOTHING = 0.5
 #: A language is a candidate for a script that holds at least this share of its letters.
@@ -133,7 +135,11 @@ def word_scores(words: Words, model: Model) -> np.ndarray:
     if not count:
         return np.zeros((0, len(model.languages)), np.float32)
     first = np.searchsorted(words.letters, words.starts)
-    scores = np.add.reduceat(model.weights[words.letter_bucket], first, axis=0)
+    kinds = len(model.languages)
+    scores = np.empty((count, kinds), np.float32)
+    step = max(WEIGHTS_AT_ONCE // len(words.letter_bucket), 1)
+    for k in range(0, kinds, step):
+        scores[:, k : k + step] = np.add.reduceat(model.weights[words.letter_bucket, k : k + step], first, axis=0)
     scores[words.short] += model.weights[words.short_bucket]
     may = model.candidates[words.script]
     known = may.any(axis=1)
@@ -153,7 +159,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENA
     begin, size = bounds[:-1][order], sizes[order]
     live = np.searchsorted(-size, -np.arange(1, size[0] + 1 if len(size) else 1), "right")
     kinds = scores.shape[1]
-    back = np.zeros(scores.shape, np.int8 if kinds < 128 else np.int64)
+    back = np.zeros(scores.shape, np.int8 if kinds < 128 else np.int32)
     value = np.zeros((len(size), kinds))
     own = np.arange(kinds)
     for t, n in enumerate(live):
@@ -208,7 +214,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = words_of(_texts(mine.slice(start, stop - start)))
                 add(language, 0, np.concatenate((words.letter_bucket, words.short_bucket)), BUCKETS)
                 add(language, 1, np.repeat(words.script, words.ends - words.starts), len(SCRIPT_NAMES))
-        if len(total) > 2 * MOST_LANGUAGES:
+        if len(total) > 2 * LANGUAGES_AT_ONCE:
             yield from flush()
     yield from flush()
 
@@ -224,19 +230,19 @@ def fit(df: DataFrame, language: str = "lang", text: str = "text") -> Model:
         .agg(F.sum("n").alias("n"))
     )
     counts = stage(counts, "language-counts")
-    letters = counts.where("kind = 1").groupBy("language").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in letters.orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect())
-    # At most MOST_LANGUAGES x (BUCKETS + scripts) rows come here.
-    table = counts.where(F.col("language").isin(languages)).toArrow() if languages else None
+    languages = sorted(r[0] for r in counts.where("kind = 1").select("language").distinct().collect())
     weights = np.zeros((BUCKETS, len(languages)), np.float32)
     scripts = np.zeros((len(SCRIPT_NAMES), len(languages)))
-    if table is not None:
-        place = {name: i for i, name in enumerate(languages)}
+    place = {name: i for i, name in enumerate(languages)}
+    for i in range(0, len(languages), LANGUAGES_AT_ONCE):
+        # At most LANGUAGES_AT_ONCE x (BUCKETS + scripts) rows come here.
+        table = counts.where(F.col("language").isin(languages[i : i + LANGUAGES_AT_ONCE])).toArrow()
         column = np.array([place[x] for x in table["language"].to_pylist()], np.int64)
         kind, bucket, n = (table[c].to_numpy() for c in ("kind", "bucket", "n"))
         gram = kind == 0
         weights[bucket[gram], column[gram]] = n[gram]
         scripts[bucket[~gram], column[~gram]] = n[~gram]
+    if languages:
         weights = np.log((weights + SMOOTHING) / (weights.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
         scripts /= scripts.sum(axis=0)
     return Model(languages, weights, scripts >= SCRIPT_SHARE)
