@@ -13,12 +13,13 @@ from wireloom.llm import decontaminate, exact_dedup, langid, simhash
 from wireloom.llm.common import ready, stage
 from wireloom.llm.queries import token_digests
 
-#: A document whose most frequent language covers less of its letters has no language.
+#: A document whose most frequent language covers less of its letters has no language; letters of words that no
+#: learned language makes likely count as covered by none.
 LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without letters or without a leading language go."""
+    """Documents in a language; those without letters, in unlearned scripts, of unlikely words or without a leading language go."""
     found = docs.withColumn("_found", langid.labelled(docs, langid.fit_on_rest(docs)))
     stays = found.where((F.col("_found.lang") != langid.UNDETERMINED) & (F.col("_found.score") >= LEAST_SHARE))
     return stays.drop("_found")

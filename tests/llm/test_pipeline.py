@@ -42,3 +42,18 @@ def test_stages_take_odd_and_empty_tables(spark, docs):
         assert left == {"language": [1, 2, 6], "exact_copies": [2, 4, 5, 6]}.get(name, left)
         assert step(spark, docs([]), SF).count() == 0
     assert {r.doc_id for r in corpus_pipeline.tokens(spark, df, SF).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_language_stage_rejects_unlearned_scripts_and_gibberish(spark):
+    from pyspark.sql import functions as F
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.lang: r.text for r in real.where("length(text) > 1000").groupBy("lang").agg(F.max_by("text", "doc_id").alias("text")).collect()}
+    bad = ["το γρήγορο άλογο πηδά πάνω από το σκυλί", "日本語の文章です。", "xqzvkjw qjxzvwk zzxqkvj wvqxjkz kqxvzzj jxqwvkz", None]
+    good = [texts["en"], texts["en"][:900] + "\n" + texts["de"][:900], "The people of the city were there and it was good."]
+    # Null ids are not learned from; these are told by their source.
+    rows = [(None, t, "en", k, 0) for k, some in (("bad", bad), ("good", good)) for t in some]
+    out = corpus_pipeline.language(spark, real.unionByName(spark.createDataFrame(rows, real.schema)), SF)
+    got = {r[0]: r[1] for r in out.groupBy("source").count().collect()}
+    assert "bad" not in got and got["good"] == len(good)
+    assert sum(n for k, n in got.items() if k != "good") == real.count()

@@ -9,8 +9,9 @@ The model is counts in a fixed number of hashed buckets, so its size is ``BUCKET
 languages however large the corpus; every language is learned.  Counts cover every training document.
 
 Defined results: null text, text without a letter and any text when nothing was learned are ``und`` with
-score 0; words in a script no language was learned in give no evidence; equal shares go to the language
-first in order; score is the share of letters labelled with the answer.
+score 0; equal shares go to the language first in order.  Words are undecided if they are in a script no language
+was learned in, or no likelier in the language they are labelled with than in evenly used buckets.  Score is the
+share of letters, those of undecided words included, that are in decided words labelled with the answer.
 """
 
 from __future__ import annotations
@@ -129,6 +130,19 @@ def words_of(texts: list[str]) -> Words:
     )
 
 
+def decided(words: Words, labels: np.ndarray, model: Model) -> np.ndarray:
+    """Whether each word's script has candidates and its features are likelier under its label than even buckets."""
+    if not len(words.starts):
+        return np.zeros(0, bool)
+    sizes = words.ends - words.starts
+    first = np.searchsorted(words.letters, words.starts)
+    score = np.add.reduceat(model.weights[words.letter_bucket, np.repeat(labels, sizes)], first, dtype=float)
+    score[words.short] += model.weights[words.short_bucket, labels[words.short]]
+    features = sizes.astype(float)
+    features[words.short] += 1
+    return model.candidates[words.script].any(axis=1) & (score > -np.log(BUCKETS) * features)
+
+
 def word_scores(words: Words, model: Model) -> np.ndarray:
     """Words x languages: log likelihood below the best candidate; zeros for a script nobody uses."""
     count = len(words.starts)
@@ -255,21 +269,25 @@ def label(texts: list[str], model: Model, penalty: float = SWITCH_PENALTY) -> li
         return [(UNDETERMINED, 0.0, []) for _ in texts]
     labels = viterbi(word_scores(words, model), words.bounds, penalty)
     sizes = words.ends - words.starts
+    known = sizes * decided(words, labels, model)
     out = []
     for t in range(len(texts)):
         a, b = words.bounds[t], words.bounds[t + 1]
         if a == b:
             out.append((UNDETERMINED, 0.0, []))
             continue
-        share = np.bincount(labels[a:b], weights=sizes[a:b], minlength=len(model.languages))
+        share = np.bincount(labels[a:b], weights=known[a:b], minlength=len(model.languages))
+        if not share.any():
+            share = np.bincount(labels[a:b], weights=sizes[a:b], minlength=len(model.languages))
         best = int(share.argmax())
+        score = known[a:b][labels[a:b] == best].sum() / sizes[a:b].sum()
         cut = np.flatnonzero(np.diff(labels[a:b])) + 1
         spans = [
             {"start": int(words.starts[a + i] - words.origins[t]), "end": int(words.ends[a + j - 1] - words.origins[t]),
              "lang": model.languages[labels[a + i]]}
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b - a], strict=True)
         ]
-        out.append((model.languages[best], float(share[best] / share.sum()), spans))
+        out.append((model.languages[best], float(score), spans))
     return out
 
 
