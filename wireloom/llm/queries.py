@@ -14,6 +14,7 @@ from wireloom.llm import (
     exact_dedup,
     langid,
     license_scan,
+    merkle,
     quality,
     secret_scan,
     simhash,
@@ -283,3 +284,75 @@ ORACLES["op7_warc"] = _op7_sql()
 @query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, id = F.col("text"), F.col("doc_id")
+    hit = F.crc32(id.cast("string").cast("binary")) % 2 == 0
+    cut = F.when(hit, F.translate(text, "\n", "")).otherwise(text)
+    changed = merkle.leaf(id, F.col("source"), F.col("lang"), F.col("n_chars"), cut)
+    rows = merkle.manifest(_read(spark, sf_dir, "documents"), also={"changed": changed})
+    rows = rows.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("path")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _sql_crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text, four bits at a time."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    nibbles = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c) & 15, ascii(c) >> 4]))"
+    step = f"xor(a >> 4, ({table}::bigint[])[(xor(a, b) & 15) + 1])"
+    return f"xor(list_reduce(list_transform({nibbles}, lambda v: v::bigint), lambda a, b: {step}, 4294967295::bigint), 4294967295::bigint)"
+
+
+def _op13_sql() -> str:
+    def part(c: str) -> str:
+        return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+    head = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+    # Nodes of a tree t: g, level l, place p, size n of the level, digest d; paths of its leaves from below.
+    def tree(t: str, leaves: str) -> str:
+        return f"""
+    {t}(g, l, p, n, d) as (
+      select g, 0, p, n, d from {leaves} union all
+      select g, l + 1, p // 3, (n + 2) // 3, sha256(string_agg(d, '' order by p)) from {t}
+      where n > 1 group by g, l, n, p // 3),
+    {t}_beside as (
+      select g, l, a.p p, coalesce(string_agg(o.d, '' order by o.p) filter (o.p < a.p), '') le,
+             coalesce(string_agg(o.d, '' order by o.p) filter (o.p > a.p), '') ri
+      from {t} a join {t} o using (g, l) where o.p // 3 = a.p // 3 and a.n > 1 group by g, l, a.p)"""
+
+    def walk(w: str, t: str, start: str) -> str:
+        return f"""
+    {w}(i, g, l, p, proof, f) as (
+      select i, g, 0, p, proof, f from {start} union all
+      select i, g, l + 1, p // 3, proof || le || ri, sha256(le || f || ri) from {w} join {t}_beside using (g, l, p))"""
+
+    return rf"""
+    with recursive docs as (
+      select *, sha256({head} || {part("text")}) d,
+             sha256({head} || case when hit then {part("translate(text, chr(10), '')")} else {part("text")} end) f
+      from (select *, {_sql_crc32('doc_id::varchar')} % 2 = 0 hit from documents)),
+    leaf as (select doc_id, coalesce('1' || source, '0') g, d, f,
+             row_number() over (partition by source order by doc_id, d) - 1 p, count(*) over (partition by source) n from docs),
+    {tree("a", "leaf")},
+    sub as (select '' g, g s, d, row_number() over (order by g) - 1 p, count(*) over () n from a where n = 1),
+    {tree("b", "sub")},
+    {walk("u", "a", "(select row_number() over (order by g, p) i, g, p, '' proof, f from leaf)")},
+    v as (select i, '' g, sub.p, proof, f from (select i, g s, max_by(proof, l) proof, max_by(f, l) f from u group by 1, 2) join sub using (s)),
+    {walk("x", "b", "v")},
+    z as (select i, max_by(proof, l) proof, max_by(f, l) f from x group by 1)
+    select doc_id, leaf.d as leaf, sub.d as subroot, root, sha256(proof) as proof_sha256, z.f as folded_root, z.f = root as verified
+    from (select *, row_number() over (order by g, p) i from leaf) leaf join sub on leaf.g = sub.s join z using (i),
+         (select d root from b where n = 1)"""
+
+
+ORACLES["op13_merkle_manifest"] = _op13_sql()
