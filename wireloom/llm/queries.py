@@ -15,11 +15,13 @@ from wireloom.llm import (
     langid,
     license_scan,
     merkle,
+    pii,
     quality,
     secret_scan,
     simhash,
     url_filter,
     warc,
+    whitening,
 )
 from wireloom.llm.common import LOWER, UPPER, ready
 
@@ -356,3 +358,33 @@ def _op13_sql() -> str:
 
 
 ORACLES["op13_merkle_manifest"] = _op13_sql()
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    fitted = whitening.fit(vectors)
+    if fitted is None or not len(fitted.values):
+        shape = "component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
+        none = spark.createDataFrame([], shape)
+        return vectors.select("vec_id").limit(0).join(none)
+    explained = F.array(*(F.lit(float(e / fitted.trace)) for e in fitted.values))
+    error = whitening.identity_error(vectors, fitted)
+    return whitening.whitened(vectors, fitted).select(
+        "vec_id", "component", F.lit(fitted.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("component") - 1).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE))
+
+    def n(number: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long").alias(f"n_{pii.BASE[number]}")
+
+    return found.select(
+        "doc_id", *(n(i) for i in range(len(pii.BASE))),
+        F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"),
+    )
