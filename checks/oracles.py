@@ -513,6 +513,10 @@ ORACLES: dict[str, str] = {
     + "select rowkey, t, tcp_flags from packets where tcp_flags & 5 <> 0",
     "x5_non_null": _with(*_J4) + "select rowkey, sid_ts from tagged",
     "x6_key_filter": "select c_custkey, c_name from customer where c_custkey = 42",
+    "x6_session_lookup": _with(*_W3, _KEYS)
+    + """select rowkey, cast(client & 65535 as int) as sport, cast(server & 65535 as int) as dport, sid_ts
+      from session_keys where least(client & 65535, server & 65535) % 2 = 0
+        and greatest(client & 65535, server & 65535) % 50 = 0""",
     "x7_prefix_filter": "select p_partkey, p_type from part where starts_with(p_type, 'S')",
     "x8_range": _with(*_P)
     + """select rowkey, pld_len::double / pkt_len as ratio from packets
@@ -524,6 +528,15 @@ ORACLES: dict[str, str] = {
     "j3_tcp_handshakes": _with(*_J3) + "select lo, hi, pr, start_ts from starts",
     "j4_tcp_sessions": _with(*_J4) + f"select rowkey, sid_ts, {_SID} as sid from tagged",
     "j6_key_merge": _with(*_J4)
+    + """select p.rowkey, p.t, p.pkt_len, g.sid_ts
+        from packets p left join tagged g using (rowkey)""",
+    "j6_keyed_upsert": _with(*_P)
+    + """select rowkey, case when rowkey % 3 <> 1 then t + 1 else t end as t,
+          case when rowkey % 3 <> 0 then pkt_len end as pkt_len,
+          case when rowkey % 3 <> 1 and pld_len <> 0 then pld_len end as pld_len,
+          case when rowkey % 3 <> 1 then tcp_flags end as tcp_flags
+        from packets""",
+    "j6_bucketed_merge": _with(*_J4)
     + """select p.rowkey, p.t, p.pkt_len, g.sid_ts
         from packets p left join tagged g using (rowkey)""",
     "u1_union_assignments": _with(*_T2, _NEW)
@@ -648,6 +661,10 @@ ORACLES: dict[str, str] = {
     + """select substr(p, 2 * i + 1, 4) as item, count(*) as n
         from (select p, unnest(range(0, length(p) // 2 - 1)) as i from payloads) group by 1""",
     "k1_stream_ingest": _with(*_P)
+    + """select md5(unhex(lpad(to_hex(t), 16, '0'))) || '00000000'
+          || lower(lpad(to_hex(rowkey), 16, '0')) as rowkey, t, pkt_len
+        from packets""",
+    "k3_keyed_stream": _with(*_P)
     + """select md5(unhex(lpad(to_hex(t), 16, '0'))) || '00000000'
           || lower(lpad(to_hex(rowkey), 16, '0')) as rowkey, t, pkt_len
         from packets""",

@@ -25,6 +25,7 @@ from wireloom.operators import (
 from wireloom.plans import jobs
 from wireloom.plans.staging import new_path, stage
 from wireloom.sources import capture, tables
+from wireloom.sources.keyed import KeyedTable
 from wireloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +109,13 @@ def x6_key_filter(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def x6_session_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of the clients on every fiftieth port, by their row keys, out of the stored session table."""
+    some = fx.session_table(spark, sf).where("least(sport, dport) % 2 = 0 and greatest(sport, dport) % 50 = 0")
+    found = fx.keyed_sessions(spark, sf).lookup_all(some.select("rowkey"))
+    return _hex_row(found.select("rowkey", "sport", "dport", "sid_ts"))
+
+
 def x7_prefix_filter(spark: SparkSession, sf: str) -> DataFrame:
     return tables.with_prefix(fx.table(spark, sf, "part"), "p_type", "S").select(
         "p_partkey", "p_type"
@@ -214,6 +222,27 @@ def j6_key_merge(spark: SparkSession, sf: str) -> DataFrame:
     return tables.merge_by_key(p.select("rowkey", "t"), sizes, tagged)
 
 
+def j6_keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches with common and new keys put into a stored table, the second one twice."""
+    p, number = _packets(spark, sf), F.col("rowkey") % 3
+    columns = ["rowkey", "t", "pkt_len", "pld_len", "tcp_flags"]
+    table = KeyedTable(new_path(spark, "keyed"), p.select(*columns).schema, prefixes=64).create(spark)
+    table.upsert(p.where(number != 0).select("rowkey", "t", "pkt_len"), "first")
+    more = p.where(number != 1).select("rowkey", (F.col("t") + 1).alias("t"), F.nullif("pld_len", F.lit(0)).alias("pld_len"), "tcp_flags")
+    for _ in range(2):
+        table.upsert(more, "second")
+    return table.read(spark)
+
+
+def j6_bucketed_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge of ``j6_key_merge`` over tables that lie in buckets of the key."""
+    p = _packets(spark, sf)
+    base = fx.bucketed(spark, sf, "times", lambda: p.select("rowkey", "t"))
+    sizes = fx.bucketed(spark, sf, "sizes", lambda: p.select("rowkey", "pkt_len"))
+    tags = fx.bucketed(spark, sf, "tags", lambda: _tagged(spark, sf).select("rowkey", "sid_ts"))
+    return tables.merge_buckets(base, sizes, tags)
+
+
 def u2_markers(spark: SparkSession, sf: str) -> DataFrame:
     return tcp.session_markers(_packets(spark, sf))
 
@@ -541,6 +570,24 @@ def k1_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def k3_keyed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records streamed into a keyed table, of which a second stream brings a part again."""
+    source, path, mark = (new_path(spark, n) for n in ("records", "keyed-packets", "stream"))
+    records = _frames(spark, sf).select(
+        binary.fixed_width(F.col("t"), 8).alias("key"), F.col("r").alias("value"),
+        F.lit(0).alias("partition"), F.col("rowkey").alias("offset"),
+    )
+    records.write.parquet(f"{source}/all")
+    records.where("offset % 10 = 0").write.parquet(f"{source}/again")
+    table = KeyedTable(path, tables.RAW_PACKETS, prefixes=64).create(spark)
+    for part in ("all", "again"):
+        stream = spark.readStream.schema(records.schema).parquet(f"{source}/{part}")
+        ingest.upsert_stream(ingest.raw_packets(stream), table, f"{mark}/{part}", part, interval=None).awaitTermination()
+    return table.read(spark).select(
+        binary.hex_lower(F.col("rowkey")).alias("rowkey"), "t", F.length("r").alias("pkt_len")
+    )
+
+
 def preprocess_job(spark: SparkSession, sf: str) -> DataFrame:
     """Decode, mark, sessions, directions and merge in one job, from raw frames."""
     done = jobs.preprocess(_frames(spark, sf))
@@ -559,9 +606,9 @@ QUERIES: dict[str, Query] = {
         s1_scan_project, s2_capture_ingest, s4_table_write, s5_catalog_write, s7_preview,
         p1_five_tuple, p2_canonical_mark, p3_packet_features, p4_packet_direction, p5_tcp_payload,
         p6_literal, p7_features_long, p8_feature_columns,
-        x1_decode_succeeded, x2_udp_only, x3_handshake_candidates, x4_stop_packets, x5_non_null, x6_key_filter,
+        x1_decode_succeeded, x2_udp_only, x3_handshake_candidates, x4_stop_packets, x5_non_null, x6_key_filter, x6_session_lookup,
         x7_prefix_filter, x8_range,
-        j1_handshake_join, j2_asof_tag, j3_tcp_handshakes, j4_tcp_sessions, j6_key_merge,
+        j1_handshake_join, j2_asof_tag, j3_tcp_handshakes, j4_tcp_sessions, j6_key_merge, j6_keyed_upsert, j6_bucketed_merge,
         u1_union_assignments, u2_markers, u3_distinct,
         w1_udp_sessions, w1_udp_sessions_60us, w2_interarrival, w3_direction, w4_client_side,
         w5_duration,
@@ -573,6 +620,6 @@ QUERIES: dict[str, Query] = {
         t4_identify_large, t2_vector_match, t3_vector_models, t5_vector_clusters, t5_profile_clusters, t7_first_rows, t8_extreme_sessions,
         n1_frequent_sets, n1_fpgrowth_full, n2_sample, n3_keywords,
         f_hash, f_bytes, f_labels, f_ratio, f11_trigrams, f12_byte_slices,
-        k1_stream_ingest, preprocess_job, train_job,
+        k1_stream_ingest, k3_keyed_stream, preprocess_job, train_job,
     )
 }

@@ -5,39 +5,57 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.operators import clusters, keywords, reports, tcp, udp
 from wireloom.plans import jobs
 from wireloom.sources import capture, tables
+from wireloom.sources.keyed import PREFIX, KeyedTable
 from wireloom.streaming import ingest
 
 
+def _put(df: DataFrame, path: str, a: argparse.Namespace, key: str = "rowkey") -> None:
+    """Replace the table at ``path``, or put rows into the keyed table there."""
+    if a.update:
+        KeyedTable(path, df.schema, key, a.prefixes).create(df.sparkSession).upsert(df)
+    else:
+        tables.write(df, path)
+
+
 def _ingest(spark: SparkSession, a: argparse.Namespace) -> None:
     tables.write(capture.read_captures(spark, a.captures, a.range_bytes), a.out, mode="append")
 
 
 def _stream(spark: SparkSession, a: argparse.Namespace) -> None:
     raw = ingest.raw_packets(ingest.kafka_stream(spark, a.servers, a.topic))
-    ingest.write_stream(raw, a.out, a.checkpoint).awaitTermination()
+    if a.update:
+        table = KeyedTable(a.out, tables.RAW_PACKETS, prefixes=a.prefixes).create(spark)
+        ingest.upsert_stream(raw, table, a.checkpoint).awaitTermination()
+    else:
+        ingest.write_stream(raw, a.out, a.checkpoint).awaitTermination()
 
 
 def _preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
     done = jobs.preprocess(tables.scan(spark, a.raw, ["rowkey", "t", "r"]), a.gap_us)
-    tables.write(done.packets, a.packets)
-    tables.write(done.sessions, a.sessions)
+    _put(done.packets, a.packets, a)
+    _put(done.sessions, a.sessions, a)
+
+
+def _sessions(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return tables.scan(spark, f"{a.sessions}/rows").drop(PREFIX) if a.update else tables.scan(spark, a.sessions)
 
 
 def _train(spark: SparkSession, a: argparse.Namespace) -> None:
-    old = (
-        spark.createDataFrame([], tables.MODELS)
-        if a.old == "none"
-        else tables.scan(spark, a.old, schema=tables.MODELS)
-    )
-    trained = jobs.train(tables.scan(spark, a.sessions), old, a.endpoint)
-    tables.write(trained.profiles, a.profiles)
-    tables.write(trained.models, a.models)
+    if a.update:
+        old = KeyedTable(a.models, tables.MODELS, "id", a.prefixes).create(spark).read(spark)
+    elif a.old == "none":
+        old = spark.createDataFrame([], tables.MODELS)
+    else:
+        old = tables.scan(spark, a.old, schema=tables.MODELS)
+    trained = jobs.train(_sessions(spark, a), old, a.endpoint)
+    _put(trained.profiles, a.profiles, a)
+    _put(trained.models, a.models, a, "id")
 
 
 def _identify(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -96,13 +114,15 @@ def _parser() -> argparse.ArgumentParser:
     job("ingest", _ingest, "captures", "out").add_argument(
         "--range-bytes", type=int, default=capture.RANGE_BYTES
     )
-    job("stream", _stream, "servers", "topic", "out", "checkpoint")
-    job("preprocess", _preprocess, "raw", "packets", "sessions").add_argument(
-        "--gap-us", type=int, default=udp.GAP_US
-    )
+    stream = job("stream", _stream, "servers", "topic", "out", "checkpoint")
+    preprocess = job("preprocess", _preprocess, "raw", "packets", "sessions")
+    preprocess.add_argument("--gap-us", type=int, default=udp.GAP_US)
     train = job("train", _train, "sessions", "profiles", "models")
     train.add_argument("--old", default="none", help="existing models, or 'none'")
     train.add_argument("--endpoint", help="train one endpoint, given in hex")
+    for sub in (stream, preprocess, train):
+        sub.add_argument("--update", action="store_true", help="put rows into keyed tables instead of replacing tables")
+        sub.add_argument("--prefixes", type=int, default=256, help="folders of a keyed table; the same for every run")
     job("identify", _identify, "sessions", "models", "out").add_argument(
         "--session", help="one session's row key in hex"
     )

@@ -18,6 +18,8 @@ from wireloom.functions.binary import fixed_width, md5_bytes
 from wireloom.operators import features, models, profiles, tcp
 from wireloom.plans.numbering import number_by_hash
 from wireloom.plans.staging import new_path
+from wireloom.sources import tables
+from wireloom.sources.keyed import KeyedTable
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -130,6 +132,19 @@ def stored(
     return spark.read.schema(table.schema).parquet(path)
 
 
+def bucketed(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], buckets: int = 16
+) -> DataFrame:
+    """The bucketed table ``name``, built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"bucketed {name}")
+    if key not in _TABLES:
+        path, df = new_path(spark, name), build()
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        tables.write_bucketed(df, table, path, buckets)
+        _TABLES[key] = table, df.schema
+    return spark.table(_TABLES[key][0])
+
+
 def packet_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored packet table every session operator reads, with the 5-tuple key."""
     return stored(spark, sf_dir, "packets", lambda: with_flow_key(packets(spark, sf_dir)))
@@ -242,6 +257,18 @@ def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "sessions", build)
 
 
+def keyed_sessions(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """The session table by row key."""
+    key = (spark.sparkContext.applicationId, sf_dir, "keyed sessions")
+    if key not in _TABLES:
+        sessions = session_table(spark, sf_dir)
+        table = KeyedTable(new_path(spark, "keyed-sessions"), sessions.schema, prefixes=64).create(spark)
+        table.upsert(sessions)
+        _TABLES[key] = table.path, table.schema
+    path, schema = _TABLES[key]
+    return KeyedTable(path, schema, prefixes=64)
+
+
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored profile table of the server endpoints."""
     return stored(

@@ -10,19 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+#: Folders of applications that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    Where it is unset a temporary folder is set if all tasks run on this machine; a cluster has to name
-    a folder its executors share.
+    Where it is unset all tasks have to run on this machine, and a temporary folder is used as long as the
+    application lives; a cluster has to name a folder its executors share.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        master = spark.sparkContext.master
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"{CHECKPOINT_DIR} must name a shared folder when the master is {master}")
-        folder = tempfile.mkdtemp(prefix="wireloom-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        # The setting itself cannot be changed in a running session.
+        folder = _own.setdefault(application, _own.get(application) or tempfile.mkdtemp(prefix="wireloom-"))
     return folder.rstrip("/")
 
 

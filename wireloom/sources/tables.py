@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wireloom.functions.binary import hex_spaced
+from wireloom.sources.keyed import ROW_GROUP_BYTES, clustered_writer
 
 
 def _fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
@@ -115,3 +116,23 @@ def merge_by_key(base: DataFrame, *updates: DataFrame, key: str = "rowkey") -> D
         )
         base = base.drop(*[f"updated_{c}" for c in shared])
     return base
+
+
+def write_clustered(
+    df: DataFrame, path: str, key: str = "rowkey", mode: str = "overwrite", row_group_bytes: int = ROW_GROUP_BYTES
+) -> None:
+    """Write files that hold ranges of sorted keys and carry Bloom filters, for look-ups of single keys."""
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key)
+    clustered_writer(ranged, key, row_group_bytes).mode(mode).parquet(path)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "rowkey") -> DataFrame:
+    """The table ``name`` at ``path``, one file per bucket of the key; tables of as many buckets merge without a shuffle."""
+    placed = df.repartition(buckets, key)
+    placed.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def merge_buckets(base: DataFrame, *updates: DataFrame, key: str = "rowkey") -> DataFrame:
+    """``merge_by_key`` of bucketed tables, bucket by bucket."""
+    return merge_by_key(base, *(u.hint("merge") for u in updates), key=key)
