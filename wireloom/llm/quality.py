@@ -1,7 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character 5-grams.
 
 The model is learned from trusted text: every document labelled good and not toxic.  A gram is five symbols
-of 12 bits packed in one number, so the suffix and context of a gram are a mask and a shift.
+of 12 bits packed in one number, so the suffix and context of a gram are a mask and a shift.  The characters that are
+commonest in trusted text have symbols of their own, whatever their script; rarer ones share one with those of their
+block of 256 code points; start and end of a text are symbols that no character has.
 
 Counting: tasks sum grams of trusted documents before the shuffle; lower orders are continuation counts,
 grouped from the order above.  Counts, contexts and discounts are tables, never broadcast or collected
@@ -10,7 +12,8 @@ grouped from the order above.  Counts, contexts and discounts are tables, never
 Scoring: texts are cut into blocks of ``BLOCK_BYTES`` where they are read, and only the different grams of a
 block are looked up.  The different grams of all blocks get their probability by joins with the count tables,
 sharded by gram, one order after the other; the answers meet the texts of their block, which are read a second
-time and move once, compressed, and there every text is scored.  So the input has to give its rows in the same
+time and move once, compressed, and there every text is scored.  Grams that are at least one in ``COMMON`` of
+trusted text, so never more than that many, are sent to all tasks and looked up by no block.  So the input has to give its rows in the same
 order on both readings, as files do; if it does not, the job says so.
 
 Held-out scores: a hash of the text deals all texts into ``FOLDS``, and the count tables hold every count once
@@ -23,10 +26,11 @@ trusted texts, so that a near copy of a trusted text is not too likely; give or
 root of its length: the mean over few symbols scatters more.  Quantiles are read from counts of hundredths of a
 bit, the same however rows are dealt.
 
-Defined results: null text is empty; an empty text is one symbol, its end; a null language is a group of its
+Defined results: null text is empty; a very long text is a block of its own; of conflicting label rows any good one counts; an empty text is one symbol, its end; a null language is a group of its
 own; a language without trusted documents gets the limits of all trusted documents; with none at all every
 document is kept with equal chances for all symbols, which are also the model of a fold that has all trusted
-texts; repeated rows get equal results.
+texts; repeated rows get equal results; an empty table gives no rows; other columns are not read and may have
+any name.
 """
 
 from __future__ import annotations
@@ -63,30 +67,46 @@ VARIANTS = FOLDS + 1
 #: Continuations of a context with count 1, 2 and 3 or more are packed in one number: at most SYMBOLS each.
 CLASS_BITS = BITS + 1
 LEAST_DISCOUNT = 0.1
-_START, _END = "\ufffe" * (ORDER - 1), "\uffff"
+#: A gram of trusted text this frequent is known to every task.
+COMMON = 1_000_000
+#: Start, end, one symbol for each of 256 blocks of code points, then the characters that have their own.
+START, END, BLOCK = 0, 1, 2
+OWN = BLOCK + 256
 
 
 @functools.cache
-def _symbols() -> np.ndarray:
-    """Per code point: lower case, any digit as 0, control characters as a blank; above U+0EFF folded."""
-    table = np.empty(0x110000, np.int64)
+def _folded() -> np.ndarray:
+    """Per code point: lower case, any digit as 0, control characters as a blank."""
+    table = np.arange(0x110000, dtype=np.int32)
     for i in range(0x110000):
         c = chr(i)
         low = "0" if c.isdigit() else " " if i < 32 and c != "\n" else c.lower()
-        point = ord(low) if len(low) == 1 else i
-        table[i] = point if point < 0xF00 else 0xF00 + point % 0x100
+        if len(low) == 1:
+            table[i] = ord(low)
     return table
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def symbol_table(own: tuple[int, ...]) -> np.ndarray:
+    """Symbol per code point, where the code points ``own`` have one each."""
+    folded = _folded()
+    symbols = BLOCK + (np.arange(0x110000) >> 8) % 256
+    symbols[list(own)] = OWN + np.arange(len(own))
+    return symbols[folded]
+
+
+def grams_of(texts: list[str], own: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """All grams of texts, one per symbol and one for the end, and where each text's begin."""
-    joined = "".join(_START + t + _END for t in texts)
-    s = _symbols()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    lead, sizes = " " * (ORDER - 1), np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER
+    joined = "".join(f"{lead}{t} " for t in texts)
+    s = symbol_table(own)[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    first = np.cumsum(sizes) - sizes
+    for i in range(ORDER - 1):
+        s[first + i] = START
+    s[first + sizes - 1] = END
     packed = s[: len(s) - ORDER + 1].copy()
     for i in range(1, ORDER):
         packed = packed << BITS | s[i : len(s) - ORDER + 1 + i]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER
-    first = np.cumsum(sizes) - sizes
     keep = np.ones(len(packed), bool)
     for i in range(ORDER - 1):  # windows that run into the next text's start
         over = first[1:] - 1 - i
@@ -95,6 +115,24 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[keep], np.cumsum(counts) - counts
 
 
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(0x110000, np.int64)
+    for batch in batches:
+        for start, stop in slices(batch.column(0)):
+            codes = "".join(_texts(batch.column(0).slice(start, stop - start))).encode("utf-32-le", "surrogatepass")
+            points, n = np.unique(np.frombuffer(codes, np.uint32), return_counts=True)
+            np.add.at(count, _folded()[points], n)
+    points = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(count[points])], ["point", "n"])
+
+
+def alphabet(trusted: DataFrame, text: str = "text") -> tuple[int, ...]:
+    """The code points with symbols of their own: as many as there is room for, the commonest first."""
+    counts = trusted.select(F.col(f"`{text}`").alias("text")).mapInArrow(_characters, "point bigint, n bigint")
+    best = counts.groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(SYMBOLS - OWN)
+    return tuple(r.point for r in best.collect())
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
@@ -104,7 +142,7 @@ def folds_of(texts: list[str]) -> np.ndarray:
     return np.fromiter(digests, np.int64, len(texts))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], own: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Texts to (gram and fold, c), summed over the task."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -116,7 +154,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, stop in slices(batch.column(0)):
             texts = _texts(batch.column(0).slice(start, stop - start))
-            grams, first = grams_of(texts)
+            grams, first = grams_of(texts, own)
             folds = np.repeat(folds_of(texts), np.diff(np.append(first, len(grams))))
             codes, new = pd.factorize(grams << FOLD_BITS | folds)
             n = np.bincount(codes, minlength=len(new))
@@ -151,15 +189,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
         yield block, held, True
 
 
-def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different grams of each block, and a bit for each fold they occur in."""
+def _block_grams(
+    batches: Iterator[pa.RecordBatch], own: tuple[int, ...], common: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """The different grams of each block but the common ones, and a bit for each fold they occur in."""
     seen = np.zeros(0, np.int64)
     for block, part, ends in _blocks(batches):
         texts = _texts(part.column(2))
-        grams, first = grams_of(texts)
+        grams, first = grams_of(texts, own)
         folds = np.repeat(folds_of(texts), np.diff(np.append(first, len(grams))))
         seen = pd.unique(np.concatenate((seen, pd.unique(grams << FOLD_BITS | folds))))
         if ends:
+            # In order, as neighbours then share their first bytes.
+            seen = np.sort(seen[~np.isin(seen >> FOLD_BITS, common)])
             codes, grams = pd.factorize(seen >> FOLD_BITS)
             folds = np.bincount(codes, 1 << (seen & ((1 << FOLD_BITS) - 1)), len(grams)).astype(np.int32)
             for a in range(0, len(grams), ROWS_OUT):
@@ -188,8 +230,10 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (block, kind): the block's grams with their bits, then its texts."""
+def _scored(
+    batches: Iterator[pa.RecordBatch], own: tuple[int, ...], known: tuple[np.ndarray, np.ndarray]
+) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (block, kind): the block's grams with their bits, then its texts; ``known``: common grams, bits."""
     loosen = zstandard.ZstdDecompressor()
     now, keys, bits, index = None, [], [], None
     for batch in batches:
@@ -197,21 +241,21 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
         for a, b in zip([0, *borders], [*borders, len(block)], strict=True):
             if block[a] != now:
-                now, keys, bits, index = block[a], [], [], None
+                now, keys, bits, index = block[a], [known[0]], [known[1]], None
             part = batch.slice(a, b - a)
             if kind[a] == 0:
                 keys.append(part.column(2).to_numpy())
                 bits.append(np.array([part.column(3 + v).to_numpy(zero_copy_only=False) for v in range(VARIANTS)]))
                 continue
             if index is None:
-                all_, first_of = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_index=True)
-                index, bits = pd.Index(all_), [np.concatenate([*bits, np.zeros((VARIANTS, 0), np.float32)], axis=1)[:, first_of]]
+                all_, first_of = np.unique(np.concatenate(keys), return_index=True)
+                index, bits = pd.Index(all_), [np.concatenate(bits, axis=1)[:, first_of]]
             for row in part.slice(0).to_pylist():
                 data, at, texts = loosen.decompress(row["packed"]), 0, []
                 for n in row["sizes"]:
                     texts.append(data[at : at + n].decode("utf-8", "surrogatepass"))
                     at += n
-                grams, first = grams_of(texts)
+                grams, first = grams_of(texts, own)
                 place = index.get_indexer(grams)
                 if place.min(initial=0) < 0:
                     raise ValueError("the input gave other rows on its second reading; store it first")
@@ -239,7 +283,9 @@ class CountTables:
 
     def __init__(self, trusted: DataFrame, text: str = "text"):
         ready(trusted.sparkSession)
-        counts = trusted.select(F.col(f"`{text}`").alias("text")).mapInArrow(_counted, "key bigint, c bigint")
+        self.alphabet = own = alphabet(trusted, text)
+        only = trusted.select(F.col(f"`{text}`").alias("text"))
+        counts = only.mapInArrow(lambda batches: _counted(batches, own), "key bigint, c bigint")
         fold = F.col("key").bitwiseAND(F.lit((1 << FOLD_BITS) - 1))
         without = [F.sum(F.when(fold == v, 0).otherwise(F.col("c"))).alias(f"c{v}") for v in range(FOLDS)]
         grams = counts.groupBy(F.shiftright("key", FOLD_BITS).alias("gram")).agg(*without, F.sum("c").alias(f"c{ALL}"))
@@ -263,6 +309,12 @@ class CountTables:
             by_context = grams.groupBy(F.shiftright("gram", BITS).alias("context")).agg(*sums)
             self.contexts[order] = stage(by_context, "contexts")
 
+    def common(self) -> DataFrame:
+        """Grams (column gram) that are at least one in ``COMMON`` of all."""
+        c = F.col(f"c{ALL}")
+        total = self.grams[ORDER].agg(F.sum(c)).first()[0] or 0
+        return self.grams[ORDER].where(c * F.lit(COMMON) >= total).select("gram")
+
 
 def discounts(n: dict[int, int]) -> tuple[float, float, float]:
     """For counts 1, 2 and 3 or more, from how many grams have count 1 to 4; never 0, so no gram is impossible."""
@@ -300,12 +352,24 @@ def probabilities(grams: DataFrame, model: CountTables) -> DataFrame:
     return below
 
 
+def _bits(p: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Few grams and, per variant, their bits."""
+    table = p.select("gram", *(-F.log2(f"p{v}").cast("float") for v in range(VARIANTS))).toArrow()
+    columns = [c.to_numpy() for c in table.columns]
+    return columns[0].astype(np.int64), np.array(columns[1:], np.float32).reshape(VARIANTS, len(columns[0]))
+
+
 def perplexities(docs: DataFrame, model: CountTables, id: str, lang: str, text: str) -> DataFrame:
     """(_id, _lang, _n, _bits, _held): symbols and mean bits a symbol of every row, by all texts and without its fold."""
     rows = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    wanted = stage(rows.mapInArrow(_block_grams, "block bigint, folds int, gram bigint"), "block-grams")
-    p = probabilities(wanted.select("gram").distinct(), model)
+    own, frequent = model.alphabet, stage(model.common(), "common-grams")
+    common = frequent.toArrow()["gram"].to_numpy()
+    wanted = rows.mapInArrow(lambda batches: _block_grams(batches, own, common), "block bigint, folds int, gram bigint")
+    wanted = stage(wanted, "block-grams")
+    p = probabilities(wanted.select("gram").union(frequent).distinct(), model)
+    known = docs.sparkSession.sparkContext.broadcast(_bits(p.join(F.broadcast(frequent), "gram", "left_semi")))
+    blocks = wanted.agg(F.count_distinct("block")).first()[0]
     shape = f"block bigint, kind int, gram bigint, {', '.join(f'bits{v} float' for v in range(VARIANTS))}, ids array<{kind}>, langs array<string>, sizes array<int>, packed binary"
     # Read again rather than kept: texts lie on disk only once, in the shuffle to their answers.
     texts = rows.mapInArrow(_block_texts, StructType.fromDDL(shape))
@@ -316,8 +380,10 @@ def perplexities(docs: DataFrame, model: CountTables, id: str, lang: str, text:
         "block", F.lit(0).alias("kind"), "gram", *bits,
         *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("ids", "langs", "sizes", "packed")),
     )
-    together = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
-    return together.mapInArrow(_scored, StructType.fromDDL(f"_id {kind}, _lang string, _n bigint, _bits double, _held double"))
+    # A task has about one block, however many there are.
+    parts = max(2 * blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    together = answers.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
+    return together.mapInArrow(lambda batches: _scored(batches, own, known.value), StructType.fromDDL(f"_id {kind}, _lang string, _n bigint, _bits double, _held double"))
 
 
 def limits(scored: DataFrame) -> DataFrame:
