@@ -9,7 +9,9 @@ Special tokens in a text become their ids, as the tokenizer file says.  Ids are
 unsigned 32-bit, the form token files are stored in; ``F.octet_length(ids) / 4`` is their number.
 
 Defined results: null and empty texts have no ids and decode to the empty text; decoding null gives the
-empty text; bytes that are not UTF-8 decode to the replacement character.
+empty text; bytes that are not UTF-8 decode to the replacement character; a very long text is a step of its own,
+its words are still coded one by one; an empty table gives no rows and a lexicon without words; repeated rows
+get equal ids; other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -364,8 +366,11 @@ def _encoder(tokens: str, lexicon: str) -> Encoder:
 
 
 def encoded(df: DataFrame, tokens: str, lexicon: str, text: str = "text", check: bool = False) -> DataFrame:
-    """``df`` without its text column, and with ``ids``; with ``check`` also ``decoded``, read back from them."""
-    rest = [c for c in df.columns if c != text]
+    """``df`` without its text column, and with ``ids``; with ``check`` also ``decoded``, read back from them.
+
+    Columns of ``df`` that have these names are replaced.
+    """
+    rest = [c for c in df.columns if c not in (text, "ids", *["decoded"] * check)]
     rows = df.select(F.col(f"`{text}`").alias("_text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)))
     out = StructType(rows.schema.fields[1:]).add("_ids", "binary")
     if check:

@@ -16,7 +16,7 @@ from wireloom.plans.staging import new_path, stage
 
 __all__ = [
     "UPPER", "LOWER", "BROADCAST_ROWS", "lower_ascii", "new_path", "ready", "sized_broadcast",
-    "slices", "stage", "utf8",
+    "slices", "stage", "unused", "utf8",
 ]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,6 +57,14 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -8,7 +8,8 @@ from one row per partition edge, again by its full text.  Splitter keys are shor
 driver sees stays small however long the texts are.
 
 Defined results: null text counts as empty; a null id is smaller than any other; of rows with equal
-text and equal id one stays.  An empty table gives an empty result.
+text and equal id one stays.  A very long text is compared whole, like any other.  An empty table gives an empty
+result.  Other columns are not read, or pass through with the rows that stay.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Places come from the pieces between matches: a match starts behind all pieces an
 are summed by a window over narrow rows of lengths, so a blob with any number of matches costs in proportion.
 
 Defined results: null text is an empty blob; a path or id may repeat and each row gets the findings of its
-blob; no finding gives zero counts and the empty string.
+blob; no finding gives zero counts and the empty string; a very long blob takes one pass for each rule; an empty table
+gives no rows and adds nothing to the ledger; columns other than id and text are not read.
 """
 
 from __future__ import annotations

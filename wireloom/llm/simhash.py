@@ -12,7 +12,9 @@ that still hold two components are joined, and only across components.  No pair
 two components, so the components are exact.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; a null
-id never names a component unless all its ids are null; rows with equal ids are one document.
+id never names a component unless all its ids are null; rows with equal ids are one document; a very long text is
+hashed ``CHUNK`` shingles at a time; an empty table gives no rows; other columns are not read, and
+``representatives`` passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wireloom.llm import golay
-from wireloom.llm.common import ready, sized_broadcast, stage
+from wireloom.llm.common import ready, sized_broadcast, stage, unused
 from wireloom.llm.components import components
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
@@ -159,7 +161,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", most:
 def representatives(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose id names their component, with the columns of ``df``."""
     found = near_duplicates(df, id, text)
-    gone = stage(
-        found.where(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("_gone")).distinct(), "near-copies"
-    )
-    return df.join(sized_broadcast(gone), df[f"`{id}`"].eqNullSafe(F.col("_gone")), "left_anti")
+    name = unused(df, "_gone")
+    other = found.where(~F.col(f"`{id}`").eqNullSafe(F.col("component_id")))
+    gone = stage(other.select(F.col(f"`{id}`").alias(name)).distinct(), "near-copies")
+    return df.join(sized_broadcast(gone), F.col(f"`{id}`").eqNullSafe(F.col(name)), "left_anti")

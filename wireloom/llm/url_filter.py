@@ -6,7 +6,9 @@ soft term twice does not.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule with a host,
 and its vocabulary verdict is that of its text (null: allow).  Repeated rows are judged alike.  Rules
-and terms are small driver-side lists (a parameter), sent to tasks with the function; urls never move.
+and terms are small driver-side lists (a parameter), sent to tasks with the function; urls never move.  A very long
+url takes one pass like any other; an empty table gives no rows; columns pass through, and one named like the
+result (``judged``, or the parameter ``out``) is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.llm.common import lower_ascii, ready
+from wireloom.llm.common import lower_ascii, ready, unused
 
 STRICT = (
     "porn", "porno", "xxx", "sex", "sexcam", "adult", "hentai", "escort", "escorts", "nude", "nudes",
@@ -110,8 +112,9 @@ def judge_urls(
     strict: Sequence[str] = STRICT,
     soft: Sequence[str] = SOFT,
     threshold: int = THRESHOLD,
+    out: str = "judged",
 ) -> DataFrame:
-    """Add a struct ``judged``: host, path, rule, verdict, strict_hits, soft_hits, terms (sorted)."""
+    """Add a struct ``out``: host, path, rule, verdict, strict_hits, soft_hits, terms (sorted)."""
     ready(df.sparkSession)
     by_host: dict[str, list[Rule]] = {}
     for rule in rules:
@@ -131,8 +134,7 @@ def judge_urls(
             yield pd.DataFrame(rows, columns=["rule", "verdict", "strict_hits", "soft_hits", "terms"])
 
     u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    found = df.withColumn("judged", method(lower_ascii(u), host(u), path(u)))
-    return found.withColumn(
-        "judged",
-        F.struct(host(u).alias("host"), path(u).alias("path"), "judged.*"),
-    )
+    made = unused(df, "_judged")
+    found = df.withColumn(made, method(lower_ascii(u), host(u), path(u)))
+    whole = F.struct(host(u).alias("host"), path(u).alias("path"), f"{made}.*")
+    return found.withColumn(out, whole).drop(made)

@@ -11,7 +11,9 @@ in each partition a loser tree merges the slices of all runs.  Partitions in ord
 
 Defined results: a null payload is empty; a null url has an empty key and no target line; control characters
 and blanks in a url are percent-encoded; a null id is kept and is never referred to unless its payload has no
-other id; rows that repeat the response's id are responses as well.  Equal keys stay in id order.
+other id; rows that repeat the response's id are responses as well.  Equal keys stay in id order.  Long payloads
+share a file with fewer others, so that no file is much over ``FILE_BYTES`` unless one record is; an empty table
+has no captures; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,13 @@ from pyspark.sql import functions as F
 
 from wireloom.llm.common import ROWS_PER_BATCH, new_path, ready, sized_broadcast, stage
 
-#: Records of one archive file; a file is parsed in memory.
+#: Records and bytes of payloads of one archive file; a file is parsed in memory.
 RECORDS_PER_FILE = 1000
+FILE_BYTES = 64 << 20
+#: Records of one class of sizes are up to this many times as long as those of the class before.
+CLASS_STEP = 8
+#: Rows of one range of keys, which one task merges in memory.
+ROWS_PER_RANGE = 200_000
 #: Rows of the merged index handed on at once.
 ROWS_OUT = 10_000
 END = "\r\n\r\n"
@@ -101,8 +108,20 @@ def record(df: DataFrame) -> Column:
 def write_archives(df: DataFrame, path: str) -> None:
     """Captures (id, url, payload, time) to WARC files in a new folder."""
     rows = with_types(df)
-    text = rows.select(record(rows).alias("value"))
-    text.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # Payloads are dealt into classes by size, and a class puts as many into a file as fit whatever their sizes.
+    number, limit, step = F.lit(0), FILE_BYTES // RECORDS_PER_FILE, 0
+    limits = [limit]
+    while limit < FILE_BYTES:
+        number = F.when(F.col("size") > limit, step + 1).otherwise(number)
+        limit, step = limit * CLASS_STEP, step + 1
+        limits.append(limit)
+    sized = rows.withColumn("class", number)
+    sizes = df.select(F.coalesce(F.octet_length("payload"), F.lit(0)).alias("size"))
+    found = sizes.select(number.alias("class")).distinct().collect()
+    for c in sorted(r[0] for r in found) or [0]:
+        text = sized.where(F.col("class") == c).select(record(rows).alias("value"))
+        writer = text.write.mode("append").option("lineSep", END)
+        writer.option("maxRecordsPerFile", max(min(FILE_BYTES // limits[c], RECORDS_PER_FILE), 1)).text(path)
 
 
 def url_key(url: str) -> str:
@@ -241,7 +260,8 @@ def read_index(spark, path: str) -> DataFrame:
         runs = stage(files.mapInArrow(_runs, _RUN), "capture-runs")
     finally:
         spark.conf.set(limit, str(ROWS_PER_BATCH))
-    placed = runs.repartitionByRange("urlkey", "timestamp", F.col("id").asc_nulls_first(), "run", "seq")
+    parts = max(-(-runs.count() // ROWS_PER_RANGE), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = runs.repartitionByRange(parts, "urlkey", "timestamp", F.col("id").asc_nulls_first(), "run", "seq")
     return placed.sortWithinPartitions("run", "seq").mapInArrow(_merge, _RUN)
 
 
