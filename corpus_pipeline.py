@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept, and is written to the
 shared folder before the next reads it.
+
+Defined results: a document with null, empty or wordless text has no language and goes in the first stage; of rows with
+equal text the one with the largest id stays, of rows with equal text and id one; a null id is smaller than any other, and the rows of a near-duplicate group
+whose id is the smallest stay; an empty table gives no rows; other columns pass through to the last stage but one.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.llm import decontaminate, exact_dedup, langid, simhash
-from wireloom.llm.common import ready, stage
+from wireloom.llm.common import ready, stage, unused
 from wireloom.llm.queries import token_digests
 
 #: A document whose most frequent language covers less of its letters has no language; letters of words that no
@@ -20,9 +24,10 @@ LEAST_SHARE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those without letters, in unlearned scripts, of unlikely words or without a leading language go."""
-    found = docs.withColumn("_found", langid.labelled(docs, langid.fit_on_rest(docs)))
-    stays = found.where((F.col("_found.lang") != langid.UNDETERMINED) & (F.col("_found.score") >= LEAST_SHARE))
-    return stays.drop("_found")
+    name = unused(docs, "_found")
+    found = docs.withColumn(name, langid.labelled(docs, langid.fit_on_rest(docs)))
+    stays = found.where((F.col(f"{name}.lang") != langid.UNDETERMINED) & (F.col(f"{name}.score") >= LEAST_SHARE))
+    return stays.drop(name)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
