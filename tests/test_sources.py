@@ -68,6 +68,58 @@ def test_format_name(spark, tmp_path):
     assert [f.name for f in df.schema] == ["rowkey", "t", "r"]
 
 
+def loaded(spark, path, **options):
+    capture.register(spark)
+    return spark.read.format("capture").options(**options).load(str(path))
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_the_format_splits_a_file_and_skips_ranges_by_time(spark, tmp_path, indexed):
+    records = make_records(6, 400, evil=True)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.pcap").write_bytes(capture_bytes(records))
+    options = {"rangeBytes": "9000"}
+    if indexed:
+        capture.write_index(spark, str(tmp_path / "in"), str(tmp_path / "index"), 9000)
+        options = {"index": str(tmp_path / "index")}
+    df = loaded(spark, tmp_path / "in", **options)
+    assert df.rdd.getNumPartitions() > 20
+    assert sorted((r["t"], bytes(r["r"])) for r in df.collect()) == records
+    plain = capture.read_captures(spark, str(tmp_path / "in"), 1 << 30)
+    assert sorted(map(bytes, (r.rowkey for r in plain.collect()))) == sorted(map(bytes, (r.rowkey for r in df.collect())))
+    first, last = records[100][0], records[120][0]
+    few = df.where(f"t >= {first} and t < {last}")
+    assert 1 <= few.rdd.getNumPartitions() <= 4
+    assert sorted((r["t"], bytes(r["r"])) for r in few.collect()) == records[100:120]
+    assert [r["t"] for r in df.where(f"t = {first}").collect()] == [first]
+    assert df.where("t > 9000000000000000").count() == 0 and df.where("t < 5").count() == 0
+
+
+def test_a_stream_of_growing_captures_equals_the_batch(spark, tmp_path):
+    folder, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    folder.mkdir()
+    capture.register(spark)
+    a, b = capture_bytes(make_records(7, 60, evil=True)), capture_bytes(make_records(8, 30))
+
+    def drain():
+        stream = spark.readStream.format("capture").load(str(folder))
+        ingest.write_stream(stream, out, mark, None).awaitTermination()
+        return sorted((bytes(r.rowkey), r.t, bytes(r.r)) for r in spark.read.parquet(out).collect())
+
+    def batch():
+        return sorted((bytes(r.rowkey), r.t, bytes(r.r)) for r in capture.read_captures(spark, str(folder)).collect())
+
+    # The first file is cut in the middle of a record, then goes on; a second one comes later.
+    (folder / "a.pcap").write_bytes(a[: len(a) // 2])
+    assert drain() == batch() != []
+    assert drain() == batch()
+    (folder / "a.pcap").write_bytes(a)
+    (folder / "b.pcap").write_bytes(b[:20])
+    assert len(drain()) == 60
+    (folder / "b.pcap").write_bytes(b)
+    assert drain() == batch() and len(batch()) == 90
+
+
 def test_row_keys_do_not_depend_on_ranges(spark, tmp_path):
     (tmp_path / "x.pcap").write_bytes(capture_bytes(make_records(5, 80)))
     path = str(tmp_path / "x.pcap")

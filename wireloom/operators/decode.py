@@ -37,7 +37,8 @@ def _tag_bytes(r: Column) -> Column:
 def _with_layers(frames: DataFrame, tcp_only: bool = False) -> DataFrame:
     """Keep IPv4 frames that carry a whole TCP or UDP header; add ``pr``, ``l3`` and ``l4``.
 
-    The filter compares raw bytes, so a frame is turned down before any field is converted.
+    The filter compares raw bytes, so a frame is turned down before any field is converted.  A filter on a computed
+    column repeats its expression in every comparison; generating the offset keeps it a value of its own.
     """
     r, l3 = F.col("r"), F.col("l3")
     l4 = (slice_uint(r, l3, 1).bitwiseAND(F.lit(15)) * 4 + l3).cast("int")
@@ -45,8 +46,11 @@ def _with_layers(frames: DataFrame, tcp_only: bool = False) -> DataFrame:
     is_tcp = proto == F.lit(bytes([PROTO_TCP]))
     is_udp = proto == F.lit(bytes([PROTO_UDP]))
     header = F.when(is_tcp, F.lit(TCP_HEADER_MIN)).otherwise(F.lit(UDP_HEADER))
+    outer_type = F.substring(r, 13, 2)
+    types = (ETHERTYPE_IPV4, *ETHERTYPE_TAGS)
     return (
-        frames.withColumn("l3", _tag_bytes(r) + ETHERNET_HEADER)
+        frames.where(outer_type.isin([F.lit(t) for t in types]))
+        .select("*", F.explode(F.array(_tag_bytes(r) + ETHERNET_HEADER)).alias("l3"))
         .where(
             (F.substring(r, l3 - 1, F.lit(2)) == F.lit(ETHERTYPE_IPV4))
             & F.substring(r, l3 + 1, F.lit(1)).between(F.lit(IPV4_SHORTEST), F.lit(IPV4_LONGEST))

@@ -4,7 +4,7 @@ A probe matches a reference when at least ``NEEDED`` of the reference's ten top
 ratio inside a band.  Ten features and eight needed leave room for two misses, so of any three top
 features at least one is inside its band.  Each reference therefore looks only at its three rarest
 features, and meets the probes through an equi-join on (feature, power-of-two bucket), for any number
-of references.  Only probe rows of looked-up pairs move, and busy buckets are salted.
+of references.  Only keys move, of looked-up buckets only, and busy buckets are salted.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ RATIO_LOW = 0.4
 RATIO_HIGH = 2.08
 RATIO_HIGH_TRAINING = 2.09
 
+#: References that are broadcast: their entries are at most 15 rows each.
+FEW = 10_000
+
 #: Rows of one (feature, bucket) that one task should join.
 ROWS_PER_BUCKET = 200_000
 
@@ -105,14 +108,33 @@ def matching_pairs(
     both tables) differ are looked for: a bucket held by one value is skipped, and in any other the
     rows of its commonest value meet only the rest, never each other.
 
+    Up to ``FEW`` references are sent to the probes, which then stay where they are.  More of them meet the
+    probes by a shuffle of keys; vectors are fetched once for each pair of keys that met.
+
     References with fewer than three known features match every probe by the null rule; they are
     the caller's to handle, see ``unbounded_references``.
     """
-    extra = [across] if across else []
-    tokens = probes.select(
-        "probe", "means", *extra, F.posexplode("means").alias("pos", "value")
-    ).withColumn("bucket", _bucket(F.col("value")))
-    # One row per (feature, bucket): 44 features times at most about 4,100 buckets.
+    few = across is None and references.limit(FEW + 1).count() <= FEW
+    if few:
+        references = references.coalesce(1)
+    extra = ([across] if across else []) + (["top"] if few else [])
+    of_probe = ([across] if across else []) + (["means"] if few else [])
+    known = F.filter("top", lambda f: f["mean"].isNotNull())
+    entries = (
+        references.where(F.size(known) >= 3)
+        .select("ref", *extra, F.explode(known).alias("feature"))
+        .select("ref", *extra, "feature.pos", "feature.mean")
+        .withColumn("bucket", F.explode(_reachable_buckets(F.col("mean"), band)))
+        .drop("mean")
+    )
+    # Of a probe's 44 values only those count that some reference looks up: at most 44 times about 4,100 buckets.
+    wanted = F.broadcast(entries.select("pos", "bucket").distinct())
+    tokens = (
+        probes.select("probe", *of_probe, F.posexplode("means").alias("pos", "value"))
+        .withColumn("bucket", _bucket(F.col("value")))
+        .drop("value")
+    )
+    tokens = tokens.join(wanted, ["pos", "bucket"])
     if across:
         busy = (
             tokens.groupBy("pos", "bucket", across)
@@ -128,44 +150,32 @@ def matching_pairs(
     else:
         busy = tokens.groupBy("pos", "bucket").agg(F.count(F.lit(1)).alias("n"))
     busy = busy.withColumn("salts", F.ceil(F.col("n") / ROWS_PER_BUCKET).cast("int"))
-
-    known = F.filter("top", lambda f: f["mean"].isNotNull())
-    looked_up = (
-        references.where(F.size(known) >= 3)
-        .select("ref", "top", *extra, F.explode(known).alias("feature"))
-        .select("ref", "top", *extra, "feature.pos", "feature.mean")
-        .withColumn("bucket", F.explode(_reachable_buckets(F.col("mean"), band)))
-        .join(F.broadcast(busy), ["pos", "bucket"], "left")
-    )
+    looked_up = entries.join(F.broadcast(busy), ["pos", "bucket"], "left")
     entry = ["bucket", "salts", *(["common"] if across else [])]
     # Per reference: ten features of at most five buckets each.
     by_feature = looked_up.groupBy("ref", "pos").agg(
         F.sum(F.coalesce("n", F.lit(0))).alias("cost"),
-        F.first("top").alias("top"),
         *[F.first(c).alias(c) for c in extra],
         F.collect_list(F.struct(*entry)).alias("buckets"),
     )
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("cost", "pos", "buckets"))), 1, 3)
     pivots = (
         by_feature.groupBy("ref")
-        .agg(
-            F.first("top").alias("top"),
-            *[F.first(c).alias(c) for c in extra],
-            rarest.alias("pivots"),
-        )
-        .select("ref", "top", *extra, F.explode("pivots").alias("pivot"))
-        .select("ref", "top", *extra, "pivot.pos", F.explode("pivot.buckets").alias("b"))
+        .agg(*[F.first(c).alias(c) for c in extra], rarest.alias("pivots"))
+        .select("ref", *extra, F.explode("pivots").alias("pivot"))
+        .select("ref", *extra, "pivot.pos", F.explode("pivot.buckets").alias("b"))
         .where(F.col("b.salts").isNotNull())
-        .select("ref", "top", *extra, "pos", "b.*")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .select("ref", *extra, "pos", "b.*")
     )
+    holds = matches_joined("means", "top", band)
+    if few:
+        met = tokens.join(F.broadcast(pivots.drop("salts")), ["pos", "bucket"])
+        return met.where(holds).select("probe", "ref")
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     salt = F.pmod(F.xxhash64("probe"), F.col("salts").cast("bigint")).cast("int")
-    # Of a probe's 44 values only those move that some reference looks up; as bounded as ``busy``.
-    wanted = pivots.select("pos", "bucket").distinct()
-    looked_at = busy.join(wanted, ["pos", "bucket"], "left_semi")
-    salted = tokens.join(F.broadcast(looked_at), ["pos", "bucket"]).withColumn("salt", salt)
+    salted = tokens.join(F.broadcast(busy), ["pos", "bucket"]).withColumn("salt", salt)
     keys = ["pos", "bucket", "salt"]
-    holds = matches_joined("means", "top", band)
+    differ = F.lit(True)
     if across:
         keys.append("uncommon_ref")
         uncommon = F.col(across) != F.col("common")
@@ -174,13 +184,16 @@ def matching_pairs(
             F.array(F.lit(True))
         )
         salted = salted.withColumn("uncommon_ref", F.explode(sides))
-        holds = (F.col(across) != F.col("ref_side")) & holds
-    return (
-        salted.select("probe", "means", *extra, *keys)
-        .join(pivots.select("ref", "top", *(["ref_side"] if across else []), *keys), keys)
-        .where(holds)
+        differ = F.col(across) != F.col("ref_side")
+    pairs = (
+        salted.select("probe", *of_probe, *keys)
+        .join(pivots.select("ref", *(["ref_side"] if across else []), *keys), keys)
+        .where(differ)
         .select("probe", "ref")
+        .distinct()
     )
+    vectors, tops = probes.select("probe", "means"), references.select("ref", "top")
+    return pairs.join(vectors, "probe").join(tops, "ref").where(holds).select("probe", "ref")
 
 
 def unbounded_references(references: DataFrame) -> DataFrame:
@@ -190,10 +203,9 @@ def unbounded_references(references: DataFrame) -> DataFrame:
 
 def first_match(probes: DataFrame, references: DataFrame, band: Band) -> DataFrame:
     """``probe, ref``: each probe with its first matching reference in key order, or null."""
-    best = matching_pairs(probes, references, band).groupBy("probe").agg(F.min("ref").alias("ref"))
+    pairs = matching_pairs(probes, references, band)
+    kind = references.schema["ref"].dataType
+    every = probes.select("probe", F.lit(None).cast(kind).alias("ref")).unionByName(pairs)
+    best = every.groupBy("probe").agg(F.min("ref").alias("ref"))
     everywhere = unbounded_references(references).agg(F.min("ref").alias("ref"))
-    return (
-        probes.select("probe")
-        .join(best, "probe", "left")
-        .withColumn("ref", F.least("ref", everywhere.scalar()))
-    )
+    return best.withColumn("ref", F.least("ref", everywhere.scalar()))
