@@ -478,6 +478,18 @@ def n1_fpgrowth_full(spark: SparkSession, sf: str) -> DataFrame:
     return sets.select("m", "direction", F.array_join("items", ",").alias("items"), "size", "freq")
 
 
+def n1_level_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Sets of up to three items, level by level."""
+    sets = keywords.frequent_sets(_shares(spark, sf), _sessions(spark, sf), max_size=3)
+    return sets.select("m", "direction", F.array_join("items", ",").alias("items"), "size", "freq")
+
+
+def n1_closed_sets(spark: SparkSession, sf: str) -> DataFrame:
+    sets = stage(keywords.frequent_sets(_shares(spark, sf), _sessions(spark, sf)), "sets")
+    closed = keywords.closed_sets(sets)
+    return closed.select("m", "direction", F.array_join("items", ",").alias("items"), "size", "freq")
+
+
 def n2_sample(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.sample_transactions(_sessions(spark, sf))
 
@@ -618,7 +630,7 @@ QUERIES: dict[str, Query] = {
         a10_counters, a11_cluster_sizes,
         t1_top_features, t2_model_match, t2_model_match_large, t3_new_models, t4_identify,
         t4_identify_large, t2_vector_match, t3_vector_models, t5_vector_clusters, t5_profile_clusters, t7_first_rows, t8_extreme_sessions,
-        n1_frequent_sets, n1_fpgrowth_full, n2_sample, n3_keywords,
+        n1_frequent_sets, n1_fpgrowth_full, n1_level_sets, n1_closed_sets, n2_sample, n3_keywords,
         f_hash, f_bytes, f_labels, f_ratio, f11_trigrams, f12_byte_slices,
         k1_stream_ingest, k3_keyed_stream, preprocess_job, train_job,
     )

@@ -119,6 +119,20 @@ def test_sets_of_every_size(spark):
     assert mined(keywords.frequent_sets(shares, sessions, 0.3, max_size=3)) == three
 
 
+@pytest.mark.parametrize("room", [1, 12, 60])
+def test_large_shards_are_split(spark, monkeypatch, room):
+    rng = random.Random(room)
+    baskets = [{i for i in "ABCDEFGH" if rng.random() < 0.7} for _ in range(25)] + [{"A", "B"}] * 15
+    shares, sessions = baskets_of(spark, baskets)
+    monkeypatch.setattr(keywords, "ITEMS_PER_SHARD", room)
+    wanted = {("m", c): f for c, f in brute_sets(baskets, 0.2, range(1, 9)).items()}
+    sets = keywords.frequent_sets(shares, sessions)
+    rows = sets.collect()
+    assert mined(sets) == wanted and len(rows) == len(wanted)
+    closed = {k for k, f in wanted.items() if not any(set(k[1]) < set(o[1]) and f == g for o, g in wanted.items())}
+    assert set(mined(keywords.closed_sets(sets))) == closed and 0 < len(closed) < len(wanted)
+
+
 def test_empty_sessions_count_towards_support(spark):
     shares, sessions = baskets_of(spark, [{"A"}, {"B"}] + [set()] * 8)
     assert keywords.frequent_sets(shares, sessions).count() == 0

@@ -6,9 +6,10 @@ one session of one endpoint and direction, its items the trigrams kept for that
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ from wireloom.plans.staging import stage
 SHARE_LOW, SHARE_HIGH = 0.5, 1.0
 MIN_SUPPORT = 0.2
 SAMPLE_FRACTION = 0.05
-MINING_PARTITIONS = 10
 KEYWORD_SETS = 10
 
+#: Items of all transactions of a shard that one task mines.
+ITEMS_PER_SHARD = 1_000_000
+
 GROUP = ("m", "direction")
 SESSION = ("m", "sid", "direction")
 
@@ -264,33 +267,94 @@ def keywords(
 def fp_growth_sets(
     shares: DataFrame, sessions: DataFrame, min_support: float = MIN_SUPPORT
 ) -> DataFrame:
-    """The sets of ``frequent_sets`` by Spark's parallel FP-growth.
+    """The sets of ``frequent_sets`` by pattern growth, all groups in one job, each at its own support.
 
-    Groups with the same least support are mined together, their items tagged with the group, so each
-    group is mined at its own support.  One model per different support; only these numbers come to
-    the driver.
+    Transactions list a group's frequent items, the commonest first, and equal ones are one row with a count.  A shard is
+    the transactions that hold a suffix, cut off before it: at first the whole group.  A shard with up to
+    ``ITEMS_PER_SHARD`` items is mined in one task; a larger one is counted by a shuffle and falls into the shards of its frequent items,
+    to which each transaction goes once per item it has.  Nothing but whether shards are left comes to the driver.
     """
     singles = stage(_singles(shares, sessions, min_support), "frequent-items")
-    tagged = stage(
-        shares.join(singles.select(*GROUP, "item", "least"), [*GROUP, "item"])
-        .groupBy(*SESSION, "least")
-        .agg(F.collect_set(F.to_json(F.struct(*GROUP, "item"))).alias("items")),
-        "transactions",
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("rank"), "item")))
+    transactions = (
+        shares.select(*SESSION, "item")
+        .join(singles.select(*GROUP, "item", "freq", "least"), [*GROUP, "item"])
+        .groupBy(*SESSION)
+        .agg(F.transform(ranked, lambda x: x["item"]).alias("items"), F.first("least").alias("least"))
+        .groupBy(*GROUP, "least", "items")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = [singles.select(*GROUP, F.array("item").alias("items"), F.lit(1).alias("size"), "freq").limit(0)]
-    one = "struct<m: string, direction: string, item: string>"
-    for least, n in tagged.groupBy("least").count().collect():
-        growth = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, numPartitions=MINING_PARTITIONS)
-        sets = growth.fit(tagged.where(F.col("least") == least)).freqItemsets
-        told = F.transform("items", lambda x: F.from_json(x, one))
-        named = sets.select(told.alias("told"), "freq")
+    shards = stage(transactions.withColumn("suffix", F.array().cast("array<string>")), "shards")
+    named, found = [*GROUP, "suffix"], []
+    while True:
+        rooms = shards.groupBy(*named).agg(F.sum(F.size("items")).alias("room"))
+        sized = shards.join(rooms, named)
+        small = sized.where(F.col("room") <= ITEMS_PER_SHARD).drop("room")
+        found.append(small.groupBy(*named).applyInPandas(_miner(), _SETS))
+        large = stage(sized.where(F.col("room") > ITEMS_PER_SHARD).drop("room"), "large-shards")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        each = large.select(*named, "least", "n", "items", F.posexplode("items").alias("at", "item"))
+        counted = each.groupBy(*named, "item").agg(F.sum("n").alias("freq"), F.first("least").alias("least"))
+        frequent = stage(counted.where("freq >= least"), "frequent-sets")
+        grown = F.array_append("suffix", F.col("item"))
         found.append(
-            named.select(
-                F.col("told")[0]["m"].alias("m"),
-                F.col("told")[0]["direction"].alias("direction"),
-                F.array_sort(F.transform("told", lambda t: t["item"])).alias("items"),
-                F.size("told").alias("size"),
-                "freq",
-            )
+            frequent.select(*GROUP, F.array_sort(grown).alias("items"), F.size(grown).alias("size"), "freq")
         )
-    return reduce(DataFrame.unionByName, found)
+        before = F.slice("items", F.lit(1), F.col("at")).alias("items")
+        cut = each.where("at > 0").join(frequent.select(*named, "item"), [*named, "item"], "left_semi")
+        shards = stage(
+            cut.select(*GROUP, "least", grown.alias("suffix"), before, "n")
+            .groupBy(*named, "least", "items")
+            .agg(F.sum("n").alias("n")),
+            "shards",
+        )
+
+
+_SETS = "m string, direction string, items array<string>, size int, freq bigint"
+
+
+def _miner():
+    """The function that mines one shard.  Made here, it goes to the workers by value, which need no package."""
+
+    def mined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        least, found = int(rows["least"].iloc[0]), []
+
+        def grow(table: Counter, suffix: tuple) -> None:
+            counts: Counter = Counter()
+            for items, n in table.items():
+                for x in items:
+                    counts[x] += n
+            for item, freq in counts.items():
+                if freq < least:
+                    continue
+                found.append(((*suffix, item), freq))
+                below: Counter = Counter()
+                for items, n in table.items():
+                    if item in items:
+                        # Only items that are still frequent: what is left of many transactions is then equal.
+                        rest = tuple(x for x in items[: items.index(item)] if counts[x] >= least)
+                        if rest:
+                            below[rest] += n
+                if below:
+                    grow(below, (*suffix, item))
+
+        start: Counter = Counter()
+        for items, n in zip(rows["items"], rows["n"], strict=True):
+            start[tuple(items)] += int(n)
+        grow(start, tuple(key[2]))
+        out = [(key[0], key[1], sorted(items), len(items), freq) for items, freq in found]
+        return pd.DataFrame(out, columns=["m", "direction", "items", "size", "freq"])
+
+    return mined
+
+
+def closed_sets(sets: DataFrame) -> DataFrame:
+    """Of frequent sets of every size those that no larger set of the same frequency contains.
+
+    All others, with their frequencies, follow from these.
+    """
+    smaller = sets.select(*GROUP, "freq", "items", F.explode("items").alias("without")).select(
+        *GROUP, "freq", F.array_remove("items", F.col("without")).alias("items")
+    )
+    return sets.join(smaller.distinct(), [*GROUP, "freq", "items"], "left_anti").select(*sets.columns)
