@@ -286,6 +286,25 @@ clusters as (
   from component)
 """
 
+#: Nodes in the order of their digests; each is a pivot unless linked to one before it.
+_PIVOTS = f"""
+{_CLUSTERS[: _CLUSTERS.index("reach(a, b)")]}
+ranked as (select m, rowkey, row_number() over (order by md5('42|' || rowkey)) as k from node),
+near as (
+  select r.k, coalesce(list(o.k) filter (o.k is not null), []::bigint[]) as ks
+  from ranked r left join link on link.a = r.m left join ranked o on o.m = link.b group by r.k),
+greedy(k, pivots) as (
+  select 0::bigint, []::bigint[]
+  union all
+  select near.k, case when list_has_any(pivots, ks) then pivots else list_append(pivots, near.k) end
+  from greedy join near on near.k = greedy.k + 1),
+last as (select max_by(pivots, k) as pivots from greedy),
+of_pivot as (
+  select near.k, case when list_contains(pivots, near.k) then near.k
+                      else list_min(list_intersect(ks, pivots)) end as p
+  from near, last)
+"""
+
 _UDP = """
 udp as (select event_id as rowkey, epoch_us(ts) as t, user_id as fm from events)
 """
@@ -404,6 +423,22 @@ identified as (
   group by s.rowkey)
 """
 
+#: Profiles of clients instead of servers; models are those of customers that are no candidates.
+_CLIENTS = (*_A1, _KEYS.replace(_six("max(server)"), _six("max(client)")), _LONG, _PROFILES, _TOP)
+
+
+def _client_split(candidates: str) -> str:
+    return f"""
+placed as (
+  select distinct m, md5(unhex(m)) as rowkey, cast('0x' || substr(m, 1, 8) as bigint) - 167772160 as c
+  from profile),
+known as (
+  select m, 'WX' || case when c < 1000 then lpad(cast(c as varchar), 3, '0') else cast(c as varchar) end as id
+  from placed where not ({candidates})),
+candidate as (select m, rowkey from placed where {candidates})
+"""
+
+
 _VECTORS = f"""
 profile as (
   select lpad(lower(to_hex(vec_id)), 14, '0') as m, cast(i as int) as pos,
@@ -570,15 +605,21 @@ ORACLES: dict[str, str] = {
     "t1_top_features": _with(*_T1)
     + f"select m, rank, pos, name, frac, {_sig('mean')} as mean from top",
     "t2_model_match": _with(*_T2) + "select rowkey, id from matched",
-    "t2_model_match_large": _with(*_T2) + "select rowkey, id from matched",
-    "t3_new_models": _with(*_T2, _NEW) + "select rowkey, id from fresh",
+    "t2_model_match_large": _with(*_CLIENTS, _client_split("c % 10 = 0"), _MATCHED)
+    + "select rowkey, id from matched",
+    "t3_new_models": _with(*_CLIENTS, _client_split("c % 50 <> 0"), _MATCHED, _VECTOR_NEW)
+    + "select rowkey, id from fresh",
     "t4_identify": _with(*_T1, _SPLIT, _IDENTIFY) + "select rowkey, id from identified",
-    "t4_identify_large": _with(*_T1, _SPLIT, _IDENTIFY) + "select rowkey, id from identified",
+    "t4_identify_large": _with(*_CLIENTS, _client_split("c % 10 <> 0"), _IDENTIFY)
+    + "select rowkey, id from identified",
     "t5_profile_clusters": _with(*_T5, recursive=True) + "select rowkey, cluster_id from clusters",
     "t2_vector_match": _with(_VECTORS, _MATCHED) + "select rowkey, id from matched",
     "t3_vector_models": _with(_VECTORS, _MATCHED, _VECTOR_NEW) + "select rowkey, id from fresh",
     "t5_vector_clusters": _with(_VECTORS, _CLUSTERS, recursive=True)
     + "select rowkey, cluster_id from clusters",
+    "t5_pivot_clusters": _with(_VECTORS, _PIVOTS, recursive=True)
+    + """select r.rowkey, o.rowkey as pivot, cast(dense_rank() over (order by o.rowkey) - 1 as bigint) as cluster_id
+      from of_pivot join ranked r using (k) join ranked o on o.k = of_pivot.p""",
     "a11_cluster_sizes": _with(_VECTORS, _CLUSTERS, recursive=True)
     + "select cluster_id, rowkey, count(*) over (partition by cluster_id) as members from clusters",
     "train_job": _with(*_T1, _SPLIT, _TRAINED)
@@ -613,6 +654,11 @@ ORACLES: dict[str, str] = {
     "a8_endpoint_directions": f"with {_PAYLOADS} select distinct m, direction from payloads",
     "a9_keyword_share": _with(*_K) + "select m, sid, direction, item, share from shares",
     "a10_counters": _with(*_J4)
+    + """select count(*) as packets, count(*) filter (tcp_flags = 2) as syn,
+        count(*) filter (tcp_flags = 18) as syn_ack, count(*) filter (tcp_flags = 16) as ack,
+        (select count(*) from starts) as handshakes, (select count(*) from tagged) as tagged_packets
+      from packets""",
+    "a10_job_counters": _with(*_J4)
     + """select count(*) as packets, count(*) filter (tcp_flags = 2) as syn,
         count(*) filter (tcp_flags = 18) as syn_ack, count(*) filter (tcp_flags = 16) as ack,
         (select count(*) from starts) as handshakes, (select count(*) from tagged) as tagged_packets
@@ -666,6 +712,13 @@ ORACLES: dict[str, str] = {
     "f12_byte_slices": f"with {_PAYLOADS}"
     + """select substr(p, 2 * i + 1, 4) as item, count(*) as n
         from (select p, unnest(range(0, length(p) // 2 - 1)) as i from payloads) group by 1""",
+    "sql_endpoints": _with(*_W3, _KEYS)
+    + f"""select {_endpoint('server')} as endpoint, count(*) as sessions
+        from session_keys group by server, pr""",
+    "sql_flow_ratios": _with(*_P)
+    + f"""select rowkey, (si >> 24) || '.' || ((si >> 16) & 255) || '.' || ((si >> 8) & 255)
+          || '.' || (si & 255) as sip, {_FM} as fm, {_ratio('pld_len::double', '(pkt_len - 154)::double')} as ratio
+        from packets where pld_len > 0""",
     "k1_stream_ingest": _with(*_P)
     + """select md5(unhex(lpad(to_hex(t), 16, '0'))) || '00000000'
           || lower(lpad(to_hex(rowkey), 16, '0')) as rowkey, t, pkt_len

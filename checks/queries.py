@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import wireloom.fixtures as fx
-from wireloom.functions import addresses, binary, ratios, trigrams
+from wireloom.functions import addresses, binary, ratios, sql, trigrams
 from wireloom.operators import (
     clusters,
     decode,
@@ -331,13 +331,14 @@ def t2_model_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t2_model_match_large(spark: SparkSession, sf: str) -> DataFrame:
-    """The same match by the equi-join used for any number of models."""
-    known, candidates = fx.model_split(fx.profile_table(spark, sf))
+    """Every tenth client's profile against the models of all others."""
+    known, candidates = fx.client_split(fx.client_profile_table(spark, sf), "c % 10 = 0")
     return _hex_row(models.match_profiles(candidates, known))
 
 
 def t3_new_models(spark: SparkSession, sf: str) -> DataFrame:
-    known, candidates = fx.model_split(fx.profile_table(spark, sf))
+    """New models for the clients that none of a few known ones fits."""
+    known, candidates = fx.client_split(fx.client_profile_table(spark, sf), "c % 50 <> 0")
     matched = stage(models.match_profiles(candidates, known), "matched")
     return _hex_row(models.new_assignments(candidates, matched, known))
 
@@ -355,8 +356,8 @@ def t4_identify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t4_identify_large(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by the equi-join used for any number of models."""
-    known, _ = fx.model_split(fx.profile_table(spark, sf))
+    """All sessions against the profiles of every tenth client as models."""
+    known, _ = fx.client_split(fx.client_profile_table(spark, sf), "c % 10 <> 0")
     return _hex_row(models.identify_sessions(fx.session_table(spark, sf), known))
 
 
@@ -391,6 +392,12 @@ def t5_vector_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _hex_row(clusters.cluster_profiles(fx.vector_profiles(spark, sf)))
 
 
+def t5_pivot_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters whose members all resemble their pivot."""
+    found = _hex_row(clusters.pivot_clusters(fx.vector_profiles(spark, sf)))
+    return found.withColumn("pivot", binary.hex_lower(F.col("pivot")))
+
+
 # --- reports -----------------------------------------------------------------------------------
 
 
@@ -428,6 +435,12 @@ def a10_counters(spark: SparkSession, sf: str) -> DataFrame:
     return reports.job_counters(p, _tagged(spark, sf), tcp.handshakes_latest(p))
 
 
+def a10_job_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of ``a10_counters`` as the preprocess job takes them on its way."""
+    counters = jobs.preprocess(_frames(spark, sf)).counters
+    return spark.createDataFrame([tuple(counters.values())], ", ".join(f"{n} bigint" for n in counters))
+
+
 def t7_first_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tables.first_rows(_packets(spark, sf).select("rowkey", "t", "pkt_len"), "rowkey", 10)
 
@@ -561,6 +574,26 @@ def f_ratio(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- SQL text ----------------------------------------------------------------------------------
+
+
+def sql_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of each endpoint, from the stored session table as a view."""
+    fx.session_table(spark, sf)
+    sql.view(sql.register(spark), "stored_sessions", fx.table_path(spark, sf, "sessions"))
+    return spark.sql("SELECT endpoint_label(server, pr) AS endpoint, count(*) AS sessions FROM stored_sessions GROUP BY server, pr")
+
+
+def sql_flow_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Mark and ratio of every packet with payload, from the stored packet table as a view."""
+    fx.packet_table(spark, sf)
+    sql.view(sql.register(spark), "stored_packets", fx.table_path(spark, sf, "packets"))
+    return spark.sql("""
+        SELECT rowkey, dotted(si) AS sip, hex_lower(flow_mark(lo, hi, pr)) AS fm,
+               feature_ratio(pld_len, pkt_len - 154) AS ratio
+        FROM stored_packets WHERE pld_len > 0""")
+
+
 # --- streaming ---------------------------------------------------------------------------------
 
 
@@ -627,11 +660,11 @@ QUERIES: dict[str, Query] = {
         a1_session_features, a1_session_features_corrected, a1_session_table, a2_direction_stats,
         a3_profiles, a4_session_report, a5_udp_report, a6_sessions_per_endpoint,
         a7_distinct_endpoints, a7_endpoint_digest, a8_endpoint_directions, a9_keyword_share,
-        a10_counters, a11_cluster_sizes,
+        a10_counters, a10_job_counters, a11_cluster_sizes,
         t1_top_features, t2_model_match, t2_model_match_large, t3_new_models, t4_identify,
-        t4_identify_large, t2_vector_match, t3_vector_models, t5_vector_clusters, t5_profile_clusters, t7_first_rows, t8_extreme_sessions,
+        t4_identify_large, t2_vector_match, t3_vector_models, t5_vector_clusters, t5_pivot_clusters, t5_profile_clusters, t7_first_rows, t8_extreme_sessions,
         n1_frequent_sets, n1_fpgrowth_full, n1_level_sets, n1_closed_sets, n2_sample, n3_keywords,
-        f_hash, f_bytes, f_labels, f_ratio, f11_trigrams, f12_byte_slices,
+        f_hash, f_bytes, f_labels, f_ratio, f11_trigrams, f12_byte_slices, sql_endpoints, sql_flow_ratios,
         k1_stream_ingest, k3_keyed_stream, preprocess_job, train_job,
     )
 }

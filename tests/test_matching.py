@@ -62,9 +62,10 @@ def brute(probe, reference, band):
 
 
 @pytest.mark.parametrize("band", [models.TRAINING, models.IDENTIFY, clusters.CLUSTERING])
-@pytest.mark.parametrize("rows_per_bucket", [5])
-def test_matching_pairs_equal_brute_force(spark, band, rows_per_bucket, monkeypatch):
-    monkeypatch.setattr(matching, "ROWS_PER_BUCKET", rows_per_bucket)
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_matching_pairs_equal_brute_force(spark, band, few, monkeypatch):
+    monkeypatch.setattr(matching, "ROWS_PER_BUCKET", 5)
+    monkeypatch.setattr(matching, "FEW", few)
     rng = random.Random(3)
     vectors = [random_profile(rng) for _ in range(60)]
     df = table(spark, vectors)
@@ -261,3 +262,37 @@ def test_clusters_equal_brute_force(spark, leaders, monkeypatch):
     members = clusters.cluster_members(clusters.cluster_profiles(df)).collect()
     assert len(members) == len(vectors) == len({bytes(r["rowkey"]) for r in members})
     assert {r["cluster_id"]: r["members"] for r in members} == dict(Counter(got.values()))
+
+
+@pytest.mark.parametrize(("leaders", "rounds"), [(1, 1), (2, 2), (3, 40)])
+def test_pivot_clusters_equal_brute_force(spark, leaders, rounds, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(clusters, "LEADERS", leaders)
+    monkeypatch.setattr(clusters, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(clusters, "WORTHWHILE", 0)
+    rng = random.Random(9)
+    vectors = [random_profile(rng) for _ in range(25)]
+    # A chain: each resembles the next one only.
+    vectors += [[(1.0, 10.0 * 1.9**i)] * len(NAMES) for i in range(9)] + [vectors[3]] * 5
+    df = table(spark, vectors)
+    keys = [hashlib.md5(i.to_bytes(7, "big")).hexdigest() for i in range(len(vectors))]
+    order = sorted(range(len(vectors)), key=lambda i: hashlib.md5(f"42|{keys[i]}".encode()).hexdigest())
+
+    def alike(a, b):
+        return a == b or brute(a, b, clusters.CLUSTERING) or brute(b, a, clusters.CLUSTERING)
+
+    pivots, want = [], {}
+    for i in order:
+        near = [p for p in pivots if alike(vectors[i], vectors[p])]
+        if not near:
+            pivots.append(i)
+        want[keys[i]] = keys[near[0] if near else i]
+    numbers = {p: n for n, p in enumerate(sorted({keys[p] for p in pivots}))}
+    got = {r["rowkey"].hex(): (r["pivot"].hex(), r["cluster_id"]) for r in clusters.pivot_clusters(df).collect()}
+    assert got == {k: (p, numbers[p]) for k, p in want.items()}
+    assert 1 < len(pivots) < len(vectors)
+
+
+def test_pivot_clusters_of_no_profiles(spark):
+    assert clusters.pivot_clusters(table(spark, [])).count() == 0

@@ -38,6 +38,7 @@ def _stream(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
     done = jobs.preprocess(tables.scan(spark, a.raw, ["rowkey", "t", "r"]), a.gap_us)
+    print(" ".join(f"{name}={n}" for name, n in done.counters.items()))
     _put(done.packets, a.packets, a)
     _put(done.sessions, a.sessions, a)
 

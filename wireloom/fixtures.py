@@ -294,6 +294,33 @@ def model_split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def client_profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored profiles of the client endpoints, one for each customer with sessions."""
+
+    def build() -> DataFrame:
+        client = F.concat(F.substring("direction", 1, 6), F.substring("direction", 13, 1))
+        return profiles.profiles(session_table(spark, sf_dir).withColumn("m", client))
+
+    return stored(spark, sf_dir, "client-profiles", build)
+
+
+def client_split(table: DataFrame, candidates: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles of clients as models, numbered by customer, but for those whose customer ``c`` is in ``candidates``."""
+    c = F.conv(F.substring(F.hex("m"), 1, 8), 16, 10).cast("bigint") - 167772160
+    placed = table.withColumn("c", c)
+    keywords = F.lit(None).cast("string").alias("keywords")
+    known = placed.where(f"NOT ({candidates})")
+    return (
+        known.select(models.model_id(F.col("c")).alias("id"), "features_name", "features_value", keywords),
+        placed.where(candidates).drop("c"),
+    )
+
+
+def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where ``stored`` put a table."""
+    return _TABLES[spark.sparkContext.applicationId, sf_dir, name][0]
+
+
 def vector_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile per embedding: 44 signed values, few of which resemble each other."""
     pairs = F.transform(

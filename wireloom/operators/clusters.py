@@ -3,10 +3,14 @@
 Two profiles resemble each other when either one, taken as reference, is matched by the other.
 Clusters are the connected components of that relation, so the result does not depend on the order
 in which profiles are read.  Components need no list of all pairs, and none is made.
+
+Components chain: their ends may be unlike.  ``pivot_clusters`` does not: every member resembles its pivot.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +127,80 @@ def resemblance_labels(profile_table: DataFrame) -> DataFrame:
     )
 
 
+def pivot_clusters(profile_table: DataFrame, seed: int = 42) -> DataFrame:
+    """``rowkey, pivot, cluster_id``: profiles taken in a seeded order; each resembles its pivot, no two pivots each other.
+
+    A profile no pivot before it resembles is a pivot; the others join the first pivot that they resemble.  Leaders are the first
+    profiles still waiting, so rounds of them give the pivots of dense parts without a list of pairs; the rest
+    has few links, and of these every profile that is first among its neighbours is a pivot, round by round.
+    """
+    keyed = profile_table.select(
+        hex_lower(F.col("rowkey")).alias("node"), "features_name", "features_value",
+        F.unhex(F.md5(F.to_json("features_value"))).alias("digest"),
+    ).withColumn("place", F.md5(F.concat(F.lit(f"{seed}|"), F.col("node"))))
+    # Copies have the same neighbours; the first in order stands for them.
+    first = keyed.groupBy("digest").agg(F.min_by("node", "place").alias("src"))
+    copies = stage(keyed.select("node", "digest").join(first, "digest").select("src", F.col("node").alias("dst")), "copies")
+    values = keyed.join(copies.where("src = dst").select(F.col("src").alias("node")), "node", "left_semi")
+    tops = reference_table(values, "node").withColumnRenamed("ref", "node")
+    waiting = stage(
+        values.select("node", "place", profile_means(F.col("features_value")).alias("means")).join(tops, "node"), "waiting"
+    )
+    either = matches_joined("leader.means", "top", CLUSTERING) | matches_joined("means", "leader.top", CLUSTERING)
+    found = []
+    for _ in range(LEADER_ROUNDS):
+        chosen = stage(waiting.orderBy("place").limit(LEADERS), "leaders")
+        order = [r.node for r in chosen.select("node", "place").orderBy("place").collect()]
+        if not order:
+            break
+        leaders = chosen.agg(F.collect_list(F.struct("node", "place", "means", "top")).alias("all"))
+        links = stage(
+            waiting.withColumn("leaders", leaders.scalar())
+            .select("node", "means", "top", F.explode("leaders").alias("leader"))
+            .where((F.col("node") == F.col("leader.node")) | either)
+            .select("node", F.col("leader.node").alias("pivot"), F.col("leader.place").alias("place")),
+            "links",
+        )
+        # Links between leaders: at most LEADERS ** 2.
+        near = {(r.node, r.pivot) for r in links.where(F.col("node").isin(order)).select("node", "pivot").collect()}
+        pivots: list[str] = []
+        for node in order:
+            if not any((node, p) in near for p in pivots):
+                pivots.append(node)
+        joined = links.where(F.col("pivot").isin(pivots)).groupBy("node").agg(F.min_by("pivot", "place").alias("pivot"))
+        found.append(stage(joined, "joined"))
+        waiting = stage(waiting.join(found[-1], "node", "left_anti"), "waiting")
+        if found[-1].count() <= WORTHWHILE * LEADERS:
+            break
+    pairs = matching_pairs(waiting.withColumnRenamed("node", "probe"), waiting.withColumnRenamed("node", "ref"), CLUSTERING)
+    one_way = pairs.where("probe <> ref").toDF("a", "b")
+    both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    places = waiting.select("node", "place")
+    links = stage(
+        both.join(places.toDF("a", "a_place"), "a").join(places.toDF("b", "b_place"), "b"), "links"
+    )
+    alive, covered = links, [links.select("a").limit(0)]
+    while not alive.isEmpty():
+        firsts = alive.groupBy("a", "a_place").agg(F.min("b_place").alias("next")).where("a_place < next")
+        firsts = stage(firsts.select("a"), "pivots")
+        near = stage(alive.join(firsts, "a", "left_semi").select(F.col("b").alias("a")).distinct(), "near-pivots")
+        covered.append(near)
+        gone = near.unionByName(firsts)
+        left = alive.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti")
+        alive = stage(left.select(*links.columns), "links")
+    members = reduce(DataFrame.unionByName, covered).distinct()
+    own = places.join(members.withColumnRenamed("a", "node"), "node", "left_anti").select("node", F.col("node").alias("pivot"))
+    to_pivots = links.join(members, "a", "left_semi").join(members.withColumnRenamed("a", "b"), "b", "left_anti")
+    theirs = to_pivots.groupBy("a").agg(F.min_by("b", "b_place").alias("pivot")).withColumnRenamed("a", "node")
+    every = stage(reduce(DataFrame.unionByName, [*found, own, theirs]), "pivots-of-profiles")
+    numbered = number_by_hash(every.where("node = pivot").select("pivot"), "pivot", "cluster_id")
+    return (
+        copies.join(every.withColumnRenamed("node", "src"), "src")
+        .join(numbered, "pivot")
+        .select(F.unhex("dst").alias("rowkey"), F.unhex("pivot").alias("pivot"), "cluster_id")
+    )
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable over ``edges (src, dst)``.
 

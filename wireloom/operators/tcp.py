@@ -8,7 +8,7 @@ Input packets: ``rowkey, t, lo, hi, pr, src_lo, tcp_flags, seq, ack`` (see ``wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wireloom.functions.addresses import FLOW
@@ -140,11 +140,14 @@ def tag_any(packets: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK) ->
 
 
 def tag_sessions(
-    packets: DataFrame, rows_per_chunk: int | None = ROWS_PER_CHUNK, outside: bool = False
+    packets: DataFrame,
+    rows_per_chunk: int | None = ROWS_PER_CHUNK,
+    outside: bool = False,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Method 2: keep packets inside a session and add its start time as ``sid_ts``.
 
-    ``outside`` keeps the other packets too, with a null ``sid_ts``.
+    ``outside`` keeps the other packets too, with a null ``sid_ts``.  ``seen`` gets the number of handshakes.
 
     A packet is inside when the last marker at or before it is a start; a FIN/RST packet is itself a
     stop, and a stop beats a start at the same time.
@@ -152,7 +155,10 @@ def tag_sessions(
     packets = packets.where(F.col("pr") == PROTO_TCP).drop(CHUNK)
     splits = find_splits(packets, FLOW, rows_per_chunk=rows_per_chunk)
     packets = splits.assign(packets)
-    both = _with_starts(packets, handshakes_latest(packets), splits)
+    starts = handshakes_latest(packets)
+    if seen is not None:
+        starts = starts.observe(seen, F.count(F.lit(1)).alias("handshakes"))
+    both = _with_starts(packets, starts, splits)
     marked = running(
         both,
         FLOW,
