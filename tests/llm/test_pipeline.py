@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from .test_decontaminate import slow as contamination
-from .test_simhash import slow_components, slow_fingerprint
+from .test_near_copies import slow_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,9 +18,7 @@ def test_run_against_brute_force(spark):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     last = {t or "": i for i, t in sorted(docs.items())}
     docs = {i: t for i, t in docs.items() if last[t or ""] == i and any(c.isalpha() for c in t or "")}
-    order = sorted(docs)
-    first = slow_components([slow_fingerprint(docs[i]) for i in order], order)
-    docs = {i: docs[i] for i, f in zip(order, first, strict=True) if i == f}
+    docs = {i: docs[i] for i, first in slow_groups(sorted(docs.items())) if i == first}
     judged = {i: contamination(t, bench) for i, t in docs.items()}
     docs = {i: t for i, t in docs.items() if not (judged[i][1] > 0 and 20 * judged[i][1] >= judged[i][0])}
     theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -24,7 +24,6 @@ def _byte_table() -> np.ndarray:
 
 
 BYTE_VALUES = _byte_table()
-IS_WORD = BYTE_VALUES > 0
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -41,9 +40,14 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and, per text, the range of its words: word i of text t has bounds[t] <= i < bounds[t+1]."""
-    inside = IS_WORD[data]
+def words(
+    data: np.ndarray, offsets: np.ndarray, values: np.ndarray = BYTE_VALUES
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and, per text, the range of its words: word i of text t has bounds[t] <= i < bounds[t+1].
+
+    A word is a run of bytes that have a value.
+    """
+    inside = values[data] > 0
     cut = offsets[1:-1][offsets[1:-1] < len(data)]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
@@ -56,11 +60,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_VALUES
+) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     lead, sizes = starts[0], ends - starts
-    values, starts = BYTE_VALUES[data[lead:]], starts - lead
+    values, starts = table[data[lead:]], starts - lead
     place = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
     # Bytes behind a word's end are 0 in ``values``; their power does not matter.
     np.minimum(place, sizes.max() - 1, out=place)
