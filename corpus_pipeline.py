@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireloom.llm import decontaminate, exact_dedup, langid, simhash
+from wireloom.llm import decontaminate, exact_dedup, langid
+from wireloom.llm import near_copies as near_copies_of
 from wireloom.llm.common import ready, stage, unused
 from wireloom.llm.queries import token_digests
 
@@ -36,8 +37,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the one with the smallest id."""
-    return simhash.representatives(docs)
+    """Of each group of near copies, by SimHash and Golay keys at a five-word similarity of 0.8, the one with the smallest id."""
+    return near_copies_of.representatives(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
