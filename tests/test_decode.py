@@ -131,3 +131,11 @@ def test_byte_functions(spark):
         binary.timestamp_us(F.lit(3), F.lit(7)).alias("t"),
     )
     assert tuple(n.first()) == (65535, -1, "fffffffffffe", 3000007)
+
+
+def test_tag_runs_are_looked_for_once(spark):
+    from conftest import plan_text
+
+    df = spark.range(3).selectExpr("id rowkey", "id t", "unhex(hex(id)) r")
+    for frames in (decode.five_tuple(df), decode.packet_features(df), decode.decoded_packets(df)):
+        assert plan_text(frames).count("8100|88A8") == 1
