@@ -672,9 +672,9 @@ ORACLES: dict[str, str] = {
     "n1_level_sets": _with(*_K, _SETS, recursive=True)
     + "select m, direction, array_to_string(items, ',') as items, size, freq from sets where size <= 3",
     "n1_closed_sets": _with(*_K, _SETS, recursive=True)
-    + """select m, direction, array_to_string(items, ',') as items, size, freq from sets a
-      where not exists (select 1 from sets b where b.m = a.m and b.direction = a.direction and b.freq = a.freq
-                          and b.size = a.size + 1 and list_has_all(b.items, a.items))""",
+    + """select m, direction, array_to_string(max_by(items, len(items)), ',') as items,
+        max(len(items)) as size, len(any_value(sids)) as freq
+      from grown group by m, direction, list_sort(sids)""",
     "n2_sample": _with(*_K)
     + """select distinct m, sid, direction from payloads
       where ('0x' || substr(md5('42|' || m || '|' || sid || '|' || direction), 1, 8))::bigint

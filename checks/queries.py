@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import wireloom.fixtures as fx
+import checks.fixtures as fx
 from wireloom.functions import addresses, binary, ratios, sql, trigrams
 from wireloom.operators import (
     clusters,
@@ -498,8 +498,8 @@ def n1_level_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def n1_closed_sets(spark: SparkSession, sf: str) -> DataFrame:
-    sets = stage(keywords.frequent_sets(_shares(spark, sf), _sessions(spark, sf)), "sets")
-    closed = keywords.closed_sets(sets)
+    """The sets from which all others follow; of equal frequency only the largest."""
+    closed = keywords.closed_sets(_shares(spark, sf), _sessions(spark, sf))
     return closed.select("m", "direction", F.array_join("items", ",").alias("items"), "size", "freq")
 
 

@@ -7,7 +7,7 @@ from conftest import plan_text
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-import wireloom.fixtures as fx
+import checks.fixtures as fx
 from checks.queries import QUERIES
 from wireloom.functions.binary import md5_bytes
 from wireloom.sources import tables

@@ -130,7 +130,12 @@ def test_large_shards_are_split(spark, monkeypatch, room):
     rows = sets.collect()
     assert mined(sets) == wanted and len(rows) == len(wanted)
     closed = {k for k, f in wanted.items() if not any(set(k[1]) < set(o[1]) and f == g for o, g in wanted.items())}
-    assert set(mined(keywords.closed_sets(sets))) == closed and 0 < len(closed) < len(wanted)
+    assert set(mined(keywords.closed_of(sets))) == closed and 0 < len(closed) < len(wanted)
+    got = keywords.closed_sets(shares, sessions)
+    assert mined(got) == {k: wanted[k] for k in closed} and got.count() == len(closed)
+    monkeypatch.setattr(keywords, "ITEMS_PER_SHARD", 1000)
+    got = keywords.closed_sets(shares, sessions)
+    assert mined(got) == {k: wanted[k] for k in closed} and got.count() == len(closed)
 
 
 def test_empty_sessions_count_towards_support(spark):

@@ -7,7 +7,7 @@ from conftest import plan_text
 from packets import frame, random_packets
 from pyspark.sql import functions as F
 
-import wireloom.fixtures as fx
+import checks.fixtures as fx
 from checks.compare import difference
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
@@ -149,7 +149,7 @@ from wireloom.plans.staging import shared_folder, stage
 assert spark.conf.get("spark.checkpoint.dir", None) is None
 df = stage(stage(spark.range(7), "a"), "b")
 assert df.count() == 7 and all(shared_folder(spark) in f for f in df.inputFiles())
-import wireloom.fixtures as fx
+import checks.fixtures as fx
 from wireloom.plans import jobs
 print("sessions", jobs.preprocess(fx.frames(fx.packets(spark, "/root/testdata/sf0.001"))).sessions.count())
 """

@@ -274,16 +274,7 @@ def fp_growth_sets(
     ``ITEMS_PER_SHARD`` items is mined in one task; a larger one is counted by a shuffle and falls into the shards of its frequent items,
     to which each transaction goes once per item it has.  Nothing but whether shards are left comes to the driver.
     """
-    singles = stage(_singles(shares, sessions, min_support), "frequent-items")
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("rank"), "item")))
-    transactions = (
-        shares.select(*SESSION, "item")
-        .join(singles.select(*GROUP, "item", "freq", "least"), [*GROUP, "item"])
-        .groupBy(*SESSION)
-        .agg(F.transform(ranked, lambda x: x["item"]).alias("items"), F.first("least").alias("least"))
-        .groupBy(*GROUP, "least", "items")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    transactions = _transactions(shares, sessions, min_support)
     shards = stage(transactions.withColumn("suffix", F.array().cast("array<string>")), "shards")
     named, found = [*GROUP, "suffix"], []
     while True:
@@ -311,6 +302,20 @@ def fp_growth_sets(
         )
 
 
+def _transactions(shares: DataFrame, sessions: DataFrame, min_support: float) -> DataFrame:
+    """``m, direction, least, items, n``: different lists of frequent items, the group's commonest first, and how many sessions have each."""
+    singles = stage(_singles(shares, sessions, min_support), "frequent-items")
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("rank"), "item")))
+    return (
+        shares.select(*SESSION, "item")
+        .join(singles.select(*GROUP, "item", "freq", "least"), [*GROUP, "item"])
+        .groupBy(*SESSION)
+        .agg(F.transform(ranked, lambda x: x["item"]).alias("items"), F.first("least").alias("least"))
+        .groupBy(*GROUP, "least", "items")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 _SETS = "m string, direction string, items array<string>, size int, freq bigint"
 
 
@@ -349,11 +354,75 @@ def _miner():
     return mined
 
 
-def closed_sets(sets: DataFrame) -> DataFrame:
-    """Of frequent sets of every size those that no larger set of the same frequency contains.
+def closed_sets(
+    shares: DataFrame, sessions: DataFrame, min_support: float = MIN_SUPPORT
+) -> DataFrame:
+    """The frequent sets that no larger set of the same frequency contains; all others follow from these.
 
-    All others, with their frequencies, follow from these.
+    Groups that fit into a task are mined for closed sets alone, of which there are no more than different
+    intersections of their sessions, however many items occur together.  Of larger groups all sets are listed first.
     """
+    transactions = stage(_transactions(shares, sessions, min_support), "transactions")
+    rooms = transactions.groupBy(*GROUP).agg(F.sum(F.size("items")).alias("room"))
+    large = stage(rooms.where(F.col("room") > ITEMS_PER_SHARD).select(*GROUP), "large-groups")
+    small = transactions.join(large, list(GROUP), "left_anti")
+    closed = small.groupBy(*GROUP).applyInPandas(_closed_miner(), _SETS)
+    if large.isEmpty():
+        return closed
+    rest = (df.join(large, list(GROUP), "left_semi") for df in (shares, sessions))
+    return closed.unionByName(closed_of(stage(fp_growth_sets(*rest, min_support), "sets")))
+
+
+def _closed_miner():
+    """The function that mines one group for closed sets: each is reached once, from the closed set before it.
+
+    A set is extended by an item and closed; it belongs to this way only if the closure adds no earlier item.
+    """
+
+    def mined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        least = int(rows["least"].iloc[0])
+        weights = [int(n) for n in rows["n"]]
+        single = all(n == 1 for n in weights)
+        places: dict[str, int] = {}
+        for t, items in enumerate(rows["items"]):
+            for x in items:
+                places[x] = places.get(x, 0) | 1 << t
+        # Items of the same sessions always come together: they are one class.
+        classes: dict[int, list[str]] = {}
+        for item in sorted(places):
+            classes.setdefault(places[item], []).append(item)
+        masks = list(classes)
+
+        def weight(mask: int) -> int:
+            return mask.bit_count() if single else sum(n for t, n in enumerate(weights) if mask >> t & 1)
+
+        def closure(mask: int) -> list[int]:
+            return [c for c, m in enumerate(masks) if m & mask == mask]
+
+        every = (1 << len(weights)) - 1
+        found, todo = [], [(closure(every), every, -1)]
+        while todo:
+            own, mask, core = todo.pop()
+            freq = weight(mask)
+            if own and freq >= least:
+                items = sorted(x for c in own for x in classes[masks[c]])
+                found.append((key[0], key[1], items, len(items), freq))
+            has = set(own)
+            for c in range(core + 1, len(masks)):
+                if c in has:
+                    continue
+                both = mask & masks[c]
+                if both and weight(both) >= least:
+                    wider = closure(both)
+                    if all(x >= c or x in has for x in wider):
+                        todo.append((wider, both, c))
+        return pd.DataFrame(found, columns=["m", "direction", "items", "size", "freq"])
+
+    return mined
+
+
+def closed_of(sets: DataFrame) -> DataFrame:
+    """Of all frequent sets the closed ones."""
     smaller = sets.select(*GROUP, "freq", "items", F.explode("items").alias("without")).select(
         *GROUP, "freq", F.array_remove("items", F.col("without")).alias("items")
     )
