@@ -93,6 +93,8 @@ def test_fingerprints_and_groups_against_brute_force(spark, docs):
     df = docs(rows).withColumn("_p0", F.lit(1)).withColumn("component", F.lit("x")).withColumn("_id", F.lit(2))
     got = [tuple(r) for r in near_copies.near_groups(df).collect()]
     assert sorted(got, key=repr) == sorted(slow_groups(rows), key=repr)
+    cut = [tuple(r) for r in near_copies.near_groups(df, bucket_rows=6).collect()]
+    assert sorted(cut, key=repr) == sorted(got, key=repr)
     found = near_copies.fingerprints(df, "doc_id", "text").collect()
     assert sorted((tuple(x % (1 << 64) for x in r[1:]) for r in found)) == sorted(slow_print(t) for _, t in rows)
 
