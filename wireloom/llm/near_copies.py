@@ -279,10 +279,14 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", bucket_ro
     nodes = stage(nodes.select(*_NODE, "_first", "rest.*"), "near-nodes")
     dealt, total = _buckets(nodes, bucket_rows)
     found = components(_stars(dealt, -(-total // TASK_ROWS) + 1))
-    joined = nodes.select(*_NODE, "_first").join(found, _name(*_NODE) == found["node"], "left")
-    whole = stage(joined.withColumn("component", F.coalesce("component", _name(*_NODE))).drop("node"), "near-parts")
-    names = whole.groupBy("component").agg(F.min("_first").alias("component_id"))
-    of_node = stage(whole.join(names, "component").select(*_NODE, "component_id"), "near-components")
+    joined = nodes.select(*_NODE, "_first").join(found, _name(*_NODE) == found["node"], "left").drop("node")
+    whole = stage(joined, "near-parts")
+    # Only groups of several nodes are joined by name; a node alone keeps its own first id.
+    grouped = whole.where("component is not null")
+    names = stage(grouped.groupBy("component").agg(F.min("_first").alias("component_id")), "near-names")
+    named = grouped.join(sized_broadcast(names), "component").select(*_NODE, "component_id")
+    alone = whole.where("component is null").select(*_NODE, F.col("_first").alias("component_id"))
+    of_node = stage(named.unionByName(alone), "near-components")
     return prints.join(sized_broadcast(of_node), _NODE).select(F.col("_id").alias(id), "component_id")
 
 
