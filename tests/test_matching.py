@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from conftest import plan_text
 from pyspark.sql import functions as F
 
 from wireloom.functions.ratios import feature_ratio
@@ -103,6 +104,54 @@ def test_matching_pairs_equal_brute_force(spark, band, few, monkeypatch):
     assert {r["probe"]: r["ref"] for r in rows} == {p: first.get(p) for p in range(60)}
 
 
+@pytest.mark.parametrize("pairs_per_meeting", [0, 64])
+def test_keys_and_cells_find_the_same(spark, pairs_per_meeting, monkeypatch):
+    for name, value in (("FEW", 7), ("ROWS_PER_CELL", 16), ("PAIRS_PER_MEETING", pairs_per_meeting)):
+        monkeypatch.setattr(matching, name, value)
+    rng = random.Random(12)
+    vectors = [random_profile(rng) for _ in range(50)]
+    vectors += [[(f, float("nan") if i % 9 == 0 else x) for i, (f, x) in enumerate(v)] for v in vectors[:5]]
+    vectors += [[(1.0, float("nan"))] * len(NAMES)]
+    df = table(spark, vectors).withColumn("k", F.conv(F.hex("m"), 16, 10).cast("int"))
+    side = F.when(F.col("k") % 3 > 0, F.lit("a")).otherwise(F.col("k").cast("string")).alias("side")
+    probes = df.select(F.col("k").alias("probe"), side, matching.profile_means(F.col("features_value")).alias("means"))
+    refs = matching.reference_table(df, "k").join(df.select(F.col("k").alias("ref"), side), "ref")
+    band = models.IDENTIFY
+    want = {(p, r) for p, a in enumerate(vectors) for r, b in enumerate(vectors) if brute(a, b, band)}
+    first = {p: min((r for q, r in want if q == p), default=None) for p in range(len(vectors))}
+    got = matching.first_match(probes, refs, band).collect()
+    assert {r["probe"]: r["ref"] for r in got} == first and len(got) == len(vectors)
+    assert None in first.values() and max(r or 0 for r in first.values()) >= 7
+
+    def of(k):
+        return "a" if k % 3 else str(k)
+
+    crossing = [tuple(r) for r in matching.matching_pairs(probes, refs, band, across="side").collect()]
+    apart = {(p, r) for p, r in want if of(p) != of(r)}
+    assert set(crossing) == apart and len(crossing) == len(apart)
+
+    def parts(pairs):
+        names = {of(k): of(k) for k in range(len(vectors))}
+        for p, r in pairs:
+            a, b = names[of(p)], names[of(r)]
+            names = {k: a if v == b else v for k, v in names.items()}
+        return {frozenset(k for k in names if names[k] == v) for v in names.values()}
+
+    joined = {tuple(r) for r in matching.matching_pairs(probes, refs, band, across="side", joining=True).collect()}
+    assert joined <= apart and parts(joined) == parts(apart)
+
+
+def test_most_pairs_are_compared_in_tasks_and_not_stored(spark, monkeypatch):
+    """Features that tell little apart: pairs that share a rare key were shuffled, nearly all of them."""
+    monkeypatch.setattr(matching, "FEW", 5)
+    rng = random.Random(13)
+    vectors = [[(1.0, rng.choice([-1, 1]) * rng.uniform(1, 4)) for _ in NAMES] for _ in range(80)]
+    df = table(spark, vectors)
+    probes = df.select(F.col("m").alias("probe"), matching.profile_means(F.col("features_value")).alias("means"))
+    text = plan_text(matching.first_match(probes, matching.reference_table(df, "m"), models.TRAINING))
+    assert "means" in text and "FlatMapGroupsInArrow" in text and "Join" not in text
+
+
 def test_reference_without_known_features_matches_all(spark):
     blank = [(1.0, None)] * 10 + [(0.0, 1.0)] * 34
     rng = random.Random(4)
