@@ -13,11 +13,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wireloom.functions.binary import hex_lower
+from wireloom.operators import blocks
 from wireloom.operators.matching import (
     Band,
-    matches_joined,
     matching_pairs,
     profile_means,
     reference_table,
@@ -28,8 +29,11 @@ from wireloom.plans.staging import stage
 
 CLUSTERING = Band(probe_on_top=True)
 
-#: Profiles every other one is compared with per leader round, and the most rounds.
+#: Profiles every other one is compared with in the first leader round, how many times more in each round after it,
+#: the most of one round, and the most rounds.  Leaders of a round go through the driver.
 LEADERS = 32
+LEADER_GROWTH = 4
+MOST_LEADERS = 4096
 LEADER_ROUNDS = 6
 
 #: Links per leader (one is its own) below which more rounds do not pay.
@@ -49,34 +53,26 @@ def copy_edges(profile_table: DataFrame) -> DataFrame:
 def leader_edges(table: DataFrame, rounds: int = LEADER_ROUNDS, count: int = LEADERS) -> DataFrame:
     """Links of profiles ``(node, means, top)`` to a few leaders, a bounded number of links each.
 
-    Each round takes up to ``count`` profiles that no leader has reached yet and compares every
+    Each round takes profiles that no leader has reached yet, up to ``count`` and then more of them, and compares every
     profile with them, so profiles that resemble many others are joined up without looking at pairs.
     Only a head start: what it finds are true links, what it misses is found afterwards.
     """
-    schema = "src string, dst string"
-    edges = table.sparkSession.createDataFrame([], schema)
-    waiting = table
+    kind = "src string, dst string"
+    edges = table.sparkSession.createDataFrame([], kind)
+    vectors = table.select("node", "means", "top")
+    waiting = vectors
     for _ in range(rounds):
-        chosen = stage(waiting.orderBy(F.xxhash64("node"), "node").limit(count), "leaders")
-        if chosen.isEmpty():
+        chosen = waiting.orderBy(F.xxhash64("node"), "node").limit(count).toArrow()
+        if not chosen.num_rows:
             break
-        # At most `count` structs.
-        leaders = chosen.agg(F.collect_list(F.struct("node", "means", "top")).alias("all"))
-        either = matches_joined("leader.means", "top", CLUSTERING) | matches_joined(
-            "means", "leader.top", CLUSTERING
-        )
-        found = (
-            table.withColumn("leaders", leaders.scalar())
-            .select("node", "means", "top", F.explode("leaders").alias("leader"))
-            .where(either)
-            .select(F.col("leader.node").alias("src"), F.col("node").alias("dst"))
-        )
-        links = stage(found, "links")
+        links = stage(vectors.mapInArrow(blocks.links_in(chosen, CLUSTERING.rule), kind), "links")
         edges = edges.unionByName(links)
         if links.count() <= WORTHWHILE * count:
             break  # few resemble each other; the equi-join is the shorter way
-        reached = edges.select(F.col("dst").alias("node")).unionByName(chosen.select("node"))
-        waiting = table.join(reached.distinct(), "node", "left_anti")
+        reached = edges.select(F.col("dst").alias("node")).unionByName(edges.select(F.col("src").alias("node")))
+        tried = table.sparkSession.createDataFrame(chosen.select(["node"]))
+        waiting = waiting.join(reached.unionByName(tried).distinct(), "node", "left_anti")
+        count = min(LEADER_GROWTH * count, max(count, MOST_LEADERS))
     return edges
 
 
@@ -103,6 +99,7 @@ def resemblance_labels(profile_table: DataFrame) -> DataFrame:
         labelled.withColumnRenamed("node", "ref"),
         CLUSTERING,
         across="part",
+        joining=True,
     )
     # A reference that matches everything links all profiles; one of them is enough for that.
     hub = unbounded_references(table.withColumnRenamed("node", "ref")).agg(F.min("ref").alias("n"))
@@ -146,32 +143,19 @@ def pivot_clusters(profile_table: DataFrame, seed: int = 42) -> DataFrame:
     waiting = stage(
         values.select("node", "place", profile_means(F.col("features_value")).alias("means")).join(tops, "node"), "waiting"
     )
-    either = matches_joined("leader.means", "top", CLUSTERING) | matches_joined("means", "leader.top", CLUSTERING)
-    found = []
+    found, count = [], LEADERS
     for _ in range(LEADER_ROUNDS):
-        chosen = stage(waiting.orderBy("place").limit(LEADERS), "leaders")
-        order = [r.node for r in chosen.select("node", "place").orderBy("place").collect()]
-        if not order:
+        chosen = waiting.orderBy("place").limit(count).toArrow()
+        if not chosen.num_rows:
             break
-        leaders = chosen.agg(F.collect_list(F.struct("node", "place", "means", "top")).alias("all"))
-        links = stage(
-            waiting.withColumn("leaders", leaders.scalar())
-            .select("node", "means", "top", F.explode("leaders").alias("leader"))
-            .where((F.col("node") == F.col("leader.node")) | either)
-            .select("node", F.col("leader.node").alias("pivot"), F.col("leader.place").alias("place")),
-            "links",
-        )
-        # Links between leaders: at most LEADERS ** 2.
-        near = {(r.node, r.pivot) for r in links.where(F.col("node").isin(order)).select("node", "pivot").collect()}
-        pivots: list[str] = []
-        for node in order:
-            if not any((node, p) in near for p in pivots):
-                pivots.append(node)
-        joined = links.where(F.col("pivot").isin(pivots)).groupBy("node").agg(F.min_by("pivot", "place").alias("pivot"))
-        found.append(stage(joined, "joined"))
-        waiting = stage(waiting.join(found[-1], "node", "left_anti"), "waiting")
-        if found[-1].count() <= WORTHWHILE * LEADERS:
+        pivots = blocks.alone(chosen, CLUSTERING.rule)
+        kind = StructType([*waiting.schema.fields]).add("pivot", "string")
+        tried = stage(waiting.mapInArrow(blocks.nearest_in(pivots, CLUSTERING.rule), kind), "tried")
+        found.append(tried.where(F.col("pivot").isNotNull()).select("node", "pivot"))
+        waiting = tried.where(F.col("pivot").isNull()).drop("pivot")
+        if found[-1].count() <= WORTHWHILE * pivots.num_rows:
             break
+        count = min(LEADER_GROWTH * count, max(count, MOST_LEADERS))
     pairs = matching_pairs(waiting.withColumnRenamed("node", "probe"), waiting.withColumnRenamed("node", "ref"), CLUSTERING)
     one_way = pairs.where("probe <> ref").toDF("a", "b")
     both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
