@@ -106,6 +106,17 @@ def test_other_folders_are_neither_read_nor_written(spark, tmp_path):
     assert changed and all(f.parent.name == f"{PREFIX}={own}" for f, _ in changed)
 
 
+def test_a_batch_moves_rows_once_and_leaves_nothing_beside(spark, tmp_path):
+    """Updates were dealt by key, then joined, then dealt by range, and stayed beside the table three times."""
+    table = KeyedTable(str(tmp_path / "t"), SCHEMA, prefixes=4).create(spark)
+    for value in ("x", "y"):
+        table.upsert(spark.createDataFrame([(i % 900, i, value) for i in range(1000)], SCHEMA))
+    assert rows(table, spark) == sorted(((i, i + 900 if i < 100 else i, "y") for i in range(900)), key=repr)
+    assert plan_text(table._merged(spark.createDataFrame([(7, 1, "y")], SCHEMA))).count("Exchange") == 1
+    beside = [spark.read.parquet(str(f)).count() for f in (tmp_path / "t" / "batches").iterdir()]
+    assert len(beside) == 4 and sum(beside) == 0
+
+
 def scanned_rows(df) -> int:
     """Rows that left the Parquet scan, by its own counter, after running the plan."""
     df.collect()
