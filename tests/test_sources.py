@@ -45,6 +45,43 @@ def test_ranges_read_every_record_once(spark, tmp_path, evil, range_bytes):
         assert len(capture.plan_ranges(spark, str(tmp_path), range_bytes)) > 4
 
 
+def test_small_ranges_read_their_own_bytes_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Each range of a megabyte read several, in a task of its own."""
+    path = str(tmp_path / "a.pcap")
+    (tmp_path / "a.pcap").write_bytes(capture_bytes(make_records(4, 20_000)))
+    ranges, size = capture.plan_ranges(spark, path, 10_000), (tmp_path / "a.pcap").stat().st_size
+    assert len(ranges) > 100
+    monkeypatch.setattr(capture, "TASK_BYTES", 1)
+    assert capture._slices(spark, 3, 10**9) == 3 and capture._slices(spark, 10**6, 100) == max(100, 4 * 8)
+    monkeypatch.undo()
+    assert capture.read_captures(spark, path, 10_000).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    read = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def read_at(self, n, at):
+            data = self.file.read_at(n, at)
+            read.append(len(data))
+            return data
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+    real = capture._open
+    monkeypatch.setattr(capture, "_open", lambda name: Counted(real(name)))
+    assert sum(len(places) for r in ranges for places, *_ in capture.records(r)) == 20_000
+    assert sum(read) < 1.5 * size
+    read.clear()
+    cuts = [(path, at, min(at + 100_000, size), size) for at in range(0, size, 100_000)]
+    assert [capture._index_range(*c)[3] for c in cuts][-1] == size
+    assert sum(read) < 2 * size
+
+
 def test_layouts_and_cut_off_files(spark, tmp_path):
     records = make_records(3, 30)
     whole = capture_bytes(records)

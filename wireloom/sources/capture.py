@@ -60,6 +60,10 @@ RANGE_BYTES = 256 * 1024 * 1024
 #: Record headers that must follow each other before a position counts as a record.
 CHAIN = 24
 
+#: Bytes in which a range first looks for its first record, and bytes of ranges that one task reads at least.
+LOOK_BYTES = 64 * 1024
+TASK_BYTES = 64 * 1024 * 1024
+
 BATCH_ROWS = 4096
 BATCH_BYTES = 8 * 1024 * 1024
 WALK_BYTES = 4 * 1024 * 1024
@@ -100,13 +104,13 @@ def _layout(file) -> Layout:
     return Layout(order, unit, min(longest or LONGEST_RECORD, LONGEST_RECORD))
 
 
-def _chain_holds(data: bytes, at: int, layout: Layout, ends_file: bool) -> bool:
-    """Whether plausible records follow one another from ``at``."""
+def _chain_holds(data: bytes, at: int, layout: Layout, ends_file: bool, whole: bool = True) -> bool | None:
+    """Whether plausible records follow one another from ``at``; None where only more than this part of the ``whole`` data can tell."""
     for _ in range(CHAIN):
         if at == len(data) and ends_file:
             return True
         if at + RECORD_HEADER > len(data):
-            return False
+            return False if whole else None
         _, frac, kept, length = struct.unpack_from(layout.order + "IIII", data, at)
         if frac >= 1_000_000 * layout.unit or not 0 < kept <= min(length, layout.longest):
             return False
@@ -118,13 +122,21 @@ def _first_record(file, at: int, size: int, layout: Layout) -> int:
     """Position of the first record at or after ``at`` as far as headers can tell."""
     if at <= FILE_HEADER:
         return FILE_HEADER
-    window = (CHAIN + 1) * (RECORD_HEADER + layout.longest)
-    data = file.read_at(min(window, size - at), at)
-    ends_file = at + len(data) == size
-    for offset in range(len(data)):
-        if _chain_holds(data, offset, layout, ends_file):
-            return at + offset
-    return size
+    window = min((CHAIN + 1) * (RECORD_HEADER + layout.longest), size - at)
+    offset, held = 0, min(LOOK_BYTES, window)
+    while True:
+        data, whole = file.read_at(held, at), held == window
+        ends_file = at + len(data) == size
+        while offset < len(data):
+            holds = _chain_holds(data, offset, layout, ends_file, whole)
+            if holds:
+                return at + offset
+            if holds is None:
+                break  # looked at again with more data
+            offset += 1
+        if whole:
+            return size
+        held = min(4 * held, window)
 
 
 @dataclass
@@ -144,7 +156,8 @@ def _walk(file, at: int, stop: int, size: int, layout: Layout) -> Walked:
         if at + RECORD_HEADER > size:
             return Walked(size, at, low, high)
         if at + RECORD_HEADER > origin + len(block):
-            block, origin = file.read_at(min(WALK_BYTES, size - at), at), at
+            # The last record of a range may begin at its last byte.
+            block, origin = file.read_at(min(WALK_BYTES, stop + RECORD_HEADER - at, size - at), at), at
         sec, frac, kept = struct.unpack_from(layout.order + "III", block, at - origin)
         if at + RECORD_HEADER + kept > size:
             return Walked(size, at, low, high)  # cut off in the middle of a record
@@ -213,7 +226,7 @@ def plan_ranges(
 
 
 def _indexed(spark: SparkSession | None, cuts: list[tuple]) -> list[tuple]:
-    """(path, at, begin, end, low, high) of cuts, one task each; a fifth value is the known first record."""
+    """(path, at, begin, end, low, high) of cuts; a fifth value is the known first record."""
     if not cuts:
         return []
     if len(cuts) == 1:
@@ -223,8 +236,8 @@ def _indexed(spark: SparkSession | None, cuts: list[tuple]) -> list[tuple]:
             return list(threads.map(lambda cut: _index_range(*cut), cuts))
     rows = [(*c, None)[:5] for c in cuts]
     schema = "path string, at long, stop long, size long, begin long"
-    # One slice per row: a shuffle would put several ranges into one task.
-    todo = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), schema)
+    slices = _slices(spark, len(rows), sum(stop - at for _, at, stop, *_ in cuts))
+    todo = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), schema)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,6 +250,11 @@ def _indexed(spark: SparkSession | None, cuts: list[tuple]) -> list[tuple]:
     return [tuple(r) for r in todo.mapInArrow(index, _INDEX).collect()]
 
 
+def _slices(spark: SparkSession, ranges: int, size: int) -> int:
+    """Tasks for so many ranges, which lie side by side in them: all cores have some, then each task has ``TASK_BYTES``."""
+    return max(1, min(ranges, max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)))
+
+
 def write_index(spark: SparkSession, path: str, index: str, range_bytes: int = RANGE_BYTES) -> None:
     """The ranges of all files under ``path`` as a table, for the option ``index`` of the format."""
     rows = [(r.path, r.start, r.end, r.low, r.high) for r in plan_ranges(spark, path, range_bytes)]
@@ -259,12 +277,12 @@ def records(part: FileRange) -> Iterator[tuple[list[int], list[int], list[bytes]
         block, origin = b"", at
         while at < part.end:
             if at + RECORD_HEADER > origin + len(block):
-                block, origin = file.read_at(WALK_BYTES, at), at
+                block, origin = file.read_at(min(WALK_BYTES, part.end - at), at), at
                 if len(block) < RECORD_HEADER:
                     break
             sec, frac, kept, _ = struct.unpack_from(layout.order + "IIII", block, at - origin)
             if at + RECORD_HEADER + kept > origin + len(block):
-                block, origin = file.read_at(max(WALK_BYTES, RECORD_HEADER + kept), at), at
+                block, origin = file.read_at(max(min(WALK_BYTES, part.end - at), RECORD_HEADER + kept), at), at
                 if len(block) < RECORD_HEADER + kept:
                     break  # cut off in the middle of a record
             body = at - origin + RECORD_HEADER
@@ -375,7 +393,7 @@ def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     """Raw packets of all capture files under ``path``, large files in parallel."""
     ranges = plan_ranges(spark, path, range_bytes)
     rows = [(r.path, r.start, r.end) for r in ranges]
-    todo = spark.sparkContext.parallelize(rows, max(len(rows), 1))
+    todo = spark.sparkContext.parallelize(rows, _slices(spark, len(rows), sum(r.end - r.start for r in ranges)))
     todo = spark.createDataFrame(todo, "path string, start long, end long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
