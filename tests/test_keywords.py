@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_text
+
 from wireloom.functions import trigrams
 from wireloom.operators import keywords
 
@@ -88,6 +90,42 @@ def test_shares_and_sets_equal_brute_force(spark):
     assert {(r["m"], r["direction"], tuple(r["items"])): r["freq"] for r in sets} == wanted
 
 
+@pytest.mark.parametrize("step", [1, 60, 1 << 20])
+@pytest.mark.parametrize("most", [0, 20, 1 << 20])
+def test_shares_of_sessions_in_any_steps(spark, monkeypatch, step, most):
+    rows = [*make_rows(3), ("web", 99, "back", b"")]
+    monkeypatch.setattr(keywords, "BYTES_PER_STEP", step)
+    shares = keywords.keyword_shares(spark.createDataFrame(rows, SCHEMA), most=most).collect()
+    got = {(r["m"], r["sid"], r["direction"], r["item"]): r["share"] for r in shares}
+    assert got == pytest.approx(brute_shares(rows)) and len(got) == len(shares) > 50
+
+
+def test_trigrams_do_not_move(spark):
+    """Payloads go to their sessions; trigrams are counted behind that shuffle."""
+    plan = plan_text(keywords.keyword_shares(spark.createDataFrame(make_rows(), SCHEMA)))
+    assert "hashpartitioning(gram" not in plan and "Generate" not in plan
+    assert "MapInArrow" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_groups_are_mined_in_tasks_of_their_own(spark):
+    rows = [(m, sid, "back", item, 1.0) for m in "abcdefghijkl" for sid, b in enumerate(("AB", "A")) for item in b]
+    shares = spark.createDataFrame(rows, SHARES)
+    sessions = shares.select("m", "sid", "direction").distinct()
+    for find in (keywords.closed_sets, keywords.frequent_sets):
+        tasks = find(shares, sessions).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 3
+
+
+def test_closed_sets_of_repeated_transactions(spark):
+    rng = random.Random(8)
+    kinds = [{i for i in "ABCDEF" if rng.random() < 0.7} for _ in range(6)]
+    baskets = [b for n, b in enumerate(kinds) for _ in range(2 * n + 1)]
+    shares, sessions = baskets_of(spark, baskets)
+    wanted = {("m", c): f for c, f in brute_sets(baskets, 0.2, range(1, 7)).items()}
+    closed = {k for k, f in wanted.items() if not any(set(k[1]) < set(o[1]) and f == g for o, g in wanted.items())}
+    assert mined(keywords.closed_sets(shares, sessions)) == {k: wanted[k] for k in closed}
+
+
 SHARES = "m string, sid bigint, direction string, item string, share double"
 
 

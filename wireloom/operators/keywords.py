@@ -7,11 +7,16 @@ one session of one endpoint and direction, its items the trigrams kept for that
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from wireloom.functions.binary import md5_bytes
 from wireloom.functions.trigrams import item_base64, trigram_positions
@@ -23,6 +28,10 @@ MIN_SUPPORT = 0.2
 SAMPLE_FRACTION = 0.05
 KEYWORD_SETS = 10
 
+#: Most payload bytes of one session that one task counts, and how many are counted in one step.
+BYTES_PER_SESSION = 8 << 20
+BYTES_PER_STEP = 2 << 20
+
 #: Items of all transactions of a shard that one task mines.
 ITEMS_PER_SHARD = 1_000_000
 
@@ -54,13 +63,38 @@ def trigram_rows(payloads: DataFrame, *keys: str) -> DataFrame:
 
 
 def keyword_shares(
-    payloads: DataFrame, low: float = SHARE_LOW, high: float = SHARE_HIGH
+    payloads: DataFrame,
+    low: float = SHARE_LOW,
+    high: float = SHARE_HIGH,
+    most: int = BYTES_PER_SESSION,
 ) -> DataFrame:
     """``m, sid, direction, item, share``: occurrences over number of payloads, inside the band.
 
-    Trigrams are counted before they shuffle.  The payload counts read only the key columns.
+    A session's payloads meet in one task, which counts their trigrams: what moves is the payloads, not their trigrams, of
+    which there are several times as many bytes.  Sessions with more than ``most`` bytes, and payloads that are text,
+    are counted where they lie and their counts put together.
     """
-    rows = complete_rows(payloads).where(F.col("payload").isNotNull())
+    rows = complete_rows(payloads).where(F.col("payload").isNotNull()).select(*SESSION, "payload")
+    if rows.schema["payload"].dataType != BinaryType():
+        return _counted_shares(rows, low, high)
+    sizes = rows.groupBy(*SESSION).agg(F.sum(F.length("payload").cast("bigint")).alias("size"))
+    # At most (bytes / most) sessions.
+    hot = stage(sizes.where(F.col("size") > most).select(*SESSION), "hot-sessions")
+    named = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in SESSION)
+    shares = (
+        rows.join(F.broadcast(hot), list(SESSION), "left_anti")
+        .repartition(*SESSION)
+        .sortWithinPartitions(*SESSION)
+        .mapInArrow(_share_counter(low, high), f"{named}, gram bigint, share double")
+        .select(*SESSION, F.lpad(F.hex("gram"), 6, "0").alias("item"), "share")
+    )
+    if hot.isEmpty():
+        return shares
+    return shares.unionByName(_counted_shares(rows.join(F.broadcast(hot), list(SESSION)), low, high))
+
+
+def _counted_shares(rows: DataFrame, low: float, high: float) -> DataFrame:
+    """The shares by trigram rows, counted before they shuffle."""
     plds = rows.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("plds"))
     counted = (
         trigram_rows(rows, *SESSION).groupBy(*SESSION, "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -74,6 +108,74 @@ def keyword_shares(
     )
 
 
+def _share_counter(low: float, high: float):
+    """The function that counts the trigrams of whole sessions, from rows in their order.  Workers need no package."""
+
+    def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = table.num_rows
+        new = np.zeros(n, dtype=bool)
+        new[0] = True
+        for name in SESSION:
+            column = table[name].combine_chunks()
+            differs = pc.not_equal(column.slice(1), column.slice(0, n - 1))
+            new[1:] |= differs.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        plds = np.diff(np.append(starts, n))
+        body = table["payload"].cast(pa.large_binary()).combine_chunks()
+        offsets = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + n + 1]
+        # The bytes of the rows in turn.
+        data = np.frombuffer(body.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+        ends = offsets - offsets[0]
+        if len(data) <= 3:
+            return
+        grams = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+        # As many trigrams as bytes but three: places in the last three bytes of a payload start none.
+        lengths = np.diff(ends)
+        left = np.repeat(ends[1:], lengths) - np.arange(len(data))
+        session = np.repeat(np.cumsum(new) - 1, lengths)
+        kept = (left > 3)[:-2]
+        keys, times = np.unique((session[:-2][kept] << 24) | grams[kept], return_counts=True)
+        share = times / plds[keys >> 24]
+        inside = (share >= low) & (share <= high)
+        keys = keys[inside]
+        if len(keys):
+            at = pa.array(starts[keys >> 24])
+            columns = [table[name].combine_chunks().take(at) for name in SESSION]
+            columns += [pa.array(keys & 0xFFFFFF), pa.array(share[inside])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*SESSION, "gram", "share"])
+
+    step = BYTES_PER_STEP
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, batch.num_rows * step // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    def whole_sessions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for piece in pieces(batches):
+            held.append(piece)
+            size += piece.nbytes
+            if size < step:
+                continue
+            table = pa.Table.from_batches(held)
+            # The last session may go on in the next batch.
+            last = np.ones(table.num_rows, dtype=bool)
+            for name in SESSION:
+                column = table[name].combine_chunks()
+                last &= pc.equal(column, column[-1]).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(last)[0])
+            if cut:
+                yield from counted(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                size = sum(b.nbytes for b in held)
+        if held:
+            yield from counted(pa.Table.from_batches(held))
+
+    return whole_sessions
+
+
 def sessions(payloads: DataFrame) -> DataFrame:
     """``m, sid, direction`` of every transaction, those that keep no trigram included."""
     return complete_rows(payloads).select(*SESSION).distinct()
@@ -281,7 +383,7 @@ def fp_growth_sets(
         rooms = shards.groupBy(*named).agg(F.sum(F.size("items")).alias("room"))
         sized = shards.join(rooms, named)
         small = sized.where(F.col("room") <= ITEMS_PER_SHARD).drop("room")
-        found.append(small.groupBy(*named).applyInPandas(_miner(), _SETS))
+        found.append(_dealt(small, named).groupBy(*named).applyInPandas(_miner(), _SETS))
         large = stage(sized.where(F.col("room") > ITEMS_PER_SHARD).drop("room"), "large-shards")
         if large.isEmpty():
             return reduce(DataFrame.unionByName, found)
@@ -316,6 +418,13 @@ def _transactions(shares: DataFrame, sessions: DataFrame, min_support: float) ->
     )
 
 
+def _dealt(shards: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shards in a fixed number of partitions: mining costs far more than their bytes tell, by which Spark would put all into one task."""
+    spark = shards.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return shards.repartition(tasks, *keys)
+
+
 _SETS = "m string, direction string, items array<string>, size int, freq bigint"
 
 
@@ -366,7 +475,7 @@ def closed_sets(
     rooms = transactions.groupBy(*GROUP).agg(F.sum(F.size("items")).alias("room"))
     large = stage(rooms.where(F.col("room") > ITEMS_PER_SHARD).select(*GROUP), "large-groups")
     small = transactions.join(large, list(GROUP), "left_anti")
-    closed = small.groupBy(*GROUP).applyInPandas(_closed_miner(), _SETS)
+    closed = _dealt(small, GROUP).groupBy(*GROUP).applyInPandas(_closed_miner(), _SETS)
     if large.isEmpty():
         return closed
     rest = (df.join(large, list(GROUP), "left_semi") for df in (shares, sessions))
@@ -382,11 +491,19 @@ def _closed_miner():
     def mined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         least = int(rows["least"].iloc[0])
         weights = [int(n) for n in rows["n"]]
-        single = all(n == 1 for n in weights)
-        places: dict[str, int] = {}
+
+        def mask_of(ts: list[int]) -> int:
+            has = np.zeros(len(weights), dtype=np.uint8)
+            has[ts] = 1
+            return int.from_bytes(np.packbits(has, bitorder="little").tobytes(), "little")
+
+        # The transactions whose count has bit b, as one mask for each b.
+        bits = [mask_of([t for t, n in enumerate(weights) if n >> b & 1]) for b in range(max(weights).bit_length())]
+        held: dict[str, list[int]] = {}
         for t, items in enumerate(rows["items"]):
             for x in items:
-                places[x] = places.get(x, 0) | 1 << t
+                held.setdefault(x, []).append(t)
+        places = {x: mask_of(ts) for x, ts in held.items()}
         # Items of the same sessions always come together: they are one class.
         classes: dict[int, list[str]] = {}
         for item in sorted(places):
@@ -394,7 +511,7 @@ def _closed_miner():
         masks = list(classes)
 
         def weight(mask: int) -> int:
-            return mask.bit_count() if single else sum(n for t, n in enumerate(weights) if mask >> t & 1)
+            return sum((mask & bit).bit_count() << b for b, bit in enumerate(bits))
 
         def closure(mask: int) -> list[int]:
             return [c for c, m in enumerate(masks) if m & mask == mask]
