@@ -51,6 +51,14 @@ def test_handshakes_read_only_their_columns(spark):
     assert "pld_len" not in schema and "si:" not in schema
 
 
+def test_packets_are_built_behind_a_shuffle(spark, sf):
+    """Tables of one file are one task's, so they are dealt before anything is made of their rows or counted."""
+    branches = plan_text(fx.packets(spark, sf)).split("FileScan")[:-1]
+    assert len(branches) == 3
+    assert all("Exchange hashpartitioning" in b for b in branches)
+    assert not any("HashAggregate" in b.rpartition("Exchange hashpartitioning")[2] for b in branches)
+
+
 def test_join_by_size_equals_join(spark):
     rng = random.Random(1)
     rows = [(rng.choice("aaaaabc"), i) for i in range(200)] + [("d", 1)]
