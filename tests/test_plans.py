@@ -191,3 +191,20 @@ def test_jobs_from_the_command_line(spark, sf, tmp_path):
     assert read(f"{out}/sessions").count() == read(f"{out}/identified").count() == 1258
     assert read(f"{out}/profiles").count() == read(f"{out}/clusters").count() == 21
     assert read(f"{out}/models").count() == 21
+
+
+@pytest.mark.parametrize("few", [1, 2, 3, 4, 50])
+def test_join_by_size_sends_the_largest_keys(spark, few):
+    sizes = {1: 40, 2: 3, 3: 3, None: 2, 4: 1}
+    rows = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)], "k int, i int")
+    sides = spark.createDataFrame([(k, n, -n) for k, n in sizes.items()] + [(9, 7, 0)], "k int, n int, top int")
+    both = join_by_size(rows, sides, ["k"], "n", few=few)
+    got = sorted((r["k"], r["i"], r["n"], r["top"]) for r in both.collect())
+    assert got == sorted((k, i, n, -n) for k, n in sizes.items() if k for i in range(n))
+
+
+def test_sessions_of_few_endpoints_do_not_move(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(60)], "k int, i int")
+    sides = spark.createDataFrame([(k, 20) for k in range(3)], "k int, n int")
+    plan = plan_text(join_by_size(rows, sides, ["k"], "n"))
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
