@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import DataFrame
 
 import checks.fixtures as fx
-from wireloom.operators import features, tcp
+from wireloom.functions.addresses import with_flow_key
+from wireloom.operators import decode, features, tcp
 
 LARGEST = 8_000
 
@@ -33,3 +34,9 @@ def method_bytes(df: DataFrame) -> list[int]:
 def test_session_statistics_are_compiled(spark, sf, whole_plans, query):
     found = method_bytes(query(tcp.tag_sessions(fx.packet_table(spark, sf))))
     assert found and max(found) <= LARGEST
+
+
+def test_decoder_is_compiled(spark, sf, whole_plans):
+    packets = with_flow_key(decode.decoded_packets(fx.frame_table(spark, sf))).drop("r")
+    found = method_bytes(packets)
+    assert found and max(found) <= LARGEST
