@@ -40,3 +40,11 @@ def test_decoder_is_compiled(spark, sf, whole_plans):
     packets = with_flow_key(decode.decoded_packets(fx.frame_table(spark, sf))).drop("r")
     found = method_bytes(packets)
     assert found and max(found) <= LARGEST
+
+
+def test_packets_are_stored_in_larger_files(spark, sf):
+    rows = spark.range(60_000).coalesce(1)
+    small = fx.stored(spark, sf, "probe of small files", lambda: rows)
+    large = fx.stored(spark, sf, "probe of packet files", lambda: rows, fx.PACKETS_PER_FILE)
+    assert (len(small.inputFiles()), len(large.inputFiles())) == (3, 1)
+    assert large.count() == 60_000
