@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from conftest import plan_text
@@ -10,6 +11,7 @@ from pyspark.sql.types import StructType
 import checks.fixtures as fx
 from checks.queries import QUERIES
 from wireloom.functions.binary import md5_bytes
+from wireloom.plans import staging
 from wireloom.sources import tables
 from wireloom.sources.keyed import PREFIX, KeyedTable
 from wireloom.streaming import ingest
@@ -206,3 +208,90 @@ def test_streams_put_each_key_once(spark, tmp_path, monkeypatch):
 
 def test_fixture_is_built_once(spark, sf):
     assert fx.keyed_sessions(spark, sf).path == fx.keyed_sessions(spark, sf).path
+
+
+@pytest.mark.parametrize("dies_at", [None, ("merged", 2), ("done", 2)])
+def test_a_large_batch_is_put_in_rounds(spark, tmp_path, monkeypatch, dies_at):
+    """All of a batch lay merged beside the table, and all of its shuffles, before any of it was put in place."""
+    table = KeyedTable(str(tmp_path / "t"), SCHEMA, prefixes=3).create(spark)
+    batches = [[(i, i, "old") for i in range(60)], [(i, 100 + i, None) for i in range(40, 90)]]
+    table.upsert(spark.createDataFrame(batches[0], SCHEMA), "one")
+    monkeypatch.setattr(staging, "ROUND_BYTES", 1)
+    beside, seen, note = tmp_path / "t" / "batches", [], KeyedTable._note
+
+    def watched(self, session, batch, step):
+        note(self, session, batch, step)
+        seen.append(step)
+        if step == "merged":
+            merged = [n for f in beside.glob("two-*of*") if (n := session.read.parquet(str(f)).count())]
+            assert len(merged) == 1 and merged[0] < 60
+        if dies_at and seen.count(dies_at[0]) == dies_at[1] and step == dies_at[0]:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(KeyedTable, "_note", watched)
+    update = spark.createDataFrame(batches[1], SCHEMA)
+    if dies_at:
+        with pytest.raises(RuntimeError, match="lost"):
+            table.upsert(update, "two")
+        seen.append("again")
+        monkeypatch.setattr(staging, "ROUND_BYTES", 1 << 30)  # a batch goes on in the rounds it began with
+    for _ in range(2):
+        table.upsert(update, "two")
+    assert rows(table, spark) == slow(batches)
+    assert seen.count("rounds 3") == 1 and seen.count("merged") == 3
+    assert sum(spark.read.parquet(str(f)).count() for f in beside.glob("two-*of*")) == 0
+    assert spark.read.parquet(str(beside / "two-updates")).count() == 0
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_puts_and_stages_leave_no_shuffle_files(spark, tmp_path):
+    before = shuffle_files(spark)
+    many = keyed_rows(spark, 1000)
+    assert staging.stage(many.groupBy(F.col("n") % 10).count(), "counts").count() == 10
+    table = KeyedTable(str(tmp_path / "t"), many.schema, prefixes=4).create(spark)
+    table.upsert(many)
+    table.upsert(many)
+    for _ in range(50):  # they are removed in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+def test_bloom_filters_are_as_large_as_their_keys_need(spark, tmp_path):
+    """Each row group had one of a megabyte."""
+    table = KeyedTable(str(tmp_path / "t"), keyed_rows(spark, 1).schema, prefixes=2).create(spark)
+    table.upsert(keyed_rows(spark, 4000))
+    assert max(f.stat().st_size for f in (tmp_path / "t" / "rows").rglob("*.parquet")) < 200_000
+
+
+def test_streams_read_the_stored_frames(spark, sf):
+    """The frames were written a second time as records, and the packets were stored that only make the frames."""
+    fx.frame_table(spark, sf)
+    folder = staging.shared_folder(spark) + "/wireloom"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def names():
+        path = fs.Path(folder)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        return {f.getPath().getName().rsplit("-", 1)[0]: f.getPath().getName() for f in found}
+
+    before = names()
+    assert QUERIES["k3_keyed_stream"](spark, sf).count() == fx.frame_table(spark, sf).count()
+    assert {n for n, path in names().items() if before.get(n) != path} <= {"keyed-packets", "stream"}
+
+
+def test_frames_are_the_same_with_and_without_a_packet_table(spark, sf, monkeypatch):
+    monkeypatch.setattr(fx, "_TABLES", {})
+    alone = fx.frame_table(spark, sf)
+    assert [key[2] for key in fx._TABLES] == ["frames"]
+    monkeypatch.setattr(fx, "_TABLES", {})
+    fx.packet_table(spark, sf)
+    of_packets = fx.frame_table(spark, sf)
+    assert [key[2] for key in fx._TABLES] == ["packets", "frames"]
+    assert alone.exceptAll(of_packets).isEmpty() and of_packets.exceptAll(alone).isEmpty()
