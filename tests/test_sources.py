@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import struct
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from wireloom.operators import decode
 from wireloom.sources import capture, tables
 from wireloom.streaming import ingest
 
@@ -230,3 +232,29 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     # Equal times stay apart.
     assert got.select("rowkey").distinct().count() == 20
     assert {r["t"] for r in got.collect()} == {7}
+
+
+@pytest.mark.parametrize("most", [1 << 30, 300_000, 1])
+def test_captures_of_a_round_are_gone_before_the_next(spark, sf, monkeypatch, most):
+    """All frames lay in the shared folder as captures, which are not compressed, for as long as the result was read."""
+    import checks.fixtures as fx
+    from checks.queries import QUERIES
+
+    monkeypatch.setattr(fx, "CAPTURE_BYTES", most)
+    monkeypatch.setattr(fx, "_TABLES", {})
+    stored = fx.stored
+    monkeypatch.setattr(fx, "stored", lambda s, d, n, build, *_: stored(s, d, n, build, 1_000))
+    frames, write, folders = fx.frame_table(spark, sf), fx.write_captures, []
+
+    def watched(some, path):
+        write(some, path)
+        folders.append(Path(path))
+        held = [sum(f.stat().st_size for f in folder.glob("*.pcap")) for folder in folders]
+        assert not any(held[:-1]) and (some.count() <= 1_000 or held[-1] <= most + 24 * len(list(folders[-1].glob("*.pcap"))))
+
+    monkeypatch.setattr(fx, "write_captures", watched)
+    got = QUERIES["s2_capture_ingest"](spark, sf)
+    assert len(folders) == 1 if most == 1 << 30 else len(folders) > 3
+    assert not any(list(folder.glob("*.pcap")) for folder in folders)
+    whole = decode.decoded_packets(frames).select(*got.columns)
+    assert got.count() == frames.count() and got.exceptAll(whole).isEmpty()
