@@ -12,7 +12,7 @@ from checks.compare import difference
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
 from wireloom.operators import decode, features, keywords, tcp
-from wireloom.plans import jobs
+from wireloom.plans import jobs, staging
 from wireloom.plans.skew import join_by_size, running
 from wireloom.plans.staging import shared_folder, stage
 
@@ -208,3 +208,40 @@ def test_sessions_of_few_endpoints_do_not_move(spark):
     sides = spark.createDataFrame([(k, 20) for k in range(3)], "k int, n int")
     plan = plan_text(join_by_size(rows, sides, ["k"], "n"))
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("rows_per_chunk", [10**6, 20])
+def test_preprocess_in_rounds_equals_one(spark, sf, monkeypatch, rows_per_chunk):
+    """Decoded packets and the shuffle of all of them lay beside the tagged ones until the job ended."""
+    frames = fx.frame_table(spark, sf)
+    whole = jobs.preprocess(frames, rows_per_chunk=rows_per_chunk)
+    monkeypatch.setattr(staging, "ROUND_BYTES", 1)
+    monkeypatch.setattr(jobs, "ROUNDS", 4)
+    rounds, real = [], jobs.tag_all
+
+    def watched(packets, *rest):
+        left = spark.read.schema(packets.schema).parquet(*{f.rsplit("/flow_group", 1)[0] for f in packets.inputFiles()})
+        rounds.append((packets.count(), left.where("rowkey is not null").count()))
+        return real(packets, *rest)
+
+    monkeypatch.setattr(jobs, "tag_all", watched)
+    cut = jobs.preprocess(frames, rows_per_chunk=rows_per_chunk)
+    assert cut.counters == whole.counters and list(cut.counters) == list(whole.counters)
+    assert len(rounds) == 4 and sum(n for n, _ in rounds) == frames.count()
+    # A round finds what no round before it has read.
+    assert [left for _, left in rounds] == [sum(n for n, _ in rounds[i:]) for i in range(4)]
+    for a, b in ((cut.packets.drop("chunk"), whole.packets.drop("chunk")), (cut.sessions, whole.sessions)):
+        assert a.columns == b.columns and a.count() == b.count() and a.exceptAll(b).isEmpty()
+
+
+def test_rounds_without_packets(spark, sf, tmp_path, monkeypatch):
+    """A job, or a round, without TCP packets failed: its counts are left out of the plan."""
+    fx.frame_table(spark, sf).limit(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    monkeypatch.setattr(jobs, "ROUNDS", 4)
+    for size in (1 << 30, 1):
+        monkeypatch.setattr(staging, "ROUND_BYTES", size)
+        done, none = jobs.preprocess(one), jobs.preprocess(one.where("t < 0"))
+        assert done.packets.count() == 1 and done.counters["packets"] == 1
+        assert none.packets.count() == 0 and set(none.counters.values()) == {0}
+        assert list(none.counters) == list(done.counters)
