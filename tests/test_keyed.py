@@ -270,7 +270,8 @@ def test_bloom_filters_are_as_large_as_their_keys_need(spark, tmp_path):
     assert max(f.stat().st_size for f in (tmp_path / "t" / "rows").rglob("*.parquet")) < 200_000
 
 
-def test_streams_read_the_stored_frames(spark, sf):
+@pytest.mark.parametrize("query, own", [("k1_stream_ingest", {"ingested", "stream"}), ("k3_keyed_stream", {"keyed-packets", "stream"})])
+def test_streams_read_the_stored_frames(spark, sf, query, own):
     """The frames were written a second time as records, and the packets were stored that only make the frames."""
     fx.frame_table(spark, sf)
     folder = staging.shared_folder(spark) + "/wireloom"
@@ -282,8 +283,8 @@ def test_streams_read_the_stored_frames(spark, sf):
         return {f.getPath().getName().rsplit("-", 1)[0]: f.getPath().getName() for f in found}
 
     before = names()
-    assert QUERIES["k3_keyed_stream"](spark, sf).count() == fx.frame_table(spark, sf).count()
-    assert {n for n, path in names().items() if before.get(n) != path} <= {"keyed-packets", "stream"}
+    assert QUERIES[query](spark, sf).count() == fx.frame_table(spark, sf).count()
+    assert {n for n, path in names().items() if before.get(n) != path} <= own
 
 
 def test_frames_are_the_same_with_and_without_a_packet_table(spark, sf, monkeypatch):

@@ -258,3 +258,13 @@ def test_captures_of_a_round_are_gone_before_the_next(spark, sf, monkeypatch, mo
     assert not any(list(folder.glob("*.pcap")) for folder in folders)
     whole = decode.decoded_packets(frames).select(*got.columns)
     assert got.count() == frames.count() and got.exceptAll(whole).isEmpty()
+
+
+def test_streamed_tables_are_compact(spark, tmp_path):
+    schema = "key binary, value binary, partition int, offset bigint"
+    rows = [(i.to_bytes(8, "big"), b"abc" * 9, 0, i) for i in range(50)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ingest.raw_packets(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    ingest.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "mark"), None).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+    assert [f.name.endswith(".zstd.parquet") for f in (tmp_path / "out").glob("*.parquet")] == [True]
